@@ -239,3 +239,199 @@ def risk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "endpoint",
     )
     return a.unionByName(b).unionByName(c).withColumn("indicator", none.cast("string"))
+
+
+def logins_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins with the centroid of their country; one login in ten has no coordinates."""
+    # Rough country centroids (latitude, longitude).
+    centroids = {
+        "US": (39.8, -98.6),
+        "CA": (56.1, -106.3),
+        "KE": (0.0, 37.9),
+        "RU": (61.5, 105.3),
+        "CN": (35.9, 104.2),
+    }
+
+    def coordinate(axis: int) -> Column:
+        lookup = F.create_map(*[F.lit(x) for name, at in centroids.items() for x in (name, at[axis])])
+        return F.when(F.col("event_id").cast("long") % 10 != 0, F.element_at(lookup, F.col("country")))
+
+    return logins(spark, sf_dir).withColumns({"latitude": coordinate(0), "longitude": coordinate(1)})
+
+
+def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device links taken from logins, so that a device can have several customers."""
+    return (
+        logins(spark, sf_dir)
+        .select("device_id", "customer_id")
+        .distinct()
+        .withColumn("device_type", F.lit(None).cast("string"))
+    )
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("ACC-"), F.col("c_custkey")).alias("account_id"),
+        F.concat(F.lit("cust_"), F.col("c_custkey")).alias("customer_id"),
+        F.col("c_acctbal").alias("balance"),
+        F.lit("USD").alias("currency"),
+        F.lit("ACTIVE").alias("status"),
+    )
+
+
+def incident_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyst log: some incidents are assigned early, those not open got a status at the end."""
+    base = incidents(spark, sf_dir)
+    key = F.col("incident_id")
+    none = F.lit(None).cast("string")
+    who = F.concat(F.lit("analyst_"), key % 5)
+    assign = F.when(
+        key % 3 == 0,
+        F.struct(
+            F.lit("a").alias("change_id"),
+            (F.col("created_at") + 3_600_000).alias("at"),
+            F.lit("assign").alias("kind"),
+            none.alias("new_status"),
+            who.alias("assigned_to"),
+            F.lit("lead").alias("changed_by"),
+            none.alias("notes"),
+        ),
+    )
+    close = F.when(
+        F.col("status") != "OPEN",
+        F.struct(
+            F.lit("b").alias("change_id"),
+            F.col("updated_at").alias("at"),
+            F.lit("status").alias("kind"),
+            F.col("status").alias("new_status"),
+            none.alias("assigned_to"),
+            who.alias("changed_by"),
+            F.lit("reviewed").alias("notes"),
+        ),
+    )
+    return base.select("incident_id", F.explode(F.array_compact(F.array(assign, close))).alias("x")).select(
+        "incident_id", "x.*"
+    )
+
+
+def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON messages as they arrive: change envelopes, deletes, telemetry, broken text."""
+    a = logins(spark, sf_dir)
+    number = F.col("event_id").cast("long")
+    deleted = number % 11 == 0
+    after = F.struct(
+        "event_id", "customer_id", "device_id", "country", "ip_address", "success", (F.col("t") * 1000).alias("timestamp")
+    )
+    source = F.struct(F.concat(F.lit("lsn-"), F.col("event_id")).alias("lsn"), F.lit("public.login_events").alias("table"))
+    a = a.select(
+        F.lit("banking.public.login_events").alias("topic"),
+        F.to_json(
+            F.struct(
+                F.when(~deleted, after).alias("after"),
+                source.alias("source"),
+                F.when(deleted, "d").otherwise("c").alias("op"),
+                F.col("t").alias("ts_ms"),
+            )
+        ).alias("value"),
+        F.col("t").alias("ingest_time"),
+    )
+    b = transfers(spark, sf_dir)
+    after = F.struct("transaction_id", "from_account", "to_account", "amount", (F.col("t") * 1000).alias("timestamp"))
+    source = F.struct(
+        F.concat(F.lit("tx-"), F.col("transaction_id")).alias("txId"), F.lit("public.transactions").alias("table")
+    )
+    b = b.select(
+        F.lit("banking.public.transactions").alias("topic"),
+        F.to_json(
+            F.struct(after.alias("after"), source.alias("source"), F.lit("r").alias("op"), F.col("t").alias("ts_ms"))
+        ).alias("value"),
+        F.col("t").alias("ingest_time"),
+    )
+    c = api_requests(spark, sf_dir)
+    text = F.to_json(
+        F.struct("request_id", "ip_address", "endpoint", "method", "status_code", F.col("t").alias("timestamp"))
+    )
+    broken = F.col("request_id").cast("long") % 13 == 0
+    c = c.withColumn("_text", text).select(
+        F.lit("api_requests").alias("topic"),
+        F.when(broken, F.expr("substring(_text, 1, length(_text) - 5)")).otherwise(F.col("_text")).alias("value"),
+        F.col("t").alias("ingest_time"),
+    )
+    return a.unionByName(b).unionByName(c)
+
+
+def account_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = F.col("op") == "d"
+    row = F.struct("account_id", "customer_id")
+    return account_changes(spark, sf_dir).select(
+        F.to_json(
+            F.struct(
+                F.when(gone, F.struct("account_id")).alias("before"),
+                F.when(~gone, row).alias("after"),
+                "op",
+                F.col("t").alias("ts_ms"),
+            )
+        ).alias("value")
+    )
+
+
+def telemetry_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API telemetry; some records carry a text status code or no timestamp."""
+    number = F.col("request_id").cast("long")
+
+    def record(status: Column, *time: Column) -> Column:
+        fields = ["request_id", "ip_address", F.lit("agent").alias("user_agent"), "endpoint", "method"]
+        return F.to_json(F.struct(*fields, status.alias("status_code"), *time))
+
+    time = F.col("t").alias("timestamp")
+    value = (
+        F.when(number % 17 == 0, record(F.lit("TWO_HUNDRED"), time))
+        .when(number % 19 == 0, record(F.col("status_code")))
+        .otherwise(record(F.col("status_code"), time))
+    )
+    return api_requests(spark, sf_dir).select(value.alias("value"), (F.col("t") + 1000).alias("ingest_time"))
+
+
+def repeated_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers with redeliveries: two inside the 24 h horizon of the first, one beyond it."""
+    hours = F.explode(F.array(*[F.lit(h) for h in (0, 12, 23, 30)]))
+    return (
+        transfers(spark, sf_dir)
+        .select("*", hours.alias("h"))
+        .select(
+            F.concat_ws("-", "transaction_id", "h").alias("event_id"),
+            F.col("from_account").alias("identity_key"),
+            # One transfer in seven lacks a key and is never a repeat.
+            F.when(
+                F.col("transaction_id").cast("long") % 7 != 0,
+                F.concat(F.lit("transactions:"), F.col("transaction_id")),
+            ).alias("dedup_key"),
+            (F.col("t") + F.col("h") * 3_600_000).alias("event_time"),
+        )
+    )
+
+
+def alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts as JSON text; those of the primary engine name no engine and rely on the topic."""
+    primary = F.col("engine_source") == "flink-primary"
+    return alerts(spark, sf_dir).select(
+        F.when(primary, "fraud_alerts_v2").otherwise("fraud_alerts").alias("source_topic"),
+        F.to_json(
+            F.struct(
+                "alert_id",
+                "customer_id",
+                F.col("t").alias("event_time"),
+                F.col("cumulative_score"),
+                F.when(~primary, F.col("engine_source")).alias("engine_source"),
+            )
+        ).alias("value"),
+    )
+
+
+def latest(*frames: DataFrame) -> int:
+    """Largest event time over the frames: the default ``as_of`` of lookbacks."""
+    times = [f.agg(F.max("t").alias("t")) for f in frames]
+    both = times[0]
+    for other in times[1:]:
+        both = both.unionByName(other)
+    return both.agg(F.max("t")).first()[0] or 0
