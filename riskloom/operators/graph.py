@@ -238,11 +238,12 @@ def ego_nodes(edges: DataFrame, center: str, depth: int = 2) -> DataFrame:
     """Nodes within ``depth`` undirected hops of ``center`` with their distance."""
     if not 1 <= depth <= 4:
         raise ValueError("depth must be 1..4")
-    links = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    exists = links.filter(F.col("a") == center).select(F.col("a").alias("id")).limit(1)
-    reached = exists.withColumn("distance", F.lit(0).cast("long"))
-    frontier = exists
+    # Both directions from one pass over the edges.
+    src, dst = F.col("src"), F.col("dst")
+    both = F.array(F.struct(src.alias("a"), dst.alias("b")), F.struct(dst.alias("a"), src.alias("b")))
+    links = edges.select(F.inline(both))
+    frontier = edges.sparkSession.createDataFrame([(center,)], "id string")
+    reached = frontier.withColumn("distance", F.lit(0).cast("long"))
     for hop in range(1, depth + 1):
         # distinct() after the semi join: a hub's many edges never multiply.
         nearby = links.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))

@@ -190,14 +190,14 @@ SELECT incident_id, identity_key, 'Fraud Alert: ANOMALY_DETECTED' AS title, 'OPE
        count(DISTINCT engine_source) > 1 AS corroborated
 FROM assigned GROUP BY incident_id, identity_key""",
     "changes": f"""
-SELECT incident_id, 'a' AS change_id, created_at + {H} AS "at", 'assign' AS kind, NULL AS new_status,
-       'analyst_' || (incident_id % 5) AS assigned_to, 'lead' AS changed_by, NULL AS notes FROM fx_incidents WHERE incident_id % 3 = 0
+SELECT incident_id, 'a' AS change_id, created_at + {H} AS "at", 'assign' AS kind, NULL::VARCHAR AS new_status,
+       'analyst_' || (incident_id % 5) AS assigned_to, 'lead' AS changed_by, NULL::VARCHAR AS notes FROM fx_incidents WHERE incident_id % 3 = 0
 UNION ALL
 SELECT incident_id, 'b', updated_at, 'status', status, NULL, 'analyst_' || (incident_id % 5), 'reviewed'
 FROM fx_incidents WHERE status <> 'OPEN'""",
     "log": """
-SELECT incident_id, '' AS change_id, created_at AS "at", 'open' AS kind, 'OPEN' AS new_status, NULL AS assigned_to,
-       NULL AS changed_by, NULL AS notes, 1 AS rn FROM fx_incidents
+SELECT incident_id, '' AS change_id, created_at AS "at", 'open' AS kind, 'OPEN' AS new_status, NULL::VARCHAR AS assigned_to,
+       NULL::VARCHAR AS changed_by, NULL::VARCHAR AS notes, 1 AS rn FROM fx_incidents
 UNION ALL
 SELECT *, 1 + row_number() OVER (PARTITION BY incident_id ORDER BY "at", change_id) FROM changes""",
     "applied": """
