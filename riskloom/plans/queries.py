@@ -18,6 +18,7 @@ from riskloom.session import use_utc
 from riskloom.sinks import alerts as alert_sink
 from riskloom.sinks import documents
 from riskloom.sources import fixtures as fx
+from riskloom.streaming import jobs
 
 INDICATORS = IndicatorConfig(
     profile_ttl=48 * HOUR,
@@ -428,3 +429,50 @@ def index_documents(spark, d):
             "geo_location": F.concat_ws(";", F.col("geo_location.lat").cast("decimal(9,1)"), F.col("geo_location.lon").cast("decimal(9,1)")),
         }
     ).drop("latitude", "longitude")
+
+
+@query
+def stream_risk_alerts(spark, d):
+    events = fx.risk_events(jobs.StreamTables(spark), d)
+    alerts = jobs.drain(jobs.stream_risk_alerts(events, INDICATORS, SCORES), "risk-alerts")
+    names = [c if c not in ("contributing_indicators", "source_event_ids") else joined(c) for c in ALERT_COLUMNS]
+    return alerts.select(*names)
+
+
+@query
+def stream_account_enrichment(spark, d):
+    tables = jobs.StreamTables(spark)
+    events = fx.transfers(tables, d).select(
+        F.col("transaction_id").alias("event_id"),
+        F.lit(None).cast("string").alias("customer_id"),
+        F.col("from_account").alias("from_account_id"),
+        F.col("t").alias("event_time"),
+    )
+    updates = normalize.parse_account_updates(fx.account_messages(tables, d))
+    return jobs.drain(jobs.stream_account_enrichment(events, updates), "enrichment")
+
+
+@query
+def stream_incidents(spark, d):
+    """Incidents closed by the end of the data: later ones are still open in a stream."""
+    messages = fx.alert_messages(jobs.StreamTables(spark), d)
+    resolved = incidents.resolve_alerts(normalize.decode_alerts(messages))
+    closed = jobs.drain(jobs.stream_incidents(resolved, gap=12 * HOUR), "incidents")
+    return closed.withColumn("engine_sources", F.array_join("engine_sources", ","))
+
+
+@query
+def stream_ato_sequence(spark, d):
+    """The timeline is an intermediate stream: one job writes it, the matcher reads it."""
+    tables = jobs.StreamTables(spark)
+    views = [f(tables, d) for f in (fx.logins, fx.beneficiaries, fx.transfers, fx.account_changes)]
+    written = jobs.drain(jobs.stream_timeline(*views, retention="3650 days"), "timeline")
+    again = spark.readStream.schema(written.schema).parquet(written.inputFiles()[0].rsplit("/", 1)[0])
+    return jobs.drain(jobs.stream_takeovers(again, within=48 * HOUR), "takeovers")
+
+
+@query
+def stream_event_rate(spark, d):
+    """Windows final by the end of the data."""
+    requests = fx.api_requests(jobs.StreamTables(spark), d)
+    return jobs.drain(jobs.stream_event_rate(requests, "t", "method", "5 minutes", "1 minute"), "rate")
