@@ -18,7 +18,7 @@ from riskloom.streaming.profile import Profile, advance
 
 PROFILE_STATE = (
     "segment long, last_t long, device string, country string, login_t long, failures array<long>, "
-    "transfers array<long>, requests array<long>, score long, cell long, alerted_t long, listed array<string>"
+    "transfers array<long>, requests array<long>, score long, cell long, alerted_t long, listed array<string>, timer long"
 )
 EVENT_FIELDS = (
     "indicator",
@@ -37,6 +37,7 @@ ALERT_INPUT = (
     "identity_key string, customer_id string, account_id string, event_id string, event_time long, indicator string, "
     "indicators array<string>, contributing array<string>, score long"
 )
+ALERT_INPUT_COLUMNS = [column.split()[0] for column in ALERT_INPUT.split(", ")]
 
 
 def _plain(value):
@@ -61,6 +62,7 @@ class RiskProcessor(StatefulProcessor):
 
     def __init__(self, indicators: IndicatorConfig, scores: ScoreConfig, horizon: int):
         self.indicators, self.scores, self.horizon = indicators, scores, horizon
+        self.keep = max(indicators.profile_ttl, horizon)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -68,15 +70,16 @@ class RiskProcessor(StatefulProcessor):
         self.seen = handle.getMapState("seen", "dedup_key string", "t long")
 
     def _load(self) -> Profile | None:
-        if not self.profile.exists():
-            return None
         values = self.profile.get()
+        if values is None:
+            return None
         return Profile(**{f.name: _plain(v) for f, v in zip(fields(Profile), values)})
 
     def _repeated(self, key: str | None, t: int) -> bool:
         if key is None:
             return False
-        if self.seen.containsKey((key,)) and t - int(self.seen.getValue((key,))[0]) <= self.horizon:
+        before = self.seen.getValue((key,))
+        if before is not None and t - int(before[0]) <= self.horizon:
             return True
         self.seen.updateValue((key,), (t,))
         return False
@@ -106,22 +109,32 @@ class RiskProcessor(StatefulProcessor):
                     }
                 )
         if profile is not None:
-            self.profile.update(tuple(asdict(profile).values()))
-            self._arm(profile.last_t)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT_INPUT.split(", ")])
+            self._store(profile)
+        yield pd.DataFrame(out, columns=ALERT_INPUT_COLUMNS)
 
-    def _arm(self, last_t: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        keep = max(self.indicators.profile_ttl or self.horizon, self.horizon)
-        self.handle.registerTimer(last_t + keep)
+    def _store(self, profile: Profile) -> None:
+        # One timer per identity is enough: it looks at the last event when it fires.
+        if profile.timer is None:
+            profile.timer = profile.last_t + self.keep
+            self.handle.registerTimer(profile.timer)
+        self.profile.update(tuple(asdict(profile).values()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The identity was silent for a whole profile life: forget it."""
-        self.seen.clear()
-        if self.indicators.profile_ttl:
-            self.profile.clear()
-        yield pd.DataFrame(columns=[c.split()[0] for c in ALERT_INPUT.split(", ")])
+        profile, now = self._load(), expiredTimerInfo.getExpiryTimeInMs()
+        for seen_key, (t,) in list(self.seen.iterator()):
+            if now - int(t) > self.horizon:
+                self.seen.removeKey(seen_key)
+        if profile is not None:
+            if profile.last_t + self.keep > now:
+                profile.timer = None
+                self._store(profile)
+            elif self.indicators.profile_ttl:
+                # Silent for a whole profile life: forget the identity.
+                self.profile.clear()
+            else:
+                profile.timer = None
+                self.profile.update(tuple(asdict(profile).values()))
+        yield pd.DataFrame(columns=ALERT_INPUT_COLUMNS)
 
 
 class OwnerProcessor(StatefulProcessor):
@@ -157,11 +170,15 @@ class TakeoverProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("open", "waiting array<long>, armed array<long>, added array<long>")
+        self.state = handle.getValueState(
+            "open", "waiting array<long>, armed array<long>, added array<long>, timer long"
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        waiting, armed, added = ([_plain(v) or [] for v in self.state.get()] if self.state.exists() else ([], [], []))
-        out, t = [], None
+        stored = self.state.get()
+        waiting, armed, added = ([], [], []) if stored is None else [_plain(v) or [] for v in stored[:3]]
+        timer = None if stored is None else _plain(stored[3])
+        out, t = [], 0
         for r in _in_order(rows, ["event_time", "row_id"]):
             t = int(r["event_time"])
             waiting = [f for f in waiting if t - f < self.within]
@@ -177,17 +194,25 @@ class TakeoverProcessor(StatefulProcessor):
                     out.append((key[0], armed[0], added[0], t, r["amount"]))
                     waiting = []
                 armed, added = [], []
-        self.state.update((waiting, armed, added))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if (waiting or armed) and t is not None:
-            self.handle.registerTimer(t + self.within)
-        elif not (waiting or armed):
-            self.state.clear()
+        self._store(waiting, armed, added, timer, t)
         yield pd.DataFrame(out, columns=TAKEOVER_COLUMNS)
 
+    def _store(self, waiting, armed, added, timer, t) -> None:
+        if timer is None and (waiting or armed):
+            timer = t + self.within
+            self.handle.registerTimer(timer)
+        if timer is None:
+            self.state.clear()
+        else:
+            self.state.update((waiting, armed, added, timer))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        now, stored = expiredTimerInfo.getExpiryTimeInMs(), self.state.get()
+        if stored is not None:
+            waiting, armed, added = [_plain(v) or [] for v in stored[:3]]
+            waiting = [f for f in waiting if now - f < self.within]
+            live = [i for i, f in enumerate(armed) if now - f < self.within]
+            self._store(waiting, [armed[i] for i in live], [added[i] for i in live], None, now)
         yield pd.DataFrame(columns=TAKEOVER_COLUMNS)
 
 

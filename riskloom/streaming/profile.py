@@ -25,6 +25,7 @@ class Profile:
     cell: int = 0
     alerted_t: int | None = None
     listed: list[str] = field(default_factory=list)
+    timer: int | None = None
 
 
 def _count(stamps: list[int], t: int, window: int, limit: int) -> int:
