@@ -288,7 +288,7 @@ def _secondary_output(grouped: DataFrame, config: SecondaryConfig) -> DataFrame:
         "account_id",
         "event_time",
         severity.alias("severity"),
-        F.round("score", 2).alias("cumulative_score"),
+        F.bround("score", 2).alias("cumulative_score"),
         F.lit(config.alert_from).cast("long").alias("threshold"),
         F.col("listed").alias("contributing_indicators"),
         F.coalesce(F.get("listed", F.size("listed") - 1), F.lit("ANOMALY_DETECTED")).alias("trigger_reason"),

@@ -375,7 +375,7 @@ SELECT CASE severity WHEN 'CRITICAL' THEN 'critical_alerts_v2' ELSE 'fraud_alert
 FROM alerts_out""",
     "secondary_risk_alerts": f"""
 SELECT 'SEC-' || identity_key || '-' || (t // {6 * H}) AS alert_id, identity_key, identity_key AS customer_id, account_id,
-       t AS event_time, CASE WHEN score >= 100 THEN 'CRITICAL' ELSE 'FRAUD' END AS severity, round(score, 2) AS cumulative_score,
+       t AS event_time, CASE WHEN score >= 100 THEN 'CRITICAL' ELSE 'FRAUD' END AS severity, round_even(score, 2) AS cumulative_score,
        CAST(80 AS BIGINT) AS threshold, array_to_string(listed, ',') AS contributing_indicators,
        coalesce(listed[-1], 'ANOMALY_DETECTED') AS trigger_reason, t AS first_seen_ts, t AS latest_seen_ts,
        CASE WHEN score >= 100 THEN 'FREEZE_ACCOUNT' ELSE 'REQUIRE_MFA' END AS action_required, 'python-secondary' AS engine_source
