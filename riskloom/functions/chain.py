@@ -24,6 +24,7 @@ _NEVER = -(1 << 62)
 # position inside one gap at most, whatever the block holds.
 _GAPS_PER_BLOCK = 64
 _MIN_BLOCK = 1 << 20
+_FOLD_BLOCK = 128
 
 
 def greedy_chain(
@@ -57,18 +58,42 @@ def _fold(df: DataFrame, key, order, lo, hi, gap, entry) -> DataFrame:
     row = F.struct(*first)
     grouped = df.groupBy(*key).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
     row_type = df.select(row.alias("r")).schema["r"].dataType
-    init = F.struct(
-        F.lit(entry).cast("long").alias("entry"), F.array().cast(T.ArrayType(row_type)).alias("kept")
+
+    # Appending to the result copies it, so a long array is walked in blocks:
+    # first only the entry point runs through them, then each block keeps its rows.
+    starts_at = F.sequence(F.lit(1), F.size("_rows"), F.lit(_FOLD_BLOCK))
+    blocks = F.transform(starts_at, lambda i: F.slice("_rows", i, F.lit(_FOLD_BLOCK)))
+
+    def jump(at: Column, x: Column) -> Column:
+        return F.when(x[lo] >= at, x[hi].cast("long") + F.lit(gap)).otherwise(at)
+
+    walked = F.aggregate(
+        "_blocks",
+        F.struct(F.lit(entry).cast("long").alias("at"), F.array().cast("array<bigint>").alias("entries")),
+        lambda acc, block: F.struct(
+            F.aggregate(block, acc["at"], jump).alias("at"),
+            F.concat(acc["entries"], F.array(acc["at"])).alias("entries"),
+        ),
+        lambda acc: acc["entries"],
     )
 
-    def step(acc: Column, x: Column) -> Column:
+    def keep(acc: Column, x: Column) -> Column:
         taken = F.struct(
-            (x[hi].cast("long") + F.lit(gap)).alias("entry"), F.concat(acc["kept"], F.array(x)).alias("kept")
+            (x[hi].cast("long") + F.lit(gap)).alias("at"), F.concat(acc["kept"], F.array(x)).alias("kept")
         )
-        return F.when(x[lo] >= acc["entry"], taken).otherwise(acc)
+        return F.when(x[lo] >= acc["at"], taken).otherwise(acc)
 
-    kept = F.aggregate("_rows", init, step, lambda acc: acc["kept"])
-    return grouped.select(*key, F.inline(kept)).select(*df.columns)
+    kept = F.aggregate(
+        F.col("_block.rows"),
+        F.struct(F.col("_block.entry").alias("at"), F.array().cast(T.ArrayType(row_type)).alias("kept")),
+        keep,
+        lambda acc: acc["kept"],
+    )
+    zipped = F.arrays_zip(F.col("_blocks").alias("rows"), walked.alias("entry"))
+    per_block = (
+        grouped.withColumn("_blocks", blocks).select(*key, F.explode(zipped).alias("_block"))
+    )
+    return per_block.select(*key, F.inline(kept)).select(*df.columns)
 
 
 def _jump(df: DataFrame, key, order, lo, hi, gap, entry) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,12 @@ def prefixed(value: Column, *accepted: str, prefix: str) -> Column:
 def short_hash(*values: Column, length: int) -> Column:
     """Deterministic id text: the first hex digits of an md5 over the values."""
     return F.substring(F.md5(F.concat_ws("|", *values)), 1, length)
+
+
+def evaluated_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add ``value`` so that it is computed once per row.
+
+    A plain column holding a parse is evaluated again for each filter pushed
+    down on it; the output of a generator is not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

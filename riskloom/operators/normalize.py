@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import schemas
-from riskloom.functions.text import after_last_dot, first_non_blank
+from riskloom.functions.text import after_last_dot, evaluated_once, first_non_blank
 
 
 def rename_topic(topic: Column) -> Column:
@@ -16,7 +16,7 @@ def rename_topic(topic: Column) -> Column:
 
 def _parse(messages: DataFrame, value: str) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return messages.withColumn("m", F.from_json(value, schemas.ENVELOPE, options))
+    return evaluated_once(messages, "m", F.from_json(value, schemas.ENVELOPE, options))
 
 
 def malformed(messages: DataFrame, value: str = "value") -> DataFrame:
@@ -133,7 +133,7 @@ def check_telemetry(messages: DataFrame, value: str = "value", ingest_time: str
     The contract asks for seven typed fields; a missing timestamp is filled and
     not an error.
     """
-    variant = messages.withColumn("v", F.try_parse_json(value))
+    variant = evaluated_once(messages, "v", F.try_parse_json(value))
 
     def kind(name: str) -> Column:
         return F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
@@ -177,7 +177,8 @@ def decode_alerts(messages: DataFrame, value: str = "value") -> DataFrame:
     """
     text = F.col(value).cast("string")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = messages.filter(~text.startswith("\x00")).withColumn("a", F.from_json(text, schemas.ALERT_JSON, options))
+    plain = messages.filter(~text.startswith("\x00"))
+    parsed = evaluated_once(plain, "a", F.from_json(text, schemas.ALERT_JSON, options))
     good = parsed.filter(F.col("a").isNotNull() & F.col("a._corrupt").isNull())
     names = [f.name for f in schemas.ALERT_JSON.fields if f.name != "_corrupt"]
     kept = [c for c in messages.columns if c != value]

@@ -62,7 +62,7 @@ def _sum_and_clear(rows: KeyedRows, key: list[str], threshold: int, lightest: in
 
 
 def inactivity_reset_alerts(
-    labelled: DataFrame,
+    labelled: DataFrame | KeyedRows,
     idle: int = HOUR,
     threshold: int = 80,
     weights: dict[str, int] | None = None,
@@ -70,13 +70,19 @@ def inactivity_reset_alerts(
 ) -> DataFrame:
     """Sum known labels per customer; reset after ``idle`` without one and after an alert.
 
-    ``labelled``: customer_id, risk_indicator_type, event_time, event_id, pos.
+    ``labelled``: customer_id, risk_indicator_type, event_time, event_id, pos;
+    rows already keyed by customer keep their chunks and are not counted again.
     """
     weights = weights or ACCUMULATOR_WEIGHTS
     label, t = F.col("risk_indicator_type"), F.col("event_time")
-    known = labelled.filter(F.col("customer_id").isNotNull() & label.isin(*weights))
+    source = labelled.rows if isinstance(labelled, KeyedRows) else labelled
+    known = source.filter(F.col("customer_id").isNotNull() & label.isin(*weights))
     known = known.withColumns({"label": label, "w": _weight(label, weights, 0)})
-    rows = keyed_rows(known, ["customer_id"], ["event_time", "event_id", "pos"], max_rows)
+    key, order = ["customer_id"], ["event_time", "event_id", "pos"]
+    if isinstance(labelled, KeyedRows):
+        rows = KeyedRows(known, tuple(key), tuple(order), labelled.chunked)
+    else:
+        rows = keyed_rows(known, key, order, max_rows)
     rows = rows.history(lasts={"_prev": t}, sums={"_run": F.col("w")})
     begins = F.col("_prev").isNull() | (t - F.col("_prev") > idle)
     here = F.when(begins, F.struct(t.alias("t"), (F.col("_run") - F.col("w")).alias("before")))

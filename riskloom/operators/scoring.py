@@ -25,8 +25,12 @@ from riskloom.operators.indicators import weight_of
 _CELLS_PER_BLOCK = 256
 
 
-def score_events(rows: KeyedRows, config: ScoreConfig = ScoreConfig()) -> KeyedRows:
-    """Add ``weight`` and ``score`` (after the event) to rows with ``segment`` and ``indicators``."""
+def score_events(rows: KeyedRows, config: ScoreConfig = ScoreConfig(), listed: bool = False) -> KeyedRows:
+    """Add ``weight`` and ``score`` (after the event) to rows with ``segment`` and ``indicators``.
+
+    ``listed`` also adds ``contributing``: the newest indicator names of the
+    profile, looked up in the same pass over the ordered rows.
+    """
     t, segment = F.col("event_time"), F.col("segment")
     rows = rows.with_rows(
         rows.rows.withColumns(
@@ -35,7 +39,12 @@ def score_events(rows: KeyedRows, config: ScoreConfig = ScoreConfig()) -> KeyedR
                 "_cell": F.floor((t - segment) / F.lit(config.decay)).cast("long"),
             }
         )
-    ).history(sums={"_run": F.col("weight")}).staged()
+    )
+    limit = config.listed_indicators
+    rows = rows.history(sums={"_run": F.col("weight")}, lags=_past_indicators(limit) if listed else None)
+    if listed:
+        rows = rows.with_rows(rows.rows.withColumn("contributing", _newest(limit)).drop(*_past_indicators(limit)))
+    rows = rows.staged()
     carry = _carry_into_cells(rows.rows, config)
     joined = rows.rows.join(carry, ["identity_key", "segment", "_cell"])
     score = F.col("_carry") + F.col("_run") - F.col("_run_before")
@@ -98,19 +107,23 @@ _STATE = "struct<k:bigint,s:bigint>"
 _ENTRY = "struct<_cell:bigint,_carry:bigint,_run_before:bigint>"
 
 
-def listed_indicators(rows: KeyedRows, limit: int) -> KeyedRows:
-    """Add ``contributing``: the newest ``limit`` indicator names of the profile."""
+def _past_indicators(limit: int) -> dict[str, tuple[Column, int]]:
+    """The indicators of the ``limit - 1`` rows before that fired any, oldest first.
+
+    A row that fires adds at least one name, so these rows suffice.
+    """
     fired = F.when(F.size("indicators") > 0, F.struct(F.col("segment").alias("s"), F.col("indicators").alias("v")))
-    names = [f"_past{i}" for i in range(limit - 1, 0, -1)]
-    # A row that fires adds at least one name, so limit-1 earlier rows suffice.
-    rows = rows.history(lags={name: (fired, limit - 1 - i) for i, name in enumerate(names)})
+    return {f"_past{back}": (fired, back) for back in range(limit - 1, 0, -1)}
+
+
+def _newest(limit: int) -> Column:
+    none = F.array().cast("array<string>")
     past = [
-        F.coalesce(F.when(F.col(name)["s"] == F.col("segment"), F.col(name)["v"]), F.array().cast("array<string>"))
-        for name in names
+        F.coalesce(F.when(F.col(name)["s"] == F.col("segment"), F.col(name)["v"]), none)
+        for name in _past_indicators(limit)
     ]
     every = F.concat(*past, F.col("indicators"))
-    kept = F.slice(every, F.greatest(F.size(every) - limit + 1, F.lit(1)), F.lit(limit))
-    return rows.with_rows(rows.rows.withColumn("contributing", kept).drop(*names))
+    return F.slice(every, F.greatest(F.size(every) - limit + 1, F.lit(1)), F.lit(limit))
 
 
 def alert_id(identity: str, severity: Column, t: str, cooldown: int) -> Column:
@@ -125,7 +138,7 @@ def risk_alerts(rows: KeyedRows, config: ScoreConfig = ScoreConfig()) -> DataFra
     Every event above the threshold is a candidate, also one that fires no
     indicator; an identity alerts again only after the cooldown.
     """
-    scored = listed_indicators(score_events(rows, config), config.listed_indicators)
+    scored = score_events(rows, config, listed=True)
     over = scored.filter(F.col("score") > config.alert_above)
     gated = greedy_chain(over, ["identity_key", "segment"], "event_time", "event_time", config.cooldown)
     return format_alerts(gated.result(), config)

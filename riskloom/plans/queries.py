@@ -176,22 +176,22 @@ def secondary_risk_alerts(spark, d):
     )
 
 
-def labelled_events(spark, d):
-    rows = indicator_rows(spark, d).result()
-    return rows.select(
-        "customer_id", "event_id", "event_time", F.posexplode("indicators").alias("pos", "risk_indicator_type")
-    )
+def labelled_events(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.posexplode("indicators").alias("pos", "risk_indicator_type")).drop("indicators", "indicator")
 
 
 @query
 def inactivity_reset_alerts(spark, d):
-    alerts = scorers.inactivity_reset_alerts(labelled_events(spark, d), idle=DAY)
+    rows = indicator_rows(spark, d)
+    # Customers are identities here, so the rows are keyed already.
+    customers = rows.with_rows(labelled_events(rows.rows.filter(F.col("customer_id") == F.col("identity_key"))))
+    alerts = scorers.inactivity_reset_alerts(customers, idle=DAY)
     return alerts.withColumn("contributing_indicators", F.array_join("contributing_indicators", ","))
 
 
 @query
 def threshold_clear_alerts(spark, d):
-    alerts = scorers.threshold_clear_alerts(labelled_events(spark, d))
+    alerts = scorers.threshold_clear_alerts(labelled_events(indicator_rows(spark, d).result()))
     return alerts.withColumn("contributing_indicators", F.array_join("contributing_indicators", ","))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions.text import evaluated_once
 from riskloom.schemas import INDEX_MAPPINGS
 
 
@@ -40,7 +41,7 @@ def index_documents(messages: DataFrame, index: str, value: str = "value") -> Da
         ]
     )
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    m = messages.select(F.from_json(value, schema, options).alias("m"))
+    m = evaluated_once(messages.select(value), "m", F.from_json(value, schema, options))
     live = m.filter(
         F.col("m").isNotNull() & F.col("m._corrupt").isNull() & (F.coalesce("m.op", F.lit("")) != "d")
     )

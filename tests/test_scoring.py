@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from riskloom.config import HOUR, MINUTE, PRIMARY_WEIGHTS, IndicatorConfig, ScoreConfig
 from riskloom.operators.indicators import derive_indicators, identity_rows
-from riskloom.operators.scoring import alert_id, listed_indicators, risk_alerts, score_events
+from riskloom.operators.scoring import alert_id, risk_alerts, score_events
 from riskloom.streaming.profile import advance
 
 SCHEMA = (
@@ -121,7 +121,7 @@ def test_four_transfers_raise_one_critical_alert(spark):
 
 def test_list_keeps_eight(spark):
     df = frame(spark, *[login(indicator=f"I{i}") for i in range(12)])
-    rows = listed_indicators(derive_indicators(identity_rows(df)), 8).result()
+    rows = score_events(derive_indicators(identity_rows(df)), listed=True).result()
     last = rows.orderBy(F.desc("event_id")).first()
     assert last.contributing == [f"I{i}" for i in range(4, 12)]
 
