@@ -49,12 +49,12 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    warm = int(os.environ.get("BENCH_RUNS", "3"))
+    warm = int(os.environ.get("BENCH_RUNS", "2"))
     spark = build_session(
         "riskloom-bench",
         f"local[{cpus}]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

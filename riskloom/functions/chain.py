@@ -143,8 +143,14 @@ def _jump(df: DataFrame, key, order, lo, hi, gap, entry) -> DataFrame:
 
     tables = slim.groupBy(*key, "_block").applyInPandas(jump_table, table_type)
     entries = tables.groupBy(*key).applyInPandas(walk, entry_type)
-    kept = slim.join(entries, [*key, "_block"]).groupBy(*key, "_block").applyInPandas(replay, kept_type)
-    return distinct.join(kept, [*key, "_lo"]).select("_row.*").select(*df.columns)
+    kept = _join_null_safe(slim, entries, [*key, "_block"]).groupBy(*key, "_block").applyInPandas(replay, kept_type)
+    return _join_null_safe(distinct, kept, [*key, "_lo"]).select("_row.*").select(*df.columns)
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    names = {c: f"_r_{c}" for c in on}
+    right = right.withColumnsRenamed(names)
+    return left.join(right, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]).drop(*names.values())
 
 
 def block_exits(lo: np.ndarray, hi: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from riskloom.session import cut_lineage
 
 CHUNK = "_chunk"
 COLD = -1
-DEFAULT_MAX_ROWS = 1_000_000
+DEFAULT_MAX_ROWS = 250_000
 # Upper bound for the split points of all hot keys together, hence for the two
 # broadcast tables below; chunks grow when the data would need more.
 MAX_SPLITS = 100_000
@@ -110,7 +110,7 @@ class KeyedRows:
         # Stored, so that a sequence of history() calls reads the rows once per
         # call and not once more for every later call.
         carry = cut_lineage(self._carry(rows.filter(F.col(CHUNK) >= 0), lasts, sums, lags, reverse))
-        out = out.join(F.broadcast(carry), [*self.key, CHUNK], "left")
+        out = _join_on(out, carry, [*self.key, CHUNK], "left")
         merged = {n: F.coalesce(F.col(n), F.col(f"_carry_{n}")) for n in lasts}
         merged |= {
             n: F.when(F.col(f"_carry_{n}").isNull(), F.col(n)).otherwise(
@@ -172,6 +172,14 @@ class KeyedRows:
         return per_chunk.select(*parts, *[f"_carry_{n}" for n in [*lasts, *sums, *lags]])
 
 
+def _join_on(rows: DataFrame, table: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+    """Broadcast join with one of the bounded tables of this module; a null key is a key."""
+    names = {k: f"_k_{k}" for k in key}
+    table = table.withColumnsRenamed(names)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return rows.join(F.broadcast(table), same, how).drop(*names.values())
+
+
 def keyed_rows(
     df: DataFrame, key: Sequence[str], order: Sequence[str], max_rows: int = DEFAULT_MAX_ROWS
 ) -> KeyedRows:
@@ -191,7 +199,7 @@ def keyed_rows(
     per_split = min(_SAMPLES_PER_CHUNK, target)
     hot = counts.filter(F.col("_n") > target).select(*key)
     sampled = (
-        df.join(F.broadcast(hot), list(key), "left_semi")
+        _join_on(df, hot, key, "left_semi")
         .filter(F.pmod(F.xxhash64(*order), F.lit(target // per_split)) == 0)
         .select(*key, *order)
     )
@@ -204,7 +212,7 @@ def keyed_rows(
     )
     # At most MAX_SPLITS points by construction of `target`.
     table = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-    rows = df.join(F.broadcast(table), list(key), "left").withColumn(CHUNK, _locate("_cuts", order)).drop("_cuts")
+    rows = _join_on(df, table, key, "left").withColumn(CHUNK, _locate("_cuts", order)).drop("_cuts")
     return KeyedRows(rows, key, order, chunked=True)
 
 

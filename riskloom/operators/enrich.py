@@ -132,23 +132,36 @@ def provisional_customer(ids: DataFrame, country=None, risk_level=None) -> DataF
     )
 
 
-def dedup_events(events: DataFrame, horizon: int = DAY, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+def dedup_events(
+    events: DataFrame, horizon: int = DAY, max_rows: int = DEFAULT_MAX_ROWS, keep_repeats: bool = False
+) -> DataFrame:
     """Drop repeats of a dedup key inside ``horizon`` of the occurrence that was kept.
 
+    ``keep_repeats`` keeps them, marked in ``repeated``: scoring ignores marked
+    rows but lets them prolong a profile.
+
     Events without a key are never repeats and skip the shuffle. Runs of
     occurrences at most ``horizon`` apart are handled by their own start; only
     runs longer than the horizon, which are rare, need the exact greedy walk.
     """
-    keyed = events.filter(F.col("dedup_key").isNotNull())
-    free = events.filter(F.col("dedup_key").isNull())
+    can_repeat = F.col("dedup_key").isNotNull() & F.col("identity_key").isNotNull()
     t = F.col("event_time")
-    key = ("identity_key", "dedup_key")
-    rows = keyed_rows(keyed, key, ("event_time", "event_id"), max_rows).history(lasts={"_prev": t})
+    key, order = ("identity_key", "dedup_key"), ("event_time", "event_id")
+    rows = keyed_rows(events.filter(can_repeat), key, order, max_rows).history(lasts={"_prev": t})
     begins = F.col("_prev").isNull() | (t - F.col("_prev") > horizon)
     rows = rows.with_column("_begins", F.when(begins, t)).history(lasts={"_open": F.col("_begins")}).staged()
-    start = F.coalesce("_begins", "_open")
-    rows = rows.with_rows(rows.rows.withColumn("_run", start))
-    first = rows.filter(F.col("_begins").isNotNull()).result()
-    late = rows.filter(F.col("_begins").isNull() & (t - F.col("_run") > horizon))
+    first = F.col("_begins").isNotNull()
+    rows = rows.with_column("_run", F.coalesce("_begins", "_open"))
+    near = t - F.col("_run") <= horizon
+    late = rows.filter(~first & ~near)
     again = greedy_chain(late, [*key, "_run"], "event_time", "event_time", horizon + 1).result()
-    return first.unionByName(again).select(*events.columns).unionByName(free)
+
+    def marked(df: DataFrame, repeated: bool) -> DataFrame:
+        return df.select(*events.columns, F.lit(repeated).alias("repeated"))
+
+    kept = marked(rows.filter(first).result(), False).unionByName(marked(again, False))
+    out = kept.unionByName(marked(events.filter(~can_repeat), False))
+    if not keep_repeats:
+        return out.drop("repeated")
+    missed = late.result().join(again.select(*key, *order), [*key, *order], "left_anti")
+    return out.unionByName(marked(rows.filter(~first & near).result(), True)).unionByName(marked(missed, True))

@@ -44,12 +44,16 @@ def profile_segments(rows: KeyedRows, ttl: int) -> KeyedRows:
 
 
 def derive_indicators(rows: KeyedRows, config: IndicatorConfig = IndicatorConfig()) -> KeyedRows:
-    """Add ``segment`` and ``indicators`` (array of names, empty when none fires)."""
+    """Add ``segment`` and ``indicators`` (array of names, empty when none fires).
+
+    Rows marked ``repeated`` prolong the profile and do nothing else.
+    """
     c = config
     rows = profile_segments(rows, c.profile_ttl)
     t, segment, table = F.col("event_time"), F.col("segment"), F.col("source_table")
 
-    derives = F.col("indicator").isNull() if c.honour_explicit else F.lit(True)
+    fresh = ~F.col("repeated") if "repeated" in rows.rows.columns else F.lit(True)
+    derives = fresh & (F.col("indicator").isNull() if c.honour_explicit else F.lit(True))
     login = derives & (table == "login_events")
     transfer = derives & (table == "transactions")
     request = derives & (table == "api_requests")
@@ -108,7 +112,7 @@ def derive_indicators(rows: KeyedRows, config: IndicatorConfig = IndicatorConfig
     }
     derived = F.array_compact(F.array(*[F.when(fired[name], F.lit(name)) for name in INDICATOR_ORDER]))
     if c.honour_explicit:
-        derived = F.when(F.col("indicator").isNotNull(), F.array("indicator")).otherwise(derived)
+        derived = F.when(fresh & F.col("indicator").isNotNull(), F.array("indicator")).otherwise(derived)
     helpers = ["_device", "_country", "_login", "_success", "_failure", "_transfer", "_request"]
     return rows.with_rows(rows.rows.withColumn("indicators", derived).drop(*helpers))
 

@@ -140,6 +140,8 @@ def risk_alerts(rows: KeyedRows, config: ScoreConfig = ScoreConfig()) -> DataFra
     """
     scored = score_events(rows, config, listed=True)
     over = scored.filter(F.col("score") > config.alert_above)
+    if "repeated" in over.rows.columns:
+        over = over.filter(~F.col("repeated"))
     gated = greedy_chain(over, ["identity_key", "segment"], "event_time", "event_time", config.cooldown)
     return format_alerts(gated.result(), config)
 

@@ -62,3 +62,13 @@ def test_no_hot_key_leaves_the_rows_alone(spark):
     _, df = make(spark, 50)
     rows = keyed_rows(df, ["k"], ["t", "id"])
     assert not rows.chunked and rows_of(rows.result()) == rows_of(df)
+
+
+def test_a_null_key_is_a_key_like_any_other(spark):
+    data, _ = make(spark)
+    data = [(None if r[0] == "hot" else r[0], *r[1:]) for r in data]
+    df = spark.createDataFrame(data, "k string, t long, id string, v string, w int")
+    want = {k: v[2] for k, v in expected(data, 3).items()}
+    rows = keyed_rows(df, ["k"], ["t", "id"], max_rows=40).history(sums={"total": F.col("w")})
+    assert rows.chunked
+    assert {r.id: r.total for r in rows.result().collect()} == want
