@@ -466,8 +466,8 @@ def stream_ato_sequence(spark, d):
     """The timeline is an intermediate stream: one job writes it, the matcher reads it."""
     tables = jobs.StreamTables(spark)
     views = [f(tables, d) for f in (fx.logins, fx.beneficiaries, fx.transfers, fx.account_changes)]
-    written = jobs.drain(jobs.stream_timeline(*views, retention="3650 days"), "timeline")
-    again = spark.readStream.schema(written.schema).parquet(written.inputFiles()[0].rsplit("/", 1)[0])
+    timeline = jobs.stream_timeline(*views, retention="3650 days")
+    again = spark.readStream.schema(timeline.schema).parquet(jobs.run_available(timeline, "timeline"))
     return jobs.drain(jobs.stream_takeovers(again, within=48 * HOUR), "takeovers")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,23 +198,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def drain(stream: DataFrame, name: str, write: Callable | None = None) -> DataFrame:
-    """Run a stream over everything available and return what it wrote.
+def run_available(stream: DataFrame, name: str) -> str:
+    """Run a stream over everything available into a fresh folder; its path.
 
     The checkpoint makes a restarted run continue where it stopped; the file
     sink commits each micro-batch once.
     """
-    spark = stream.sparkSession
-    root = scratch(spark, name)
-    writer = stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-    if write is not None:
-        started = writer.foreachBatch(write).start()
-    else:
-        started = writer.format("parquet").option("path", f"{root}/out").outputMode("append").start()
-    started.awaitTermination()
-    if write is not None:
-        return None
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    root = scratch(stream.sparkSession, name)
+    (
+        stream.writeStream.option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True)
+        .format("parquet")
+        .option("path", f"{root}/out")
+        .outputMode("append")
+        .start()
+        .awaitTermination()
+    )
+    return f"{root}/out"
+
+
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream writes over everything available."""
+    return stream.sparkSession.read.schema(stream.schema).parquet(run_available(stream, name))
 
 
 class StreamTables:
