@@ -131,12 +131,17 @@ class KeyedRows:
         parts = [*self.key, CHUNK]
         position = F.struct(*self.order)
         pick = F.min_by if reverse else F.max_by
-        after = Window.partitionBy(*parts).orderBy(*self.order).rowsBetween(1, Window.unboundedFollowing)
+        # Values still to come, as total minus running count: a frame that only
+        # ends at the last row would be aggregated anew for every row.
+        ordered = Window.partitionBy(*parts).orderBy(*self.order)
+        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
         for n, (_, back) in lags.items():
+            to_come = F.count(f"_in_{n}").over(whole) - F.count(f"_in_{n}").over(upto)
             hot = hot.withColumn(
                 f"_tail_{n}",
                 F.when(
-                    F.col(f"_in_{n}").isNotNull() & (F.count(f"_in_{n}").over(after) < back),
+                    F.col(f"_in_{n}").isNotNull() & (to_come < back),
                     F.struct(position.alias("p"), F.col(f"_in_{n}").alias("v")),
                 ),
             )
@@ -157,13 +162,13 @@ class KeyedRows:
         shifted = {f"_carry_{n}": F.last(f"_carry_{n}", ignorenulls=True).over(earlier) for n in lasts}
         shifted |= {f"_carry_{n}": F.sum(f"_carry_{n}").over(earlier) for n in sums}
         per_chunk = per_chunk.withColumns(shifted)
-        upto = Window.partitionBy(*self.key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
+        so_far = Window.partitionBy(*self.key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
         for n, (_, back) in lags.items():
             # Number the chunks that hold a value; the last `back` of them
             # hold at least `back` values, so the frame stays small.
             own = F.when(F.size(f"_tail_{n}") > 0, F.col(f"_tail_{n}"))
             per_chunk = per_chunk.withColumn(f"_own_{n}", own)
-            per_chunk = per_chunk.withColumn(f"_filled_{n}", F.count(f"_own_{n}").over(upto))
+            per_chunk = per_chunk.withColumn(f"_filled_{n}", F.count(f"_own_{n}").over(so_far))
             frame = Window.partitionBy(*self.key).orderBy(f"_filled_{n}").rangeBetween(-back, 0)
             gathered = F.flatten(F.collect_list(f"_own_{n}").over(frame))
             per_chunk = per_chunk.withColumn(f"_all_{n}", gathered)
