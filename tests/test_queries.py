@@ -11,7 +11,10 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 import __spark_entry__ as entry  # noqa: E402
 from check_queries import alike, canonical, connect  # noqa: E402
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from riskloom.plans.oracles import oracle_sql  # noqa: E402
+from riskloom.plans.queries import QUERIES  # noqa: E402
+
+SQL = oracle_sql()
 
 
 @pytest.fixture(scope="module")
