@@ -106,7 +106,8 @@ def known_texts(snapshot: Snapshot, docs: DataFrame, groups: DataFrame) -> DataF
 
     def texts(rows: DataFrame, id_column: str, name: str) -> DataFrame:
         rows = rows.select(F.col("doc_id").alias(id_column), normalized(F.col("text")).alias(name))
-        wanted = pairs.select("text_sha256", F.col(id_column).alias("wanted"))
+        # Shuffled at every size: what is wanted grows with the table, so it is never broadcast.
+        wanted = pairs.select("text_sha256", F.col(id_column).alias("wanted")).hint("shuffle_hash")
         return (
             rows.withColumn("sha", F.sha2(F.col(name).cast("binary"), 256))
             .join(wanted, (F.col("sha") == F.col("text_sha256")) & F.col(id_column).eqNullSafe(F.col("wanted")))
