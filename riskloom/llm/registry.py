@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from riskloom.llm import exact_dedup, simhash, token_counts
+from riskloom.llm import exact_dedup, packing, simhash, token_counts
 
-MODULES = (exact_dedup, simhash, token_counts)
+MODULES = (packing, exact_dedup, simhash, token_counts)
 LLM_QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 LLM_SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
