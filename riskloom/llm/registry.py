@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontamination, exact_dedup, language_id, line_dedup, packing, simhash, token_counts
+from riskloom.llm import (
+    chat_format,
+    decontamination,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    packing,
+    simhash,
+    token_counts,
+)
 
-MODULES = (language_id, packing, exact_dedup, simhash, decontamination, token_counts, line_dedup)
+MODULES = (chat_format, language_id, packing, exact_dedup, simhash, decontamination, token_counts, line_dedup)
 LLM_QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 LLM_SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
