@@ -33,7 +33,7 @@ from riskloom.llm.common import small_batches, stored, table, text_bytes
 from riskloom.llm.cuckoo import CuckooFilter, Full
 
 LEAST_KEY = 10
-KEYS_PER_SHARD = 16384
+KEYS_PER_SHARD = 4096
 KEY = ["k1", "k2"]
 NO_ID = 2**63 - 1  # stands for a null doc_id
 
