@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -218,15 +219,20 @@ def common_subsequence(pattern: dict[int, int], size: int, text: list[int]) -> i
 
 
 def checked(item: np.ndarray, answer: set[int], text: np.ndarray, start: int, end: int) -> tuple[float, float]:
-    """Share of the item found in order near words [start, end) of ``text``, and share of the answer there."""
+    """Share of the item found in order near words [start, end) of ``text`` (0 where it is sure to be
+    below ``LIKELY``), and share of the answer there."""
     size = len(item)
     pattern: dict[int, int] = {}
     for k, word in enumerate(item.tolist()):
         pattern[word] = pattern.get(word, 0) | (1 << k)
     low, high = max(0, start - size), min(len(text), end + size)
     words, span, step = text[low:high].tolist(), size + max(4, size // 4), max(1, size // 8)
-    best, place = -1, 0
+    # No subsequence is longer than the words of the span that the item has: most spans end here.
+    known = [0, *accumulate(word in pattern for word in words)]
+    best, place = 0, 0
     for k in range(0, max(1, len(words) - span + step), step):
+        if known[min(k + span, len(words))] - known[k] < max(LIKELY * size, best + 1):
+            continue
         length = common_subsequence(pattern, size, words[k : k + span])
         if length > best:
             best, place = length, k
