@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import regex
@@ -81,30 +82,34 @@ def reaches(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         F.lit(1).cast("long").alias("depth"),
     )
     step = stored(step, "replies")
-    levels, open_before = [step.select("tree", "node", "up")], None
+    levels, parts, open_before = [], [], None
     while True:
-        still_open = step.filter("up is not null").count()
+        # Rows that have reached their root take no part in later rounds but as a place to arrive at.
+        still_open = step.filter("up is not null")
+        parts.append(step.filter("up is null"))
+        levels.append(still_open.select("tree", "node", "up"))
+        number = still_open.count()
         # In a tree fewer nodes are open after each round; a number that stays is cycles.
-        if still_open == 0 or still_open == open_before:
-            return levels, step.filter("up is null").select("tree", "node", "total", "depth")
-        open_before = still_open
-        above = step.select(
+        if number == 0 or number == open_before:
+            done = reduce(DataFrame.unionByName, parts)
+            return levels, done.select("tree", "node", "total", "depth")
+        open_before = number
+        above = reduce(DataFrame.unionByName, [*parts, still_open]).select(
             "tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2")
         )
-        step = step.join(above, ["tree", "up"], "left").select(
+        step = still_open.join(above, ["tree", "up"]).select(
             "tree",
             "node",
             F.col("up2").alias("up"),
-            (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
-            (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
+            (F.col("total") + F.col("t2")).alias("total"),
+            (F.col("depth") + F.col("d2")).alias("depth"),
         )
         step = stored(step, "replies")
-        levels.append(step.select("tree", "node", "up"))
 
 
 def best_branches(ranked: DataFrame, first_level: DataFrame, branches: int) -> DataFrame:
     """tree, leaf, rank of the ``branches`` best leaves of each tree by mean score of the path."""
-    inner = first_level.select("tree", F.col("up").alias("node")).filter("node is not null").distinct()
+    inner = first_level.select("tree", F.col("up").alias("node")).distinct()
     leaves = ranked.join(inner, ["tree", "node"], "left_anti").withColumn("score", F.col("total") / F.col("depth"))
     order = [F.col("score").desc(), F.col("node")]
     # A tree may hold a third of all rows: rank in salted parts first, then the best of the parts.
@@ -120,7 +125,7 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     paths = best_branches(ranked, levels[0], branches).withColumn("node", F.col("leaf"))
     paths = stored(paths, "paths")
     for level in reversed(levels):
-        up = paths.join(level.filter("up is not null"), ["tree", "node"]).drop("node").withColumnRenamed("up", "node")
+        up = paths.join(level, ["tree", "node"]).drop("node").withColumnRenamed("up", "node")
         paths = stored(paths.unionByName(up), "paths")
     return paths.join(ranked.select("tree", "node", "depth"), ["tree", "node"])
 
