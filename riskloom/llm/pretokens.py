@@ -67,11 +67,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of every byte span, from one running sum."""
-    power, inverse = _powers(len(data))
+def running_hash(data: np.ndarray) -> np.ndarray:
+    """The running sum that all span hashes of ``data`` are taken from."""
+    power, _ = _powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data + np.uint64(1)) * power, out=total[1:])
+    return total
+
+
+def span_hashes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None
+) -> np.ndarray:
+    """A 64-bit polynomial hash of every byte span, from one running sum."""
+    if total is None:
+        total = running_hash(data)
+    _, inverse = _powers(len(data))
     x = (total[ends] - total[starts]) * inverse[starts]
     x ^= (ends - starts).astype(np.uint64) << np.uint64(48)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

@@ -11,8 +11,9 @@ from riskloom.llm import (
     packing,
     simhash,
     token_counts,
+    toxicity,
 )
 
-MODULES = (chat_format, language_id, packing, exact_dedup, simhash, decontamination, token_counts, line_dedup)
+MODULES = (chat_format, language_id, packing, exact_dedup, simhash, decontamination, token_counts, line_dedup, toxicity)
 LLM_QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 LLM_SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
