@@ -7,6 +7,7 @@ from riskloom.llm import (
     decontamination,
     exact_dedup,
     language_id,
+    license_scan,
     line_dedup,
     packing,
     simhash,
@@ -14,6 +15,6 @@ from riskloom.llm import (
     toxicity,
 )
 
-MODULES = (chat_format, language_id, packing, exact_dedup, simhash, decontamination, token_counts, line_dedup, toxicity)
+MODULES = (chat_format, language_id, packing, exact_dedup, simhash, decontamination, token_counts, line_dedup, toxicity, license_scan)
 LLM_QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 LLM_SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
