@@ -174,7 +174,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     kept = exact_dedup(docs).filter("kept").select(key(F.col("text_sha256")).alias("__key"))
     kept = stored(kept.groupBy("__key").agg(F.count(F.lit(1)).alias("n")), "kept")
     rows = docs.withColumn("__key", key(digest(F.col("text"))))
-    once = rows.join(kept.filter("n = 1"), "__key", "left_semi")
+    # Shuffled at every size: the rows that stay grow with the table.
+    once = rows.join(kept.filter("n = 1").hint("shuffle_hash"), "__key", "left_semi")
     repeated = kept.filter("n > 1")
     if not repeated.isEmpty():
         once = once.unionByName(rows.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))

@@ -26,6 +26,7 @@ ORDER = 4  # symbols of context
 SAMPLE_ROWS = 400  # rows of each language a tree is learned from
 RARE_FROM, RARE_COUNT = 4, 2  # grams of this length or more are left out below this total count
 UNKNOWN = "und"
+REJECT_BITS = 6.5  # a byte; about what bytes without any order cost, so nothing in a known language comes near
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -127,6 +128,28 @@ def predict(docs: DataFrame, langs: list[str], model: ppm.Model | None) -> DataF
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
+def keep_known_languages(docs: DataFrame, most_bits: float = REJECT_BITS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known: texts without a letter go, and
+    texts that the best tree codes no better than disorder. Where nothing can be learned, all rows with a letter stay."""
+    spark = small_batches(docs.sparkSession)
+    langs, model = learn(docs)
+    letters = docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    if model is None:
+        return letters
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = text_bytes(batch.column("text"))
+            bits = [np.zeros(0)]
+            for a, b in chunks(offsets):
+                part = offsets[a : b + 1]
+                bits.append(shared.value.bits(part - part[0], data[part[0] : part[-1]]).min(1))
+            yield batch.filter(pa.array(np.concatenate(bits) <= most_bits * np.diff(offsets)))
+
+    return letters.mapInArrow(run, docs.schema)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents, whole texts."""
     docs = table(spark, sf_dir, "documents")

@@ -165,7 +165,8 @@ def one_per_group(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHIN
     Rows with a null id stay only where the whole component has none.
     """
     stay = simhash_groups(docs, distance, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("doc_id").alias("__id")).distinct()
+    # Shuffled at every size: the rows that stay grow with the table.
+    stay = stay.select(F.col("doc_id").alias("__id")).distinct().hint("shuffle_hash")
     return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
 
 
