@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def non_blank(value: Column) -> Column:
     """The value itself, or null where it is null or only white space."""
-    return F.when(F.trim(value) != "", value)
+    return F.when(value.rlike(r"\S"), value)
 
 
 def first_non_blank(*values: Column) -> Column:

@@ -35,7 +35,8 @@ def build_edges(
 ) -> DataFrame:
     """One edge per source row; only transfers and logins are cut to the lookback.
 
-    The cut is a plain comparison on the time column, so it reaches the scan.
+    ``t`` is derived from the tables' own time columns, so to spare the scan the callers cut
+    these first.
     """
     since = as_of - lookback
     none = F.lit(None)
@@ -176,13 +177,13 @@ def circular_rings(rolled: DataFrame, max_hops: int = 6, min_hops: int = 3, prun
         F.col("volume").cast("double").alias("total_volume"),
         F.when(F.col("volume") > 10000, "CRITICAL").otherwise("HIGH").alias("severity"),
         F.concat(
-            F.lit("Circular transfer ring detected across "),
+            F.lit("Money moves in a circle of "),
             F.col("hop_count").cast("string"),
-            F.lit(" accounts: ["),
+            F.lit(" accounts ("),
             text,
             F.lit(" -> "),
             F.get("members", F.lit(0)),
-            F.lit("] with volume $"),
+            F.lit("), in all "),
             total,
         ).alias("description"),
     )
@@ -215,13 +216,13 @@ def shared_infrastructure(edges: DataFrame, min_customers: int = 3) -> DataFrame
         "customers",
         F.when(F.col("customers") >= 5, "CRITICAL").otherwise("HIGH").alias("severity"),
         F.concat(
-            F.lit("Suspicious shared infrastructure anomaly: "),
+            F.lit("Shared by several customers: "),
             kind,
             F.lit(" '"),
             F.col("node_id"),
-            F.lit("' is actively linked across "),
+            F.lit("' belongs to "),
             F.col("customers").cast("string"),
-            F.lit(" distinct customer profiles."),
+            F.lit(" customers"),
         ).alias("description"),
     )
 

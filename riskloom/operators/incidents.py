@@ -163,7 +163,7 @@ def apply_changes(incidents: DataFrame, changes: DataFrame, max_rows: int = DEFA
     applied = rows.with_column("_after", after).result()
     audited = status_change | ((F.col("kind") == "assign") & (F.col("previous_status") == "OPEN"))
     note = F.when(status_change, F.col("notes")).otherwise(
-        F.concat(F.lit("Case automatically advanced to INVESTIGATING upon assignment to "), F.col("assigned_to"))
+        F.concat(F.lit("Under investigation since it was given to "), F.col("assigned_to"))
     )
     audits = applied.filter(audited).select(
         "incident_id",

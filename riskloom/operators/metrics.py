@@ -135,12 +135,20 @@ def api_request_rollup(requests: DataFrame) -> DataFrame:
 
 
 def event_rate(events: DataFrame, time: str, label: str, size: str = "5 minutes", slide: str | None = None) -> DataFrame:
-    """Events per second by label over (sliding) windows; ``time`` is a timestamp."""
+    """Events per second by label over (sliding) windows; ``time`` is a timestamp.
+
+    Sliding windows are put together from counts per slide, so that counts and not events are
+    copied to the windows they belong to. A stream counts per window at once, as its state is kept by window.
+    """
+    counted = events.withColumn("_n", F.lit(1))
+    if slide and not events.isStreaming and _milliseconds(events, size) % _milliseconds(events, slide) == 0:
+        steps = events.groupBy(F.window(time, slide).alias("step"), label).agg(F.count(F.lit(1)).alias("_n"))
+        counted, time = steps.withColumn("_start", F.col("step.start")), "_start"
     window = F.window(time, size, slide) if slide else F.window(time, size)
     seconds = (F.unix_millis(F.col("window.end")) - F.unix_millis(F.col("window.start"))) / 1000
     return (
-        events.groupBy(window.alias("window"), label)
-        .agg(F.count(F.lit(1)).alias("n"))
+        counted.groupBy(window.alias("window"), label)
+        .agg(F.sum("_n").cast("long").alias("n"))
         .select(
             F.unix_millis(F.col("window.start")).alias("window_start"),
             label,
@@ -150,6 +158,11 @@ def event_rate(events: DataFrame, time: str, label: str, size: str = "5 minutes"
     )
 
 
+def _milliseconds(df: DataFrame, interval: str) -> int:
+    end = F.expr(f"unix_millis(timestamp_millis(0) + INTERVAL {interval})")
+    return df.sparkSession.range(1).select(end).first()[0]
+
+
 def identities_tracked(events: DataFrame, approximate: bool = False, prefix: str | None = None) -> DataFrame:
     """Distinct identities, in all and (optionally) those with a given prefix."""
     identity = F.col("identity_key")

@@ -169,17 +169,21 @@ def split_telemetry(messages: DataFrame, value: str = "value", ingest_time: str
     return valid, dead
 
 
-def decode_alerts(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Alerts of both engines from JSON bytes or text.
+def decode_alerts(messages: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(alerts, undecoded messages) of both engines from JSON bytes or text.
 
-    A leading zero byte marks the binary wire format; those records go through
-    ``from_avro`` where that package is on the class path and are left out here.
+    A leading zero byte marks the binary wire format, which needs ``from_avro`` and
+    its package (see the readers). Nothing is dropped: every message is either an alert or an
+    undecoded row with all its columns and the reason in ``error``.
     """
-    text = F.col(value).cast("string")
+    text = F.coalesce(F.col(value).cast("string"), F.lit(""))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    plain = messages.filter(~text.startswith("\x00"))
-    parsed = evaluated_once(plain, "a", F.from_json(text, schemas.ALERT_JSON, options))
-    good = parsed.filter(F.col("a").isNotNull() & F.col("a._corrupt").isNull())
+    parsed = evaluated_once(messages, "a", F.from_json(text, schemas.ALERT_JSON, options))
+    error = F.when(text.startswith("\x00"), F.lit("binary wire format")).when(
+        F.col("a").isNull() | F.col("a._corrupt").isNotNull(), F.lit("not a JSON record")
+    )
+    bad = parsed.withColumn("error", error).filter(F.col("error").isNotNull()).drop("a")
+    good = parsed.filter(error.isNull())
     names = [f.name for f in schemas.ALERT_JSON.fields if f.name != "_corrupt"]
     kept = [c for c in messages.columns if c != value]
-    return good.select(*kept, *[F.col(f"a.{n}") for n in names])
+    return good.select(*kept, *[F.col(f"a.{n}") for n in names]), bad

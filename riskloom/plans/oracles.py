@@ -208,7 +208,7 @@ FROM applied p JOIN log n ON n.incident_id = p.incident_id AND n.rn = p.rn + 1""
     "audits": """
 SELECT incident_id, change_id, previous_status, status AS new_status, changed_by,
        CASE WHEN kind = 'status' THEN notes
-            ELSE 'Case automatically advanced to INVESTIGATING upon assignment to ' || assigned_to END AS notes, "at"
+            ELSE 'Under investigation since it was given to ' || assigned_to END AS notes, "at"
 FROM applied WHERE kind = 'status' OR (kind = 'assign' AND previous_status = 'OPEN')""",
     "ring_edges": f"""
 SELECT src, dst, sum(CAST(amount AS DECIMAL(18,2))) AS total_amount, count(*) AS transfers
@@ -401,6 +401,9 @@ SELECT customer_id, 'CEP_ATO_MATCH' AS risk_indicator_type, f_t AS initial_faile
        t_t AS exfiltration_transfer_time, amount AS stolen_funds FROM ato_walk WHERE kept""",
     "decode_alerts": """
 SELECT source_topic, alert_id, identity_key, event_time, risk_score, 'ANOMALY_DETECTED' AS indicator, engine_source FROM fx_alerts""",
+    "alert_decoding": f"""
+SELECT source_topic, CASE (event_time // {D}) % 5 WHEN 0 THEN 'binary wire format' WHEN 1 THEN 'not a JSON record' ELSE 'decoded' END AS outcome,
+       count(*) AS messages FROM fx_alerts GROUP BY ALL""",
     "incidents": "SELECT * FROM rolled",
     "incident_detail": """
 SELECT incident_id, r.identity_key, title, status, severity, alert_count, corroborated, 'alert' AS child, alert_id AS child_id,
@@ -427,16 +430,16 @@ SELECT * FROM fx_incidents WHERE status = 'INVESTIGATING' ORDER BY updated_at DE
 SELECT 'RING-CIRCULAR-' || left(md5(array_to_string(members, ' -> ')), 8) AS ring_id, 'CIRCULAR_TRANSFER_RING' AS ring_type,
        array_to_string(members, ',') AS members, hop_count, CAST(volume AS DOUBLE) AS total_volume,
        CASE WHEN volume > 10000 THEN 'CRITICAL' ELSE 'HIGH' END AS severity,
-       'Circular transfer ring detected across ' || hop_count || ' accounts: [' || array_to_string(members, ' -> ') || ' -> ' || members[1]
-         || '] with volume $' || format('{:,.2f}', CAST(volume AS DOUBLE)) AS description FROM rings""",
+       'Money moves in a circle of ' || hop_count || ' accounts (' || array_to_string(members, ' -> ') || ' -> ' || members[1]
+         || '), in all ' || format('{:,.2f}', CAST(volume AS DOUBLE)) AS description FROM rings""",
     "entity_graph_edges": "SELECT * FROM edges",
     "entity_graph_nodes": "SELECT * FROM nodes",
     "graph_scan_counts": "SELECT 'nodes' AS kind, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges",
     "shared_infrastructure": """
 SELECT ring_id, 'SHARED_INFRASTRUCTURE_CLUSTER' AS ring_type, dst AS shared_entity_id, CAST(2 AS BIGINT) AS hop_count, customers,
        CASE WHEN customers >= 5 THEN 'CRITICAL' ELSE 'HIGH' END AS severity,
-       'Suspicious shared infrastructure anomaly: ' || CASE relationship WHEN 'USED_DEVICE' THEN 'Device Fingerprint' ELSE 'IP Address' END
-         || ' ''' || dst || ''' is actively linked across ' || customers || ' distinct customer profiles.' AS description FROM shared""",
+       'Shared by several customers: ' || CASE relationship WHEN 'USED_DEVICE' THEN 'Device Fingerprint' ELSE 'IP Address' END
+         || ' ''' || dst || ''' belongs to ' || customers || ' customers' AS description FROM shared""",
     "shared_infrastructure_members": """
 SELECT DISTINCT ring_id, src AS member FROM shared JOIN edges USING (dst)
 WHERE edges.relationship IN ('USED_DEVICE', 'LOGGED_IN_FROM')

@@ -18,8 +18,16 @@ def millis(col: str) -> Column:
     return F.unix_millis(F.col(col).cast("timestamp"))
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def since_time(df: DataFrame, column: str, since: int | None) -> DataFrame:
+    """Rows from ``since`` (milliseconds) on, compared on the bare column, so that it reaches the scan."""
+    if since is None:
+        return df
+    bound = F.timestamp_millis(F.lit(since)).cast(df.schema[column].dataType)
+    return df.filter(F.col(column) >= bound)
+
+
+def _events(spark: SparkSession, sf_dir: str, since: int | None = None) -> DataFrame:
+    return since_time(table(spark, sf_dir, "events"), "ts", since).select(
         F.col("event_id").cast("string").alias("event_id"),
         F.col("event_id").alias("event_no"),
         F.col("user_id"),
@@ -34,10 +42,10 @@ def _customer() -> Column:
     return F.concat(F.lit("cust_"), F.col("user_id"))
 
 
-def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logins(spark: SparkSession, sf_dir: str, since: int | None = None) -> DataFrame:
     countries = F.array(*[F.lit(c) for c in ("US", "CA", "KE", "RU", "CN")])
     return (
-        _events(spark, sf_dir)
+        _events(spark, sf_dir, since)
         .filter(F.col("event_type").isin("click", "view", "error"))
         .select(
             "event_id",
@@ -59,10 +67,10 @@ def beneficiaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transfers(spark: SparkSession, sf_dir: str, since: int | None = None) -> DataFrame:
     to_no = (F.col("user_id") * 7 + F.col("event_no") * 3) % 200
     return (
-        _events(spark, sf_dir)
+        _events(spark, sf_dir, since)
         .filter(F.col("event_type") == "purchase")
         .select(
             F.col("event_id").alias("transaction_id"),
@@ -121,12 +129,12 @@ def account_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def account_graph_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def account_graph_transfers(spark: SparkSession, sf_dir: str, since: int | None = None) -> DataFrame:
     def padded(number: Column) -> Column:
         return F.concat(F.lit("ACC-"), F.lpad(number.cast("string"), 6, "0"))
 
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    return table(spark, sf_dir, "orders").select(
+    return since_time(table(spark, sf_dir, "orders"), "o_orderdate", since).select(
         key.cast("string").alias("transaction_id"),
         padded(cust).alias("from_account"),
         padded(cust - cust % 6 + (key * 7 + cust * 3) % 6).alias("to_account"),

@@ -131,5 +131,16 @@ def test_binary_alerts_are_left_to_the_avro_reader(spark):
         [(bytearray(b"\x00\x00\x00\x00\x01abc"), "t"), (bytearray(b'{"alert_id": "a", "risk_score": 5}'), "t")],
         "value binary, source_topic string",
     )
-    (row,) = normalize.decode_alerts(df).collect()
+    decoded, undecoded = normalize.decode_alerts(df)
+    (row,) = decoded.collect()
     assert (row.alert_id, row.risk_score) == ("a", 5.0)
+    (left,) = undecoded.collect()
+    assert (bytes(left.value)[:1], left.source_topic, left.error) == (b"\x00", "t", "binary wire format")
+
+
+def test_no_alert_message_gets_lost(spark):
+    values = [b"\x00abc", b"", b"{", b"[1]", b'{"alert_id": "a"}', None, b"null"]
+    df = spark.createDataFrame([(bytearray(v) if v is not None else None, k) for k, v in enumerate(values)], "value binary, n int")
+    decoded, undecoded = normalize.decode_alerts(df)
+    assert sorted([r.n for r in decoded.collect()] + [r.n for r in undecoded.collect()]) == list(range(len(values)))
+    assert {r.n for r in decoded.collect()} == {4}
