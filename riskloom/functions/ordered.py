@@ -21,9 +21,9 @@ from riskloom.session import cut_lineage
 CHUNK = "_chunk"
 COLD = -1
 DEFAULT_MAX_ROWS = 250_000
-# Upper bound for the split points of all hot keys together, hence for the two
-# broadcast tables below; chunks grow when the data would need more.
-MAX_SPLITS = 100_000
+# Up to this many split points of all hot keys together are sent to every task; beyond it
+# they stay a table and are joined.
+MAX_SENT_SPLITS = 100_000
 _SAMPLES_PER_CHUNK = 64
 
 
@@ -49,9 +49,9 @@ class KeyedRows:
     def filter(self, condition: Column) -> KeyedRows:
         return self.with_rows(self.rows.filter(condition))
 
-    def staged(self) -> KeyedRows:
-        """Store the rows if a key is hot; several passes over them follow."""
-        return self.with_rows(cut_lineage(self.rows)) if self.chunked else self
+    def staged(self, always: bool = False) -> KeyedRows:
+        """Store the rows if a key is hot, or in any case; several passes over them follow."""
+        return self.with_rows(cut_lineage(self.rows)) if self.chunked or always else self
 
     def cold(self) -> DataFrame:
         return self.rows.filter(F.col(CHUNK) == COLD) if self.chunked else self.rows
@@ -106,11 +106,11 @@ class KeyedRows:
         return self.with_rows(out.drop(*inputs))
 
     def _add_carry(self, rows, out, lasts, sums, lags, reverse) -> DataFrame:
-        # One row per chunk of a hot key: at most MAX_SPLITS plus one per hot key.
-        # Stored, so that a sequence of history() calls reads the rows once per
-        # call and not once more for every later call.
+        # One row per chunk of a hot key. Stored, so that a sequence of history() calls reads the
+        # rows once per call and not once more for every later call. Its rows hold whole
+        # histories, so Catalyst decides how it is joined.
         carry = cut_lineage(self._carry(rows.filter(F.col(CHUNK) >= 0), lasts, sums, lags, reverse))
-        out = _join_on(out, carry, [*self.key, CHUNK], "left")
+        out = _join_on(out, carry, [*self.key, CHUNK], "left", send=False)
         merged = {n: F.coalesce(F.col(n), F.col(f"_carry_{n}")) for n in lasts}
         merged |= {
             n: F.when(F.col(f"_carry_{n}").isNull(), F.col(n)).otherwise(
@@ -177,12 +177,12 @@ class KeyedRows:
         return per_chunk.select(*parts, *[f"_carry_{n}" for n in [*lasts, *sums, *lags]])
 
 
-def _join_on(rows: DataFrame, table: DataFrame, key: Sequence[str], how: str) -> DataFrame:
-    """Broadcast join with one of the bounded tables of this module; a null key is a key."""
+def _join_on(rows: DataFrame, table: DataFrame, key: Sequence[str], how: str, send: bool) -> DataFrame:
+    """Join with a table of this module, sent to every task where it is known to be small; a null key is a key."""
     names = {k: f"_k_{k}" for k in key}
     table = table.withColumnsRenamed(names)
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
-    return rows.join(F.broadcast(table), same, how).drop(*names.values())
+    return rows.join(F.broadcast(table) if send else table, same, how).drop(*names.values())
 
 
 def keyed_rows(
@@ -200,12 +200,12 @@ def keyed_rows(
     if not found["keys"]:
         return KeyedRows(df, key, order)
 
-    target = max(max_rows, math.ceil(found["n"] / MAX_SPLITS))
-    per_split = min(_SAMPLES_PER_CHUNK, target)
-    hot = counts.filter(F.col("_n") > target).select(*key)
+    per_split = min(_SAMPLES_PER_CHUNK, max_rows)
+    send = math.ceil(found["n"] / max_rows) <= MAX_SENT_SPLITS
+    hot = counts.select(*key)
     sampled = (
-        _join_on(df, hot, key, "left_semi")
-        .filter(F.pmod(F.xxhash64(*order), F.lit(target // per_split)) == 0)
+        _join_on(df, hot, key, "left_semi", send)
+        .filter(F.pmod(F.xxhash64(*order), F.lit(max_rows // per_split)) == 0)
         .select(*key, *order)
     )
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
@@ -215,16 +215,16 @@ def keyed_rows(
         .groupBy(*key)
         .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_cuts"))
     )
-    # At most MAX_SPLITS points by construction of `target`.
-    table = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-    rows = _join_on(df, table, key, "left").withColumn(CHUNK, _locate("_cuts", order)).drop("_cuts")
+    # Few enough points are sent; more stay a stored table, and adaptive execution splits the hot keys of that join.
+    table = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema) if send else cut_lineage(cuts)
+    rows = _join_on(df, table, key, "left", send).withColumn(CHUNK, _locate("_cuts", order)).drop("_cuts")
     return KeyedRows(rows, key, order, chunked=True)
 
 
 def _locate(cuts: str, order: Sequence[str]) -> Column:
     """Number of cut points at or before the row, by binary search inside the JVM."""
     here = F.struct(*order)
-    steps = F.array(*[F.lit(1 << b) for b in range(MAX_SPLITS.bit_length(), -1, -1)])
+    steps = F.array(*[F.lit(1 << b) for b in range(29, -1, -1)])
 
     def advance(found: Column, step: Column) -> Column:
         reached = F.get(F.col(cuts), found + step - 1)

@@ -116,6 +116,8 @@ def threshold_clear_alerts(
             "w": _weight(label, weights, unknown),
         }
     )
+    # The labels are derived once, not once for the count of hot keys and once more for the sums.
+    named = cut_lineage(named)
     rows = keyed_rows(named, ["customer_id"], ["event_time", "event_id", "pos"], max_rows)
     rows = rows.history(sums={"_sum": F.col("w")})
     lightest = min(unknown, *weights.values())

@@ -44,7 +44,8 @@ def score_events(rows: KeyedRows, config: ScoreConfig = ScoreConfig(), listed: b
     rows = rows.history(sums={"_run": F.col("weight")}, lags=_past_indicators(limit) if listed else None)
     if listed:
         rows = rows.with_rows(rows.rows.withColumn("contributing", _newest(limit)).drop(*_past_indicators(limit)))
-    rows = rows.staged()
+    # Read twice below, each time with other columns, so no exchange would be shared: derive them once.
+    rows = rows.staged(always=True)
     carry = _carry_into_cells(rows.rows, config)
     joined = rows.rows.join(carry, ["identity_key", "segment", "_cell"])
     score = F.col("_carry") + F.col("_run") - F.col("_run_before")

@@ -12,6 +12,7 @@ from riskloom.functions.ordered import DEFAULT_MAX_ROWS
 from riskloom.operators import enrich, incidents, normalize
 from riskloom.operators.indicators import derive_indicators, identity_rows
 from riskloom.operators.scoring import risk_alerts
+from riskloom.session import cut_lineage
 from riskloom.sinks import alerts as sink
 from riskloom.streaming import jobs
 
@@ -32,8 +33,10 @@ def batch_alerts(messages: DataFrame, account_messages: DataFrame, settings: Set
     """
     events = normalize.normalize_events(messages)
     owned = enrich.enrich_accounts(events, normalize.parse_account_updates(account_messages), settings.max_rows)
-    known = owned.filter(F.col("identity_key").isNotNull())
-    marked = enrich.dedup_events(known, settings.horizon, settings.max_rows, keep_repeats=True)
+    # Written once here and once after the repeats are marked: later steps read their rows several
+    # times, and would parse all messages again each time.
+    known = cut_lineage(owned.filter(F.col("identity_key").isNotNull()))
+    marked = cut_lineage(enrich.dedup_events(known, settings.horizon, settings.max_rows, keep_repeats=True))
     rows = derive_indicators(identity_rows(marked, settings.max_rows), settings.indicators)
     return risk_alerts(rows, settings.scores)
 
