@@ -484,14 +484,12 @@ SELECT event_id, customer_id, success, ip_address, country, device_id, t AS time
 FROM located WHERE n % 11 <> 0""",
 }
 
-# The streams give the rows of their batch twins; windowed ones only what is final.
+# The streams give the rows of their batch twins.
 BODIES["stream_risk_alerts"] = BODIES["risk_alerts"]
 BODIES["stream_account_enrichment"] = BODIES["account_enrichment"]
 BODIES["stream_ato_sequence"] = BODIES["ato_sequence"]
-BODIES["stream_incidents"] = f"""
-SELECT * FROM rolled WHERE last_alert_at + {12 * H} < (SELECT max(event_time) FROM fx_alerts) - 300000"""
-BODIES["stream_event_rate"] = f"""
-SELECT * FROM ({BODIES["event_rate_5m"].strip()}) WHERE window_start + 300000 <= (SELECT max(t) FROM fx_api) - 5000"""
+BODIES["stream_incidents"] = BODIES["incidents"]
+BODIES["stream_event_rate"] = BODIES["event_rate_5m"]
 
 
 def _needs(text: str) -> list[str]:

@@ -465,11 +465,14 @@ def stream_account_enrichment(spark, d):
 
 @query
 def stream_incidents(spark, d):
-    """Incidents closed by the end of the data: later ones are still open in a stream."""
-    messages = fx.alert_messages(jobs.StreamTables(spark), d)
-    resolved = incidents.resolve_alerts(normalize.decode_alerts(messages)[0])
-    closed = jobs.drain(jobs.stream_incidents(resolved, gap=12 * HOUR), "incidents")
-    return closed.withColumn("engine_sources", F.array_join("engine_sources", ","))
+    """Incidents the stream has closed, and those still open at the end of the data."""
+
+    def resolved(tables):
+        return incidents.resolve_alerts(normalize.decode_alerts(fx.alert_messages(tables, d))[0])
+
+    closed = jobs.drain(jobs.stream_incidents(resolved(jobs.StreamTables(spark)), gap=12 * HOUR), "incidents")
+    shown = jobs.current_incidents(closed, resolved(spark), gap=12 * HOUR)
+    return shown.withColumn("engine_sources", F.array_join("engine_sources", ","))
 
 
 @query
@@ -484,6 +487,7 @@ def stream_ato_sequence(spark, d):
 
 @query
 def stream_event_rate(spark, d):
-    """Windows final by the end of the data."""
+    """Every window an event fell into, final or not."""
     requests = fx.api_requests(jobs.StreamTables(spark), d)
-    return jobs.drain(jobs.stream_event_rate(requests, "t", "method", "5 minutes", "1 minute"), "rate")
+    rates = jobs.stream_event_rate(requests, "t", "method", "5 minutes", "1 minute")
+    return jobs.drain_latest(rates, ["window_start", "method"], "rate")

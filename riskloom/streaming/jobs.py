@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.config import DAY, HOUR, MINUTE, IndicatorConfig, ScoreConfig
+from riskloom.operators.incidents import assign_incidents, roll_up_incidents
 from riskloom.operators.metrics import event_rate
 from riskloom.operators.scoring import format_alerts
 from riskloom.session import checkpoint_dir
@@ -178,10 +180,20 @@ def stream_incidents(alerts: DataFrame, gap: int = 30 * MINUTE, delay: str = "30
     )
 
 
+def current_incidents(closed: DataFrame, alerts: DataFrame, gap: int = 30 * MINUTE) -> DataFrame:
+    """Incidents as an analyst sees them: those the stream has closed, and the open one of each
+    identity, put together from its alerts after the last closed incident."""
+    last = closed.groupBy("identity_key").agg(F.max("last_alert_at").alias("_closed"))
+    later = F.col("_closed").isNull() | (F.col("event_time") > F.col("_closed"))
+    rest = alerts.join(last, "identity_key", "left").filter(later).drop("_closed")
+    return closed.unionByName(roll_up_incidents(assign_incidents(rest, gap).result()))
+
+
 def stream_event_rate(
     events: DataFrame, time: str, label: str, size: str = "5 minutes", slide: str | None = None, delay: str = "5 seconds"
 ) -> DataFrame:
-    """Sliding event rates, each window emitted once final."""
+    """Sliding event rates. In append mode each window comes once final, in update mode (see
+    ``drain_latest``) with every change, the first event included."""
     return event_rate(with_watermark(events, time, delay), "event_ts", label, size, slide)
 
 
@@ -222,6 +234,31 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(run_available(stream, name))
 
 
+def drain_latest(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The last state of every key that a stream in update mode writes over everything available.
+
+    A micro-batch that is run again writes its own folder again.
+    """
+    spark, root = stream.sparkSession, scratch(stream.sparkSession, name)
+    versioned = T.StructType([*stream.schema.fields, T.StructField("_epoch", T.LongType())])
+    spark.createDataFrame([], versioned).write.parquet(f"{root}/out/start")
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{root}/out/{epoch}")
+
+    (
+        stream.writeStream.option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True)
+        .outputMode("update")
+        .foreachBatch(keep)
+        .start()
+        .awaitTermination()
+    )
+    rows = spark.read.schema(versioned).parquet(f"{root}/out/*")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "_epoch").alias("_row"))
+    return last.select("_row.*")
+
+
 class StreamTables:
     """Stands in for a session when fixture views are wanted as streams."""
 
