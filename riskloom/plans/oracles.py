@@ -489,6 +489,10 @@ BODIES["stream_risk_alerts"] = BODIES["risk_alerts"]
 BODIES["stream_account_enrichment"] = BODIES["account_enrichment"]
 BODIES["stream_ato_sequence"] = BODIES["ato_sequence"]
 BODIES["stream_incidents"] = BODIES["incidents"]
+# How a key is cut into chunks changes no row.
+BODIES["risk_alerts_split"] = BODIES["risk_alerts"]
+BODIES["threshold_clear_split"] = BODIES["threshold_clear_alerts"]
+BODIES["dedup_split"] = BODIES["dedup_events"]
 BODIES["stream_event_rate"] = BODIES["event_rate_5m"]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.config import DAY, HOUR, IndicatorConfig, ScoreConfig, SecondaryConfig, secondary_indicators
+from riskloom.functions.ordered import DEFAULT_MAX_ROWS
 from riskloom.operators import enrich, graph, incidents, metrics, normalize, scorers, scoring, sequence
 from riskloom.operators.indicators import derive_indicators, identity_rows, indicator_counts
 from riskloom.session import use_utc
@@ -44,6 +45,7 @@ SECONDARY_INDICATORS = secondary_indicators(
 )
 SECONDARY = SecondaryConfig(decay=12 * HOUR, cooldown=6 * HOUR)
 WEEK, YEAR = 7 * DAY, 365 * DAY
+SPLIT_ROWS = 40  # rows of a key from which the *_split queries treat it as hot
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,6 +79,12 @@ def dedup_events(spark, d):
     return enrich.dedup_events(fx.repeated_transfers(spark, d))
 
 
+@query
+def dedup_split(spark, d):
+    """As ``dedup_events``, with most accounts taken as hot."""
+    return enrich.dedup_events(fx.repeated_transfers(spark, d), max_rows=SPLIT_ROWS)
+
+
 @query
 def account_snapshot(spark, d):
     return enrich.account_snapshot(normalize.parse_account_updates(fx.account_messages(spark, d)))
@@ -108,8 +116,8 @@ def historical_context(spark, d):
     return seen.select("event_id", "identity_key", "event_time", "seen_beyond_state_window")
 
 
-def indicator_rows(spark, d):
-    return derive_indicators(identity_rows(fx.risk_events(spark, d)), INDICATORS)
+def indicator_rows(spark, d, max_rows=DEFAULT_MAX_ROWS):
+    return derive_indicators(identity_rows(fx.risk_events(spark, d), max_rows), INDICATORS)
 
 
 @query
@@ -124,8 +132,8 @@ def risk_scores(spark, d):
     return rows.select("identity_key", "event_id", "event_time", "weight", "score")
 
 
-def primary_alerts(spark, d):
-    return scoring.risk_alerts(indicator_rows(spark, d), SCORES)
+def primary_alerts(spark, d, max_rows=DEFAULT_MAX_ROWS):
+    return scoring.risk_alerts(indicator_rows(spark, d, max_rows), SCORES)
 
 
 @query
@@ -134,6 +142,13 @@ def risk_alerts(spark, d):
     return primary_alerts(spark, d).select(*names)
 
 
+@query
+def risk_alerts_split(spark, d):
+    """As ``risk_alerts``, with most identities taken as hot."""
+    names = [c if c not in ("contributing_indicators", "source_event_ids") else joined(c) for c in ALERT_COLUMNS]
+    return primary_alerts(spark, d, SPLIT_ROWS).select(*names)
+
+
 ALERT_COLUMNS = [
     "alert_id",
     "identity_key",
@@ -195,6 +210,14 @@ def threshold_clear_alerts(spark, d):
     return alerts.withColumn("contributing_indicators", F.array_join("contributing_indicators", ","))
 
 
+@query
+def threshold_clear_split(spark, d):
+    """As ``threshold_clear_alerts``, with most customers taken as hot."""
+    labelled = labelled_events(indicator_rows(spark, d).result())
+    alerts = scorers.threshold_clear_alerts(labelled, max_rows=SPLIT_ROWS)
+    return alerts.withColumn("contributing_indicators", F.array_join("contributing_indicators", ","))
+
+
 @query
 def ip_velocity_alerts(spark, d):
     return scorers.ip_velocity_alerts(fx.api_requests(spark, d), hits=3, window=DAY, box=2 * DAY)

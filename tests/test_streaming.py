@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from riskloom.config import HOUR, MINUTE, IndicatorConfig, ScoreConfig
-from riskloom.operators import incidents
+from riskloom.operators import incidents, metrics
 from riskloom.operators.indicators import derive_indicators, identity_rows
 from riskloom.operators.scoring import risk_alerts
 from riskloom.operators.sequence import takeover_sequences
@@ -72,6 +72,29 @@ def test_incidents_close_when_the_gap_has_passed(spark, replay):
     assert rows_of(stream.select(*batch.columns)) == rows_of(batch)
 
 
+def test_open_incidents_are_shown(spark, replay):
+    rnd = random.Random(7)
+    data = [(f"a{i:03d}", rnd.choice("xyz"), rnd.randrange(400) * MINUTE, float(i), "flink-primary") for i in range(60)]
+    schema = "alert_id string, customer_id string, event_time long, cumulative_score double, engine_source string"
+    df = incidents.resolve_alerts(spark.createDataFrame(data, schema))
+    batch = incidents.roll_up_incidents(incidents.assign_incidents(df).result())
+    closed = jobs.drain(jobs.stream_incidents(replay(df, "event_time")), "t-open")
+    assert closed.count() < batch.count()
+    assert rows_of(jobs.current_incidents(closed, df).select(*batch.columns)) == rows_of(batch)
+
+
+def test_rates_show_windows_that_are_not_final(spark, replay):
+    rnd = random.Random(8)
+    df = spark.createDataFrame([(rnd.choice("ab"), 1000 * rnd.randrange(3600)) for _ in range(300)], "method string, t long")
+    timed = df.withColumn("ts", F.timestamp_millis("t"))
+    batch = metrics.event_rate(timed, "ts", "method", "5 minutes", "1 minute")
+    direct = metrics.event_rate(timed, "ts", "method", "5 minutes", "2 minutes")
+    assert batch.agg(F.sum("n")).first()[0] == 5 * 300 and direct.agg(F.sum("n")).first()[0] > 2 * 300
+    stream = jobs.stream_event_rate(replay(df, "t"), "t", "method", "5 minutes", "1 minute")
+    shown = jobs.drain_latest(stream, ["window_start", "method"], "t-rate")
+    assert rows_of(shown.select(*batch.columns)) == rows_of(batch)
+
+
 def test_dedup_within_watermark(spark, replay):
     data = [("c", "k1", 1000), ("c", "k1", 2000), ("d", "k1", 2500), ("c", None, 3000), ("c", None, 3000)]
     df = spark.createDataFrame(data, "identity_key string, dedup_key string, event_time long")
