@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.session import checkpoint_dir
@@ -38,6 +42,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, value: Any) -> Broadcast:
+    """Broadcast a small object together with its classes, so that workers need not have the library."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared: Broadcast) -> Any:
+    return cloudpickle.loads(shared.value)
+
+
+def kept_in_worker(name: str, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker makes once and keeps from task to task."""
+    held = vars(sys.modules.setdefault("_riskloom_kept", types.ModuleType("_riskloom_kept")))
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def tokenizer_path(name: str, folder: str = TOKENIZERS) -> str:
     return os.path.join(folder, name)
 

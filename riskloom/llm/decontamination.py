@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import chunks, small_batches, stored, table, text_bytes
+from riskloom.llm.common import chunks, received, sent, small_batches, stored, table, text_bytes
 from riskloom.llm.words import Words, words_of
 
 DIMENSION_BITS = 18  # hashed words
@@ -267,10 +267,10 @@ def _candidates(found: Words, space: Space, items: Items) -> Iterator[tuple[int,
 
 def search(docs: DataFrame, space: Space, items: Items) -> DataFrame:
     """doc_id, item_id, cosine, common, answer of every pair that passes the check."""
-    shared = docs.sparkSession.sparkContext.broadcast((space, items))  # bounded by the hashed words and the block
+    shared = sent(docs.sparkSession, (space, items))  # bounded by the hashed words and the block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        latent, wanted = shared.value
+        latent, wanted = received(shared)
         for batch in batches:
             offsets, data = text_bytes(batch.column("text"))
             doc = batch.column("doc_id").to_pylist()

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm import ppm
-from riskloom.llm.common import chunks, small_batches, table, text_bytes
+from riskloom.llm.common import chunks, received, sent, small_batches, table, text_bytes
 
 ORDER = 4  # symbols of context
 SAMPLE_ROWS = 400  # rows of each language a tree is learned from
@@ -92,10 +92,10 @@ def learn(docs: DataFrame, order: int = ORDER, rows: int = SAMPLE_ROWS) -> tuple
 def predict(docs: DataFrame, langs: list[str], model: ppm.Model | None) -> DataFrame:
     """doc_id, lang_pred, score and bits_per_byte (of the best language) of every row."""
     spark = small_batches(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((langs, model))  # bounded by the sample it was learned from
+    shared = sent(spark, (langs, model))  # bounded by the sample it was learned from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, frozen = shared.value
+        names, frozen = received(shared)
         for batch in batches:
             offsets, data = text_bytes(batch.column("text"))
             size = np.diff(offsets)
@@ -136,15 +136,16 @@ def keep_known_languages(docs: DataFrame, most_bits: float = REJECT_BITS) -> Dat
     letters = docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     if model is None:
         return letters
-    shared = spark.sparkContext.broadcast(model)
+    shared = sent(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frozen = received(shared)
         for batch in batches:
             offsets, data = text_bytes(batch.column("text"))
             bits = [np.zeros(0)]
             for a, b in chunks(offsets):
                 part = offsets[a : b + 1]
-                bits.append(shared.value.bits(part - part[0], data[part[0] : part[-1]]).min(1))
+                bits.append(frozen.bits(part - part[0], data[part[0] : part[-1]]).min(1))
             yield batch.filter(pa.array(np.concatenate(bits) <= most_bits * np.diff(offsets)))
 
     return letters.mapInArrow(run, docs.schema)

@@ -20,7 +20,6 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from riskloom.llm import pretokens
-from riskloom.llm.common import chunks, small_batches, stored, table, text_bytes, tokenizer_path
+from riskloom.llm.common import chunks, kept_in_worker, small_batches, stored, table, text_bytes, tokenizer_path
 
 VOCABULARY, CAPACITY, END_ID = "byte_bpe_50k.json", 1024, 2
 MEMO_WORDS, ENCODE_AT_ONCE = 1_000_000, 4096
@@ -138,9 +137,8 @@ class Encoder:
         return ids, total[spans.first]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept_in_worker(f"encoder {path}", lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import pretokens
-from riskloom.llm.common import chunks, small_batches, table, text_bytes, tokenizer_path
+from riskloom.llm.common import chunks, kept_in_worker, small_batches, table, text_bytes, tokenizer_path
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
 MEMO_WORDS = 2_000_000
@@ -136,9 +135,8 @@ class TokenCounter:
         return np.diff(total[spans.first])
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+    return kept_in_worker(f"counter {path}", lambda: TokenCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import chunks, small_batches, stored, table, text_bytes
+from riskloom.llm.common import chunks, received, sent, small_batches, stored, table, text_bytes
 from riskloom.llm.pretokens import HashIndex, lower_latin, running_hash, span_hashes
 from riskloom.llm.words import words_of
 
@@ -297,11 +297,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
     if not lexicon:
         lexicon = [(0, h, 3.0) for h in word_hashes(INSULTS).tolist()]
     grammar = Grammar(lexicon)
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # bounded by the lexicon's size
+    shared = sent(docs.sparkSession, grammar)  # bounded by the lexicon's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = received(shared)
         for batch in batches:
-            made = shared.value.slots(*text_bytes(batch.column("text")))
+            made = patterns.slots(*text_bytes(batch.column("text")))
             yield pa.record_batch({"toxic": batch.column("toxic"), "slots": pa.array(list(made), pa.list_(pa.float64()))})
 
     frame = sample.mapInArrow(run, "toxic int, slots array<double>").toPandas()  # a bounded number of rows
@@ -318,10 +319,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
 def toxicity(docs: DataFrame, grammar: Grammar, curve: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted, matched_clauses of every row."""
     spark = small_batches(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((grammar, curve))  # bounded by the lexicon's size
+    shared = sent(spark, (grammar, curve))  # bounded by the lexicon's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns, beta = shared.value
+        patterns, beta = received(shared)
         for batch in batches:
             offsets, data = text_bytes(batch.column("text"))
             made = [np.zeros((0, 8))]
