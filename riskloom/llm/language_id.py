@@ -26,7 +26,8 @@ ORDER = 4  # symbols of context
 SAMPLE_ROWS = 400  # rows of each language a tree is learned from
 RARE_FROM, RARE_COUNT = 4, 2  # grams of this length or more are left out below this total count
 UNKNOWN = "und"
-REJECT_BITS = 6.5  # a byte; about what bytes without any order cost, so nothing in a known language comes near
+REJECT_BITS = 6.5  # a byte; about what bytes without any order cost
+SPARE_BITS = 512  # on top, for a name, number or key in a short text
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -130,7 +131,7 @@ def predict(docs: DataFrame, langs: list[str], model: ppm.Model | None) -> DataF
 
 def keep_known_languages(docs: DataFrame, most_bits: float = REJECT_BITS) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known: texts without a letter go, and
-    texts that the best tree codes no better than disorder. Where nothing can be learned, all rows with a letter stay."""
+    texts that the best tree codes no better than disorder, some such words allowed. Where nothing can be learned, all rows with a letter stay."""
     spark = small_batches(docs.sparkSession)
     langs, model = learn(docs)
     letters = docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -146,7 +147,7 @@ def keep_known_languages(docs: DataFrame, most_bits: float = REJECT_BITS) -> Dat
             for a, b in chunks(offsets):
                 part = offsets[a : b + 1]
                 bits.append(frozen.bits(part - part[0], data[part[0] : part[-1]]).min(1))
-            yield batch.filter(pa.array(np.concatenate(bits) <= most_bits * np.diff(offsets)))
+            yield batch.filter(pa.array(np.concatenate(bits) <= most_bits * np.diff(offsets) + SPARE_BITS))
 
     return letters.mapInArrow(run, docs.schema)
 

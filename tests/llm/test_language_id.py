@@ -6,9 +6,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from riskloom.llm import ppm
 from riskloom.llm.common import text_bytes
-from riskloom.llm.language_id import learn, learning_sample, op2_language_id, predict
+from riskloom.llm.language_id import keep_known_languages, learn, learning_sample, op2_language_id, predict
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -80,6 +82,18 @@ def test_edge_rows(spark):
     assert [tuple(r)[:3] for r in predict(unlabelled, *learn(unlabelled)).collect()] == [(1, "und", 0.0)]
 
 
+def test_only_disorder_is_rejected(spark):
+    rng = random.Random(5)
+    noise = "".join(chr(rng.randrange(0x3040, 0x9FFF)) for _ in range(2000))
+    rows = [(i, "the cat and the hat sat with that", "en") for i in range(40)]
+    rows += [(100, None, "en"), (101, "12 34", "en"), (102, noise, "en"), (103, "see AKIA0QX9ZTR7W3KJ", None), (None, "the hat", None)]
+    docs = spark.createDataFrame([(*r, True) for r in rows], SCHEMA + ", letters boolean")
+    # Keep the noise out of what is learned.
+    kept = keep_known_languages(docs.withColumn("lang", F.when(F.col("doc_id") != 102, F.col("lang"))))
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {*range(40), 103, None}
+
+
 def test_sample_is_bounded(spark):
     rows = [(i, f"t{i}", "en" if i % 3 else "de") for i in range(3000)]
     got = learning_sample(spark.createDataFrame(rows, SCHEMA), rows=40).collect()
