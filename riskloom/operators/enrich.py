@@ -149,7 +149,9 @@ def dedup_events(
     key, order = ("identity_key", "dedup_key"), ("event_time", "event_id")
     rows = keyed_rows(events.filter(can_repeat), key, order, max_rows).history(lasts={"_prev": t})
     begins = F.col("_prev").isNull() | (t - F.col("_prev") > horizon)
-    rows = rows.with_column("_begins", F.when(begins, t)).history(lasts={"_open": F.col("_begins")}).staged()
+    rows = rows.with_column("_begins", F.when(begins, t)).history(lasts={"_open": F.col("_begins")})
+    # Several branches below read these rows: derive them once.
+    rows = rows.staged(always=True)
     first = F.col("_begins").isNotNull()
     rows = rows.with_column("_run", F.coalesce("_begins", "_open"))
     near = t - F.col("_run") <= horizon

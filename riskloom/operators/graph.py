@@ -242,7 +242,8 @@ def ego_nodes(edges: DataFrame, center: str, depth: int = 2) -> DataFrame:
     # Both directions from one pass over the edges.
     src, dst = F.col("src"), F.col("dst")
     both = F.array(F.struct(src.alias("a"), dst.alias("b")), F.struct(dst.alias("a"), src.alias("b")))
-    links = edges.select(F.inline(both))
+    # Slim and written once: every hop reads it.
+    links = cut_lineage(edges.select(F.inline(both)))
     frontier = edges.sparkSession.createDataFrame([(center,)], "id string")
     reached = frontier.withColumn("distance", F.lit(0).cast("long"))
     for hop in range(1, depth + 1):
@@ -254,7 +255,8 @@ def ego_nodes(edges: DataFrame, center: str, depth: int = 2) -> DataFrame:
 
 
 def ego_network(edges: DataFrame, center: str, depth: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the subgraph induced by the nodes near ``center``."""
+    """(nodes, edges) of the subgraph induced by the nodes near ``center``; edges are derived once."""
+    edges = cut_lineage(edges)
     near = ego_nodes(edges, center, depth)
     inside = edges.join(near.select(F.col("id").alias("src")), "src", "left_semi").join(
         near.select(F.col("id").alias("dst")), "dst", "left_semi"
