@@ -259,6 +259,37 @@ def drain_latest(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     return last.select("_row.*")
 
 
+def late_rows(events: DataFrame, time: str, delay: int, name: str = "late") -> DataFrame:
+    """Rows of a stream that stateful operators drop: behind the largest event time of earlier
+    micro-batches by more than ``delay`` milliseconds. They can be scored in a batch run with their history.
+
+    Each micro-batch leaves its largest time and its late rows under its own number, so one that is run again
+    writes the same again.
+    """
+    spark, root = events.sparkSession, scratch(events.sparkSession, name)
+    marks = "epoch long, high long"
+    spark.createDataFrame([], marks).write.parquet(f"{root}/marks/start")
+    spark.createDataFrame([], events.schema).write.parquet(f"{root}/late/start")
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        seen = spark.read.schema(marks).parquet(f"{root}/marks/*").filter(F.col("epoch") < epoch)
+        high = seen.agg(F.max("high")).first()[0]
+        if high is not None:
+            late = batch.filter(F.col(time) < high - delay)
+            late.write.mode("overwrite").parquet(f"{root}/late/{epoch}")
+        own = batch.agg(F.max(time).cast("long").alias("high")).select(F.lit(epoch).cast("long").alias("epoch"), "high")
+        own.write.mode("overwrite").parquet(f"{root}/marks/{epoch}")
+
+    (
+        events.writeStream.option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True)
+        .foreachBatch(keep)
+        .start()
+        .awaitTermination()
+    )
+    return spark.read.schema(events.schema).parquet(f"{root}/late/*")
+
+
 class StreamTables:
     """Stands in for a session when fixture views are wanted as streams."""
 

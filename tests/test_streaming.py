@@ -95,6 +95,16 @@ def test_rates_show_windows_that_are_not_final(spark, replay):
     assert rows_of(shown.select(*batch.columns)) == rows_of(batch)
 
 
+def test_late_rows_are_put_aside(spark, tmp_path):
+    path = str(tmp_path / "late")
+    batches = [[("a", 100_000), ("b", 20_000)], [("c", 95_000), ("d", 40_000), ("e", 200_000)], [("f", 150_000), ("g", 99_000)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "event_id string, event_time long").coalesce(1).write.mode("append").parquet(path)
+    stream = file_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+    late = jobs.late_rows(stream, "event_time", 50_000)
+    assert sorted(r.event_id for r in late.collect()) == ["d", "g"]
+
+
 def test_dedup_within_watermark(spark, replay):
     data = [("c", "k1", 1000), ("c", "k1", 2000), ("d", "k1", 2500), ("c", None, 3000), ("c", None, 3000)]
     df = spark.createDataFrame(data, "identity_key string, dedup_key string, event_time long")
