@@ -6,7 +6,7 @@ anchors are aligned again by themselves, where more words are unique. Coverage i
 template's words that are aligned.
 
 Every word of every text is screened first: a region is a stretch of lines that hold telling words
-of some template (its rarer words), and it is aligned with the templates that share enough words with
+of some template (its words without the common ones), and it is aligned with the templates that share enough words with
 it. Lines of a region are also tried alone, so that a notice repeated line after line, which
 has no unique words as a whole, is found as well.
 
@@ -17,6 +17,7 @@ coverage; equal coverage goes to the first place; rows that repeat a doc_id are
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -27,12 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import chunks, small_batches, table, text_bytes
+from riskloom.llm.pretokens import HashIndex
 from riskloom.llm.words import words_of
 
 LEAST_COVERAGE = 0.8
 SPREAD = 1.5  # words of text that a word of the template may take
 LINE_GAP = 2  # lines without telling words inside a region
-PLAIN_SHARE = 0.5  # a word in more of the templates than this tells nothing
+
+# Words that tell nothing of a licence.
+COMMON = """a all an and any are as at be but by can do for free from have if in is it its may more no not of on or other
+our out so such terms that the their there these they this to was we will with without work you your"""
 
 # Notices and licence texts, as published.
 TEMPLATES = {
@@ -132,16 +137,28 @@ class Scanner:
     def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE) -> None:
         self.names, self.least = list(templates), least
         self.words = [words_of(*text_bytes(pa.array([t]))).hashes.tolist() for t in templates.values()]
-        often = Counter(w for words in self.words for w in set(words))
-        rare = {w for w, n in often.items() if n <= max(1, PLAIN_SHARE * len(templates))}
-        self.telling = np.sort(np.array(sorted(rare or often), np.uint64))
         self.bags = [Counter(words) for words in self.words]
+        common = set(words_of(*text_bytes(pa.array([COMMON]))).hashes.tolist())
+        # A template that is covered far enough shows at least so many telling words; all words
+        # of a template tell where too few others would be left to be sure of one.
+        self.fewest, telling = max([1, *map(len, self.words)]), set()
+        for words in filter(None, self.words):
+            own = [w for w in words if w not in common]
+            spare = len(words) - math.ceil(least * len(words))
+            own = own if len(own) > spare else words
+            self.fewest = min(self.fewest, max(1, len(own) - spare))
+            telling |= set(own)
+        self.telling = HashIndex(10)
+        self.telling.add(np.array(sorted(telling), np.uint64), np.arange(len(telling)))
+
+    def told(self, hashes: np.ndarray) -> np.ndarray:
+        """Which words tell of some template."""
+        return self.telling.find(hashes) >= 0
 
     def scan(self, text: bytes, hashes: np.ndarray, starts: np.ndarray) -> dict[int, tuple[float, int]]:
         """Template to (best coverage, places) of one text, given its words and their byte places."""
-        told = np.isin(hashes, self.telling)
-        if not told.any():
-            return {}
+        told = self.told(hashes)
+        upto = np.r_[0, np.cumsum(told)]
         found: dict[int, tuple[float, int]] = {}
         breaks = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
         line = np.searchsorted(breaks, starts)
@@ -152,6 +169,8 @@ class Scanner:
             places: Counter[int] = Counter()
             for first, last in spans:
                 a, b = int(np.searchsorted(line, first)), int(np.searchsorted(line, last, side="right"))
+                if upto[b] - upto[a] < self.fewest:
+                    continue
                 for template, coverage in self.covered(hashes[a:b].tolist()).items():
                     best, seen = found.get(template, (0.0, 0))
                     found[template] = (max(best, coverage), seen)
@@ -189,8 +208,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
                 part = offsets[a : b + 1]
                 own = data[part[0] : part[-1]]
                 words = words_of(part - part[0], own)
-                told = np.r_[0, np.cumsum(np.isin(words.hashes, scanner.telling))]
-                for t in np.flatnonzero(np.diff(told[words.first])).tolist():
+                told = np.r_[0, np.cumsum(scanner.told(words.hashes))]
+                for t in np.flatnonzero(np.diff(told[words.first]) >= scanner.fewest).tolist():
                     low, high = int(words.first[t]), int(words.first[t + 1])
                     x, y = int(part[t] - part[0]), int(part[t + 1] - part[0])
                     made = scanner.scan(own[x:y].tobytes(), words.hashes[low:high], words.starts[low:high] - x)
