@@ -62,16 +62,17 @@ def close_pairs(values: np.ndarray, limit: int):
 
 
 def smallest_linked(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Merge links (i, j) into ``labels`` (each index's smallest known member) until nothing moves."""
+    """Merge links (i, j) into ``labels`` (each index's smallest known member). May be called again
+    with further links: only roots are lowered, so earlier links hold."""
     while True:
-        low = np.minimum(labels[i], labels[j])
-        before = labels.copy()
-        for side in (i, j):
-            np.minimum.at(labels, labels[side], low)
-            np.minimum.at(labels, side, low)
-        labels = labels[labels]
-        if (labels == before).all():
+        while not ((up := labels[labels]) == labels).all():
+            labels = up
+        a, b = labels[i], labels[j]
+        apart = a != b
+        if not apart.any():
             return labels
+        labels = up
+        np.minimum.at(labels, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
 
 
 def link_groups(groups: np.ndarray, values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from riskloom.llm.components import components
-from riskloom.llm.gray_index import close_pairs, gray_rank, link_groups
+from riskloom.llm.gray_index import close_pairs, gray_rank, link_groups, smallest_linked
 from riskloom.llm.simhash import close_links, fingerprint, one_per_group, op5_simhash_dedup, simhash_groups
 
 SCHEMA = "doc_id long, text string"
@@ -132,3 +132,25 @@ def test_query_against_all_pairs(spark, small):
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted(
         (d, f"{f:016x}", expected[d]) for d, f in pairs
     )
+
+
+def test_links_over_several_calls():
+    labels = smallest_linked(np.array([0, 1, 2, 2]), np.array([0, 1]), np.array([2, 3]))
+    assert labels.tolist() == [0, 0, 0, 0]
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(2, 60))
+        links = rng.integers(0, n, (int(rng.integers(1, 80)), 2))
+        labels, truth = np.arange(n), list(range(n))
+        for part in np.array_split(links, 5):
+            labels = smallest_linked(labels, part[:, 0], part[:, 1])
+        for a, b in links.tolist():
+            low, high = sorted((truth[a], truth[b]))
+            truth = [low if x == high else x for x in truth]
+        assert labels.tolist() == truth
+
+
+def test_four_fingerprints_of_one_node():
+    values = np.array([sum(1 << b for b in bits) for bits in ((2, 3, 20), (25,), (3, 20, 31), (31,))], np.uint64)
+    a, b = link_groups(np.zeros(4, np.int64), values, 2)
+    assert set(a.tolist()) | set(b.tolist()) == set(values.tolist()) and len(set(b.tolist())) == 1
