@@ -11,7 +11,8 @@ backslash and control string, so that any text comes back unchanged.
 
 Defined cases: a null text or role is empty; a reply to itself or to a node that is not there
 starts a tree; rows in a cycle have no root and are left out; of rows that repeat a tree and node the
-smallest stays; equal scores go to the smallest leaf. A conversation is one row of the result, so its
+smallest stays; a null tree is a tree like any other, and a null node one node of its tree, to which nothing
+can reply; equal scores go to the smallest leaf, a null one last. A conversation is one row of the result, so its
 turns meet in one task at the end; nothing else does.
 """
 
@@ -23,7 +24,7 @@ from functools import reduce
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import small_batches, stored, table
@@ -68,6 +69,21 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def _key(name: str) -> Column:
+    """A column as a key that is never null, so that plain joins find null trees and nodes as well."""
+    return F.struct(F.col(name).isNull().alias("none"), F.coalesce(F.col(name), F.lit(0)).alias("value")).alias(name)
+
+
+def _bare(name: str) -> Column:
+    return F.when(~F.col(f"{name}.none"), F.col(f"{name}.value")).alias(name)
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with keys for tree, node and parent; no parent stays null."""
+    parent = F.when(F.col("parent").isNotNull(), _key("parent"))
+    return rows.withColumns({"parent": parent, "tree": _key("tree"), "node": _key("node")})
+
+
 def reaches(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Tables (tree, node, up) of reach 1, 2, 4 ... and, per node, its depth and path score.
 
@@ -121,6 +137,10 @@ def best_branches(ranked: DataFrame, first_level: DataFrame, branches: int) -> D
 
 def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """tree, leaf, rank, node, depth: the nodes of each chosen root-to-leaf path."""
+    return _paths(_keyed(nodes), branches).select(_bare("tree"), _bare("leaf"), "rank", _bare("node"), "depth")
+
+
+def _paths(nodes: DataFrame, branches: int) -> DataFrame:
     levels, ranked = reaches(nodes)
     paths = best_branches(ranked, levels[0], branches).withColumn("node", F.col("leaf"))
     paths = stored(paths, "paths")
@@ -138,14 +158,15 @@ def format_trees(rows: DataFrame, branches: int = 1, assistant: str = ASSISTANT)
     small_batches(rows.sparkSession)
     rows = rows.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")
     rows = stored(
-        rows.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("r")).select("tree", "node", "r.*"),
+        _keyed(rows).groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("r")).select("tree", "node", "r.*"),
         "tree-rows",
     )
-    paths = chosen_paths(rows.select("tree", "node", "parent", "score"), branches)
+    paths = _paths(rows.select("tree", "node", "parent", "score"), branches)
     turns = (
         paths.join(rows.select("tree", "node", "role", "text"), ["tree", "node"])
         .groupBy("tree", "leaf", "rank")
         .agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
+        .select(_bare("tree"), _bare("leaf"), "rank", "turns")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

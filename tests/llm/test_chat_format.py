@@ -73,3 +73,15 @@ def test_conversation_edges(spark):
     rows = [(1, 2, "assistant", None, 1, "x"), (1, 0, None, "q", 2, "y"), (4, 0, "assistant", "a", 3, "z"), (4, 0, "assistant", "a", 3, "z")]
     got = {r.conv_id: r for r in read_back(format_trees(linear_replies(spark.createDataFrame(rows, shape)))).collect()}
     assert (got[1].n_turns, got[1].loss_chars) == (2, 0) and (got[4].n_turns, got[4].loss_chars) == (2, 2)
+
+
+def test_null_conversation_and_node(spark):
+    shape = "conv_id long, turn long, role string, text string"
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "abc"), (None, 2, "user", "z"), (0, 0, "user", "other")]
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in read_back(format_trees(linear_replies(spark.createDataFrame(rows, shape)))).collect()}
+    assert got == {None: (3, 3), 0: (1, 0)}
+    rows = [(None, 0, None, "user", "q", 1.0), (None, None, 0, "assistant", "a", 1.0), (2, None, None, "user", "alone", 1.0)]
+    made = format_trees(spark.createDataFrame(rows, SHAPE)).collect()
+    assert {(r.tree, r.leaf): read_turns(r.formatted) for r in made} == {
+        (None, None): [("user", "q"), ("assistant", "a")], (2, None): [("user", "alone")],
+    }
