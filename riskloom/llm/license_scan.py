@@ -6,13 +6,13 @@ anchors are aligned again by themselves, where more words are unique. Coverage i
 template's words that are aligned.
 
 Every word of every text is screened first: a region is a stretch of lines that hold telling words
-of some template (its words without the common ones), and it is aligned with the templates that share enough words with
-it. Lines of a region are also tried alone, so that a notice repeated line after line, which
-has no unique words as a whole, is found as well.
+of some template (its words without the common ones). Copies of a notice in one region leave no word unique, so
+a region is not aligned as a whole: windows a little wider than a notice may be move over it, and
+those that share enough words with a template are aligned with it, each copy by itself.
 
 Defined cases: a null or empty text has no region; a template without words never matches; a notice
-that is found several times in a text gives one row with the number of places and the best
-coverage; equal coverage goes to the first place; rows that repeat a doc_id are reported once a row.
+that is found several times in a text gives one row with the number of places, which do not overlap, and the best
+coverage; rows that repeat a doc_id are reported once a row.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from riskloom.llm.words import words_of
 
 LEAST_COVERAGE = 0.8
 SPREAD = 1.5  # words of text that a word of the template may take
+STEPS = 8  # windows begin at so many places of a template's length
 LINE_GAP = 2  # lines without telling words inside a region
 
 # Words that tell nothing of a licence.
@@ -121,14 +122,15 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def densest(pairs: list[tuple[int, int]], width: float) -> int:
+def densest(pairs: list[tuple[int, int]], width: float) -> list[tuple[int, int]]:
     """Most pairs that lie within ``width`` words of the text: a notice stands together."""
-    best = first = 0
+    best, first = (0, 0), 0
     for k, (_, b) in enumerate(pairs):
         while b - pairs[first][1] + 1 > width:
             first += 1
-        best = max(best, k - first + 1)
-    return best
+        if k + 1 - first > best[1] - best[0]:
+            best = first, k + 1
+    return pairs[best[0] : best[1]]
 
 
 class Scanner:
@@ -138,6 +140,7 @@ class Scanner:
         self.names, self.least = list(templates), least
         self.words = [words_of(*text_bytes(pa.array([t]))).hashes.tolist() for t in templates.values()]
         self.bags = [Counter(words) for words in self.words]
+        self.sets = [np.array(sorted(bag), np.uint64) for bag in self.bags]
         common = set(words_of(*text_bytes(pa.array([COMMON]))).hashes.tolist())
         # A template that is covered far enough shows at least so many telling words; all words
         # of a template tell where too few others would be left to be sure of one.
@@ -164,34 +167,54 @@ class Scanner:
         line = np.searchsorted(breaks, starts)
         lines = np.unique(line[told])
         for region in np.split(lines, np.flatnonzero(np.diff(lines) > LINE_GAP + 1) + 1):
-            spans = [(int(region[0]), int(region[-1]))]
-            spans += [(int(k), int(k)) for k in region] if len(region) > 1 else []
-            places: Counter[int] = Counter()
-            for first, last in spans:
-                a, b = int(np.searchsorted(line, first)), int(np.searchsorted(line, last, side="right"))
-                if upto[b] - upto[a] < self.fewest:
-                    continue
-                for template, coverage in self.covered(hashes[a:b].tolist()).items():
-                    best, seen = found.get(template, (0.0, 0))
-                    found[template] = (max(best, coverage), seen)
-                    places[template] += first == last
-            for template in found:
-                best, seen = found[template]
-                found[template] = (best, seen + places[template])
-        return {t: (c, max(1, n)) for t, (c, n) in found.items()}
-
-    def covered(self, words: list[int]) -> dict[int, float]:
-        """Templates that a region covers, and how far."""
-        out, bag = {}, Counter(words)
+            if not len(region):
+                continue
+            a, b = np.searchsorted(line, [region[0], region[-1] + 1]).tolist()
+            if upto[b] - upto[a] < self.fewest:
+                continue
+            for template, coverage, places in self.covered(hashes[a:b]):
+                best, seen = found.get(template, (0.0, 0))
+                found[template] = (max(best, coverage), seen + places)
+        return found
+
+    def covered(self, hashes: np.ndarray) -> Iterator[tuple[int, float, int]]:
+        """Templates that a region covers: number, best coverage, places."""
+        known, number = np.unique(hashes, return_inverse=True)
+        words = hashes.tolist()
         for k, template in enumerate(self.words):
             need = self.least * len(template)
+            own = np.isin(known, self.sets[k])[number]
             # No alignment is longer than the words both have.
-            if not template or sum(min(n, bag[w]) for w, n in self.bags[k].items()) < need:
+            if not template or own.sum() < need:
                 continue
-            matched = densest(patience(template, words), SPREAD * len(template) + 1)
-            if matched >= need:
-                out[k] = matched / len(template)
-        return out
+            width = int(SPREAD * len(template) + 1)
+            step = max(1, len(template) // STEPS)
+            upto = np.r_[0, np.cumsum(own)]
+            # Any ``width`` words lie in one window.
+            starts = np.arange(0, len(words), step)
+            ends = np.minimum(starts + width + step - 1, len(words))
+            shared = upto[ends] - upto[starts]
+            best, places, free = 0, 0, 0
+            for a, b in zip(starts[shared >= need].tolist(), ends[shared >= need].tolist(), strict=True):
+                a = max(a, free)
+                pairs = self.aligned(k, words, a, b, width)
+                if len(pairs) < need:
+                    continue
+                # Once more from where the notice begins, as the window may end inside it.
+                first = a + pairs[0][1]
+                again = self.aligned(k, words, first, min(first + width, len(words)), width)
+                if len(again) >= len(pairs):
+                    a, pairs = first, again
+                best, places, free = max(best, len(pairs)), places + 1, a + pairs[-1][1] + 1
+            if places:
+                yield k, best / len(template), places
+
+    def aligned(self, k: int, words: list[int], a: int, b: int, width: int) -> list[tuple[int, int]]:
+        """Pairs of template ``k`` and words [a, b) that stand together; none where too few words are shared."""
+        bag, need = Counter(words[a:b]), self.least * len(self.words[k])
+        if sum(min(n, bag[w]) for w, n in self.bags[k].items()) < need:
+            return []
+        return densest(patience(self.words[k], words[a:b]), width)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COVERAGE) -> DataFrame:

@@ -1,9 +1,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from riskloom.llm.license_scan import TEMPLATES, license_scan, op10_license_scan, patience
+from riskloom.llm.common import text_bytes
+from riskloom.llm.license_scan import TEMPLATES, Scanner, license_scan, op10_license_scan, patience
+from riskloom.llm.words import words_of
 
 SCHEMA = "doc_id long, text string"
 
@@ -85,3 +88,28 @@ def test_query_against_plain_search(spark, small):
     got = {(r.doc_id, r.license): r.coverage for r in op10_license_scan(spark, small).collect()}
     assert wanted and wanted == {k for k, c in got.items() if c == 1}
     assert set(got) == wanted
+
+
+def scanned(text):
+    words = words_of(*text_bytes(pa.array([text])))
+    scanner = Scanner(TEMPLATES)
+    return {scanner.names[k]: v for k, v in scanner.scan(text.encode(), words.hashes, words.starts).items()}
+
+
+def test_copies_in_one_region():
+    line = "x Released under the MIT License. y Released under the MIT License. z"
+    assert scanned(line) == {"MIT": (1.0, 2)}
+    words = TEMPLATES["MIT-text"].split()
+    wrapped = "\n".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+    owner = "Copyright notice of the authors or copyright holders\n"
+    assert scanned(owner + wrapped + "\n" + owner + wrapped + "\n" + TEMPLATES["BSD-text"]) == {"MIT-text": (1.0, 2), "BSD-text": (1.0, 1)}
+    for copies in (2, 3, 7):
+        for name in ("MIT-text", "GPL-header", "ISC-text", "CC-BY-4.0", "Apache-2.0-header"):
+            assert scanned((TEMPLATES[name] + " ") * copies)[name] == (1.0, copies), name
+
+
+def test_short_notice_in_a_long_line():
+    rng = random.Random(3)
+    others = ["released", "under", "the", "mit", "license", *(f"w{k}" for k in range(40))]
+    noise = lambda n: " ".join(x for k in range(n) for x in (rng.choice(others), f"v{k % 50}", f"u{k % 70}"))
+    assert scanned(f"{noise(3000)} Released under the MIT License. {noise(3000)}") == {"MIT": (1.0, 1)}
