@@ -3,8 +3,9 @@
 Passages are windows of words with TF-IDF weights over hashed words; document frequencies come from
 all documents. A distributed randomised SVD of the benchmark's passages gives the latent space: Spark
 sums, over all passages, what each power iteration needs, and only matrices of (hashed words) x
-(rank) reach the driver. Document passages are folded in where enough of their weight lies on words of
-the benchmark, and are searched by cosine against the benchmark's passages. Every candidate is then
+(rank) reach the driver. Document passages are folded in where they have as many words of the benchmark as
+the check needs for its shortest item, and are searched by cosine against the benchmark's passages;
+an item's passage that lies in a window counts whatever stands around it. Every candidate is then
 checked on words: the longest common subsequence of the item and the text around the passage,
 and, below the similarity that settles it, whether the item's answer is there as well.
 
@@ -15,6 +16,7 @@ once per row; ties of cosine go to the first passage.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import accumulate
@@ -32,8 +34,8 @@ from riskloom.llm.words import Words, words_of
 DIMENSION_BITS = 18  # hashed words
 WINDOW, STRIDE = 32, 16
 RANK, OVERSAMPLE, POWER_ROUNDS = 128, 16, 2
-LEAST_SHARE = 0.25  # of a passage's weight, on words of the benchmark
-LEAST_COSINE = 0.45
+LEAST_WEIGHT = 0.1  # of a hashed word, however many rows have it
+LEAST_COSINE = 0.45  # or share of an item's passage that lies in the window
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.8  # common subsequence alone; with the answer; words of the answer found
 BLOCK_ITEMS = 20_000  # items searched in one scan of the documents
 
@@ -85,21 +87,22 @@ class Space(NamedTuple):
     row: np.ndarray
     directions: np.ndarray
 
-    def project(self, feature: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Unit vectors of the passages [start, end) of at most ``WINDOW`` hashed words."""
+    def project(self, feature: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors and lengths of the passages [start, end) of at most ``WINDOW`` hashed words."""
         at = start[:, None] + np.arange(WINDOW)
         inside = at < end[:, None]
         feature = feature[np.where(inside, at, start[:, None])]
         row = np.where(inside, self.row[feature], -1)
         weight = np.where(row >= 0, self.weight[feature], 0).astype(np.float32)
         out = np.einsum("ij,ijk->ik", weight, self.directions[row])
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        length = np.maximum(np.linalg.norm(out, axis=1), 1e-12)
+        return out / length[:, None], length
 
 
 def latent_space(items: DataFrame, df: np.ndarray, rows: int, rank: int = RANK) -> Space | None:
     """Randomised SVD of the TF-IDF matrix of the passages of ``items``, summed up by Spark."""
     spark = items.sparkSession
-    weight = np.log((rows + 1) / (df + 1)).clip(min=0).astype(np.float32)
+    weight = np.log((rows + 1) / (df + 1)).clip(min=LEAST_WEIGHT).astype(np.float32)
     weights = spark.sparkContext.broadcast(weight)
 
     def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,9 +186,17 @@ class Items(NamedTuple):
 
     ids: list[int]
     vectors: np.ndarray  # unit vector of each passage
+    lengths: np.ndarray  # and what it was divided by
     owner: np.ndarray  # item of each passage
     words: list[np.ndarray]
     answers: list[set[int]]
+    fewest: int  # words of the benchmark in some window of any text that passes the check
+
+
+def fewest_known(size: int) -> int:
+    """Words of an item of ``size`` words that some window has at least, where the check finds it."""
+    span = size + max(4, size // 4)
+    return -(-math.ceil(LIKELY * size) // -(-(span + STRIDE - 1) // WINDOW))
 
 
 def answer_of(text: str) -> str:
@@ -203,9 +214,11 @@ def prepared(rows: list, space: Space) -> Items:
     answers = [r["answer"] if "answer" in r and r["answer"] is not None else answer_of(r["text"]) for r in rows]
     found = words_of(*text_bytes(pa.array([r["text"] for r in rows], pa.string())))
     start, end, owner = windows(found.first)
-    vectors = space.project(features(found.hashes), start, end) if len(start) else np.zeros((0, 1), np.float32)
+    nothing = np.zeros((0, 1), np.float32), np.zeros(0, np.float32)
+    vectors, lengths = space.project(features(found.hashes), start, end) if len(start) else nothing
     words = [found.hashes[a:b] for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
-    return Items(ids, vectors, owner, words, [set(_hashes(a).tolist()) for a in answers])
+    fewest = min((fewest_known(len(w)) for w in words if len(w)), default=1)
+    return Items(ids, vectors, lengths, owner, words, [set(_hashes(a).tolist()) for a in answers], fewest)
 
 
 def common_subsequence(pattern: dict[int, int], size: int, text: list[int]) -> int:
@@ -244,17 +257,17 @@ def _candidates(found: Words, space: Space, items: Items) -> Iterator[tuple[int,
     """(text, item, start word, end word, cosine) of passages close to an item's passage, the best
     one first for every pair."""
     feature = features(found.hashes)
-    energy = space.weight[feature].astype(np.float64) ** 2
-    total = np.r_[0, np.cumsum(energy)]
-    known = np.r_[0, np.cumsum(np.where(space.row[feature] >= 0, energy, 0))]
+    known = np.r_[0, np.cumsum(space.row[feature] >= 0)]
     start, end, text = windows(found.first)
-    near = (known[end] - known[start]) >= LEAST_SHARE * (total[end] - total[start])
-    near &= known[end] > known[start]
+    near = known[end] - known[start] >= items.fewest
     start, end, text = start[near], end[near], text[near]
     for k in range(0, len(start), 2048):
         a, b, t = start[k : k + 2048], end[k : k + 2048], text[k : k + 2048]
-        cosine = space.project(feature, a, b) @ items.vectors.T
-        at, passage = np.nonzero(cosine >= LEAST_COSINE)
+        vectors, lengths = space.project(feature, a, b)
+        cosine = vectors @ items.vectors.T
+        # Divided by the shorter of both, the words around an item take nothing away.
+        least = LEAST_COSINE * np.minimum(1, items.lengths / lengths[:, None])
+        at, passage = np.nonzero(cosine >= least)
         yield from zip(
             t[at].tolist(),
             items.owner[passage].tolist(),

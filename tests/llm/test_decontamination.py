@@ -126,3 +126,32 @@ def test_query_against_word_runs(spark, small):
     got = {(r.doc_id, r.item_id) for r in dec.op6_decontamination(spark, small).collect()}
     assert {p for p, s in share.items() if s >= 0.8} <= got
     assert all(share[p] >= 0.3 for p in got)
+
+
+@pytest.mark.parametrize("share", [3, 1])
+def test_recall_of_frequent_items(spark, share):
+    """Short items in many rows, next to rare words that other items have as well."""
+    rng = random.Random(share)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [(k, [f"i{k}n{n}" for n in range(rng.randint(15, 46))]) for k in range(3)] + [(9, vocabulary)]
+    docs, truth = [], set()
+    for d in range(240):
+        words = rng.sample(vocabulary, 60)
+        if d % share == 0:
+            for item, text in items[:3]:
+                at = rng.randrange(len(words))
+                while at and words[at][0] == words[at - 1][0] == "i":
+                    at -= 1
+                words[at:at] = text
+                truth.add((d, item))
+        docs.append((d, " ".join(words)))
+    listed = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dec.contaminated(spark.createDataFrame(docs, SCHEMA), listed).collect()}
+    assert got == truth
+
+
+def test_one_row_table(spark):
+    item = "what is the name of the tallest mountain in all of europe mont blanc"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "some words before " + item + " and some after it")], SCHEMA)
+    assert [(r.doc_id, r.item_id) for r in dec.contaminated(docs, items).collect()] == [(1, 1)]
