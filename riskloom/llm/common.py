@@ -12,7 +12,8 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskloom.session import checkpoint_dir
 
@@ -87,3 +88,21 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         end = min(max(end, start + 1), n)
         yield start, end
         start = end
+
+
+def text_digest() -> Column:
+    """64 bits of a row's text; with doc_id the key by which decisions find their rows again."""
+    return F.xxhash64("text")
+
+
+def _row_key(doc_id: Column, digest: Column) -> Column:
+    """Never null, so that rows without an id are dealt out by their text."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), digest.cast("string"))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows whose id and text are listed in ``gone`` (doc_id, digest)."""
+    # Shuffled at every size: what goes grows with the table.
+    gone = gone.select(_row_key(F.col("doc_id"), F.col("digest")).alias("__key")).distinct().hint("shuffle_hash")
+    rows = docs.withColumn("__key", _row_key(F.col("doc_id"), text_digest()))
+    return rows.join(gone, "__key", "left_anti").select(*docs.columns)

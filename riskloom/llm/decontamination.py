@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import chunks, received, sent, small_batches, stored, table, text_bytes
+from riskloom.llm.common import chunks, received, sent, small_batches, stored, table, text_bytes, text_digest, without_rows
 from riskloom.llm.words import Words, words_of
 
 DIMENSION_BITS = 18  # hashed words
@@ -278,15 +278,18 @@ def _candidates(found: Words, space: Space, items: Items) -> Iterator[tuple[int,
         )
 
 
+FOUND = "doc_id long, item_id long, cosine double, common double, answer double, digest long"
+
+
 def search(docs: DataFrame, space: Space, items: Items) -> DataFrame:
-    """doc_id, item_id, cosine, common, answer of every pair that passes the check."""
+    """doc_id, item_id, cosine, common, answer of every pair that passes the check, and the text's digest."""
     shared = sent(docs.sparkSession, (space, items))  # bounded by the hashed words and the block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latent, wanted = received(shared)
         for batch in batches:
             offsets, data = text_bytes(batch.column("text"))
-            doc = batch.column("doc_id").to_pylist()
+            doc, digest = batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist()
             out: list[tuple] = []
             for a, b in chunks(offsets):
                 part = offsets[a : b + 1]
@@ -304,24 +307,28 @@ def search(docs: DataFrame, space: Space, items: Items) -> DataFrame:
                     )
                     if common >= SURE or common >= LIKELY and answer >= ANSWER:
                         best[text, item] = max(best.get((text, item), (-1.0, 0.0, 0.0)), (common, cosine, answer))
-                out += [(doc[a + t], wanted.ids[i], c, m, s) for (t, i), (m, c, s) in best.items()]
-            columns = [list(x) for x in zip(*out, strict=True)] if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            names = ("doc_id", "item_id", "cosine", "common", "answer")
+                out += [(doc[a + t], wanted.ids[i], c, m, s, digest[a + t]) for (t, i), (m, c, s) in best.items()]
+            columns = [list(x) for x in zip(*out, strict=True)] if out else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            names = ("doc_id", "item_id", "cosine", "common", "answer", "digest")
             yield pa.record_batch({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, item_id long, cosine double, common double, answer double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_digest().alias("digest"))
+    return rows.mapInArrow(run, FOUND)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rank: int = RANK, block: int = BLOCK_ITEMS) -> DataFrame:
     """All pairs of a row of ``docs`` and a benchmark item (item_id, text, perhaps answer) it contains."""
+    return _contaminated(docs, items, rank, block).drop("digest")
+
+
+def _contaminated(docs: DataFrame, items: DataFrame, rank: int = RANK, block: int = BLOCK_ITEMS) -> DataFrame:
     spark = small_batches(docs.sparkSession)
     frequencies, rows = document_frequencies(docs)
     columns = [c for c in ("item_id", "text", "answer") if c in items.columns]
     items = items.select(*columns)
     space = latent_space(items, frequencies, rows, rank)
-    empty = spark.createDataFrame([], "doc_id long, item_id long, cosine double, common double, answer double")
+    empty = spark.createDataFrame([], FOUND)
     if space is None:
         return empty
     # A bounded number of items at a time; a larger benchmark takes more scans.
@@ -338,9 +345,8 @@ def contaminated(docs: DataFrame, items: DataFrame, rank: int = RANK, block: int
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark item was found."""
-    bad = stored(contaminated(docs, items).select("doc_id").distinct(), "contaminated")
-    bad = bad.withColumnRenamed("doc_id", "__id")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti")
+    bad = stored(_contaminated(docs, items).select("doc_id", "digest").distinct(), "contaminated")
+    return without_rows(docs, bad)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

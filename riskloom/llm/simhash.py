@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import chunks, small_batches, stored, table, text_bytes
+from riskloom.llm.common import chunks, small_batches, stored, table, text_bytes, text_digest, without_rows
 from riskloom.llm.components import components
 from riskloom.llm.gray_index import link_groups
 
@@ -57,7 +57,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of each row."""
+    """doc_id, fp (the fingerprint's 64 bits as a long) and digest of the text of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,9 +65,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             raw, at = data.tobytes(), offsets.tolist()
             made = [fingerprint(raw[a:b], shingle, seed) for a, b in zip(at[:-1], at[1:], strict=True)]
             fps = np.array(made, np.uint64).view(np.int64)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(fps, pa.int64())})
+            columns = {"doc_id": batch.column("doc_id"), "fp": pa.array(fps, pa.int64())}
+            yield pa.record_batch({**columns, "digest": batch.column("digest")})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_digest().alias("digest"))
+    return rows.mapInArrow(run, "doc_id long, fp long, digest long")
 
 
 def _block_pairs(value, width: int):
@@ -144,14 +146,19 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def simhash_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row."""
-    small_batches(docs.sparkSession)
-    marked = stored(fingerprints(docs, shingle), "fingerprints")
+def _rooted(marked: DataFrame, distance: int) -> DataFrame:
+    """fp, first_id, root of every distinct fingerprint."""
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fp")
     roots = components(close_links(distinct.select("fp"), distance)).withColumnRenamed("node", "fp")
     rooted = distinct.join(stored(roots, "roots"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = stored(rooted, "rooted")
+    return stored(rooted, "rooted")
+
+
+def simhash_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every row."""
+    small_batches(docs.sparkSession)
+    marked = stored(fingerprints(docs, shingle).drop("digest"), "fingerprints")
+    rooted = _rooted(marked, distance)
     names = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-names")
     named = stored(rooted.join(names, "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select(
@@ -159,15 +166,22 @@ def simhash_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHI
     )
 
 
+def one_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``docs``, all columns, with one of each group of ``members`` (doc_id, digest, root): the smallest id,
+    then the smallest digest; a null id comes last. Rows not in ``members`` stay, and rows that repeat
+    id and text go or stay together."""
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    kept = stored(members.groupBy("root").agg(F.min(own).alias("kept")), "kept-of-each")
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("digest") == F.col("kept.digest"))
+    return without_rows(docs, stored(members.join(kept, "root").filter(~stays).select("doc_id", "digest"), "not-kept"))
+
+
 def one_per_group(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that name their component, all columns; others go.
-
-    Rows with a null id stay only where the whole component has none.
-    """
-    stay = simhash_groups(docs, distance, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Shuffled at every size: the rows that stay grow with the table.
-    stay = stay.select(F.col("doc_id").alias("__id")).distinct().hint("shuffle_hash")
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of ``docs`` that name their component, all columns; others go."""
+    small_batches(docs.sparkSession)
+    marked = stored(fingerprints(docs, shingle), "fingerprints")
+    members = marked.join(_rooted(marked, distance).select("fp", "root"), "fp")
+    return one_of_each(docs, members.select("doc_id", "digest", "root"))
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

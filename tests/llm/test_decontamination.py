@@ -155,3 +155,11 @@ def test_one_row_table(spark):
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "some words before " + item + " and some after it")], SCHEMA)
     assert [(r.doc_id, r.item_id) for r in dec.contaminated(docs, items).collect()] == [(1, 1)]
+
+
+def test_clean_rows_of_a_contaminated_id_stay(spark):
+    item = "what is the name of the tallest mountain in all of europe mont blanc"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, "clean"), (4, item), (4, "clean as well"), (None, None)]
+    kept = dec.drop_contaminated(spark.createDataFrame(rows, SCHEMA), items).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(None, "clean"), (4, "clean as well"), (None, None)}

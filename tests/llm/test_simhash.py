@@ -154,3 +154,10 @@ def test_four_fingerprints_of_one_node():
     values = np.array([sum(1 << b for b in bits) for bits in ((2, 3, 20), (25,), (3, 20, 31), (31,))], np.uint64)
     a, b = link_groups(np.zeros(4, np.int64), values, 2)
     assert set(a.tolist()) | set(b.tolist()) == set(values.tolist()) and len(set(b.tolist())) == 1
+
+
+def test_one_of_each_null_and_repeated_ids(spark):
+    far = [" ".join(f"{name}{k}" for k in range(80)) for name in "abcd"]
+    rows = [(None, far[0]), (None, far[1]), (1, far[1]), (7, far[2]), (7, far[3]), (3, far[3])]
+    kept = one_per_group(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(None, far[0]), (1, far[1]), (7, far[2]), (3, far[3])}
