@@ -105,17 +105,23 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.index = pretokens.HashIndex()
+        self.index = pretokens.WordIndex()
         self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        parts, sizes = [self.ids], []
+    def _made(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Ids of words end to end, and how many each has."""
+        ids, sizes = [np.zeros(0, np.uint32)], []
         for k in range(0, len(words), ENCODE_AT_ONCE):
-            made = [e.ids for e in self.library.encode_batch(words[k : k + ENCODE_AT_ONCE], add_special_tokens=False)]
+            texts = [w.decode("utf-8", "replace") for w in words[k : k + ENCODE_AT_ONCE]]
+            made = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
             sizes += map(len, made)
-            parts.append(np.fromiter((x for ids in made for x in ids), np.uint32))
-        self.index.add(hashes, len(self.at) - 1 + np.arange(len(hashes)))
-        self.ids = np.concatenate(parts)
+            ids.append(np.fromiter((x for own in made for x in own), np.uint32))
+        return np.concatenate(ids), sizes
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        ids, sizes = self._made(words)
+        self.index.add(hashes, words)
+        self.ids = np.concatenate([self.ids, ids])
         self.at = np.r_[self.at, self.at[-1] + np.cumsum(sizes)]
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,17 +129,20 @@ class Encoder:
         if len(self.at) > self.memo_words:
             self._forget()
         spans = pretokens.pretokenize(offsets, data, pretokens.SPACED)
-        hashes = spans.hashes()
-        where = self.index.find(hashes)
-        new, at = np.unique(hashes[where < 0], return_index=True)
+        hashes, flat = spans.hashes(), np.frombuffer(spans.data, np.uint8)
+        where = self.index.find(flat, spans.starts, spans.ends, hashes)
+        new, at = np.unique(hashes[where == -1], return_index=True)
         if len(new):
-            at = np.flatnonzero(where < 0)[at]
-            pairs = zip(spans.starts[at].tolist(), spans.ends[at].tolist(), strict=True)
-            self._learn(new, [spans.data[a:b].decode("utf-8", "replace") for a, b in pairs])
-            where = self.index.find(hashes)
-        first, size = self.at[where], self.at[where + 1] - self.at[where]
+            self._learn(new, spans.words(np.flatnonzero(where == -1)[at]))
+            where = self.index.find(flat, spans.starts, spans.ends, hashes)
+        source, first, size = self.ids, self.at[where], self.at[where + 1] - self.at[where]
+        clash = np.flatnonzero(where < 0)
+        if len(clash):
+            own, sizes = self._made(spans.words(clash))
+            first[clash], size[clash] = len(source) + np.cumsum(sizes) - sizes, sizes
+            source = np.concatenate([source, own])
         total = np.r_[0, np.cumsum(size)]
-        ids = self.ids[np.arange(total[-1]) + np.repeat(first - total[:-1], size)]
+        ids = source[np.arange(total[-1]) + np.repeat(first - total[:-1], size)]
         return ids, total[spans.first]
 
 

@@ -3,7 +3,8 @@
 Texts are laid end to end with a border byte between them, each byte gets a class (letter, digit,
 white space, other), and token starts follow from class changes. That covers ASCII and the
 blocks of letters listed below; a text with any other character is cut by the pattern itself.
-Spans are then told apart by a 64-bit hash, so that each distinct pre-token is worked on once.
+Spans are then told apart by a 64-bit hash and their bytes, so that each distinct pre-token is
+worked on once.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from typing import NamedTuple
 
 import numpy as np
 import regex
+import xxhash
 
 BORDER = 0xFF
 EDGE, LETTER, DIGIT, WHITE, OTHER = range(5)
 PIECE_BYTES = 1 << 20
+LONG_SPAN = 64  # bytes above which the running sum alone tells spans apart too badly
 
 CLASSES = np.full(256, OTHER, np.uint8)
 CLASSES[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = LETTER
@@ -52,6 +55,10 @@ class Spans(NamedTuple):
     def hashes(self) -> np.ndarray:
         return span_hashes(np.frombuffer(self.data, np.uint8), self.starts, self.ends)
 
+    def words(self, which: np.ndarray) -> list[bytes]:
+        places = zip(self.starts[which].tolist(), self.ends[which].tolist(), strict=True)
+        return [self.data[a:b] for a, b in places]
+
 
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _BASE = 0x9E3779B97F4A7C15
@@ -78,11 +85,16 @@ def running_hash(data: np.ndarray) -> np.ndarray:
 def span_hashes(
     data: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None
 ) -> np.ndarray:
-    """A 64-bit polynomial hash of every byte span, from one running sum."""
+    """A 64-bit hash of every byte span: a polynomial from one running sum, XXH64 for long spans,
+    where sums modulo a power of two meet for regular texts."""
     if total is None:
         total = running_hash(data)
     _, inverse = _powers(len(data))
     x = (total[ends] - total[starts]) * inverse[starts]
+    long = np.flatnonzero(ends - starts > LONG_SPAN)
+    if len(long):
+        spans = zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+        x[long] = np.array([xxhash.xxh64_intdigest(data[a:b].tobytes()) for a, b in spans], np.uint64)
     x ^= (ends - starts).astype(np.uint64) << np.uint64(48)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(33))
@@ -255,3 +267,42 @@ class HashIndex:
             self.keys[slot[free]], self.values[slot[free]] = hashes[free], values[free]
             left = ~(free & (self.keys[slot] == hashes))
             hashes, values, slot = hashes[left], values[left], (slot[left] + 1) & mask
+
+
+class WordIndex:
+    """Byte strings to numbers: the hash finds the place, the bytes decide."""
+
+    def __init__(self) -> None:
+        self.places = HashIndex()
+        self.data, self.at = np.zeros(1 << 16, np.uint8), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each span; -1 where its hash is not held, -2 where another string has it."""
+        where = self.places.find(hashes).astype(np.int64)
+        held = np.flatnonzero(where >= 0)
+        own, size = self.at[where[held]], ends[held] - starts[held]
+        same = self.at[where[held] + 1] - own == size
+        where[held[~same]] = -2
+        held, own, size = held[same], own[same], size[same]
+        for k in range(0, len(held), 1 << 18):
+            part, length = held[k : k + (1 << 18)], size[k : k + (1 << 18)]
+            last = np.cumsum(length)
+            step = np.arange(last[-1]) - np.repeat(last - length, length)
+            theirs = self.data[np.repeat(own[k : k + (1 << 18)], length) + step]
+            wrong = np.flatnonzero(theirs != data[np.repeat(starts[part], length) + step])
+            if len(wrong):
+                where[part[np.unique(np.searchsorted(last, wrong, side="right"))]] = -2
+        return where
+
+    def add(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """New, distinct hashes and their strings; they get the next numbers."""
+        self.places.add(hashes, len(self) + np.arange(len(hashes)))
+        new = np.frombuffer(b"".join(words), np.uint8)
+        used = int(self.at[-1])
+        if used + len(new) > len(self.data):
+            self.data = np.r_[self.data[:used], np.zeros(2 * (used + len(new)) - used, np.uint8)]
+        self.data[used : used + len(new)] = new
+        self.at = np.r_[self.at, used + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]

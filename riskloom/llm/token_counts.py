@@ -112,27 +112,30 @@ class TokenCounter:
         self._forget()
 
     def _forget(self) -> None:
-        self.index, self.counts = pretokens.HashIndex(), np.zeros(0, np.int64)
+        self.index, self.counts = pretokens.WordIndex(), np.zeros(0, np.int64)
+
+    def _merged(self, words: list[bytes]) -> np.ndarray:
+        made = merge_counts(words, self.merges)
+        made[[k for k, w in enumerate(words) if w in pretokens.WORDS.specials]] = 1
+        return made
 
     def count(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         if len(self.counts) > self.memo_words:
             self._forget()
         spans = pretokens.pretokenize(offsets, data, pretokens.WORDS)
-        hashes = spans.hashes()
-        where = self.index.find(hashes)
-        new, at = np.unique(hashes[where < 0], return_index=True)
+        hashes, flat = spans.hashes(), np.frombuffer(spans.data, np.uint8)
+        where = self.index.find(flat, spans.starts, spans.ends, hashes)
+        new, at = np.unique(hashes[where == -1], return_index=True)
         if len(new):
-            at = np.flatnonzero(where < 0)[at]
-            pairs = zip(spans.starts[at].tolist(), spans.ends[at].tolist(), strict=True)
-            words = [spans.data[a:b] for a, b in pairs]
-            special = [k for k, w in enumerate(words) if w in pretokens.WORDS.specials]
-            made = merge_counts(words, self.merges)
-            made[special] = 1
-            self.index.add(new, len(self.counts) + np.arange(len(new)))
-            self.counts = np.r_[self.counts, made]
-            where = self.index.find(hashes)
-        total = np.r_[0, np.cumsum(self.counts[where])]
-        return np.diff(total[spans.first])
+            words = spans.words(np.flatnonzero(where == -1)[at])
+            self.index.add(new, words)
+            self.counts = np.r_[self.counts, self._merged(words)]
+            where = self.index.find(flat, spans.starts, spans.ends, hashes)
+        made = self.counts[where]
+        clash = np.flatnonzero(where < 0)
+        if len(clash):
+            made[clash] = self._merged(spans.words(clash))
+        return np.diff(np.r_[0, np.cumsum(made)][spans.first])
 
 
 def counter(path: str) -> TokenCounter:
