@@ -10,8 +10,8 @@ checked on words: the longest common subsequence of the item and the text around
 and, below the similarity that settles it, whether the item's answer is there as well.
 
 Defined cases: items without words never match; a null text has no words; an empty benchmark or
-table gives no rows; repeated items match each on their own; rows that repeat a doc_id are reported
-once per row; ties of cosine go to the first passage.
+table gives no rows; items that repeat in all columns are one item; rows that repeat a doc_id are
+reported once per row.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import chunks, received, sent, small_batches, stored, table, text_bytes, text_digest, without_rows
+from riskloom.llm.pretokens import HashIndex
 from riskloom.llm.words import Words, words_of
 
 DIMENSION_BITS = 18  # hashed words
@@ -37,6 +38,7 @@ RANK, OVERSAMPLE, POWER_ROUNDS = 128, 16, 2
 LEAST_WEIGHT = 0.1  # of a hashed word, however many rows have it
 LEAST_COSINE = 0.45  # or share of an item's passage that lies in the window
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.8  # common subsequence alone; with the answer; words of the answer found
+NO_WORD = np.int32(2**31 - 1)
 BLOCK_ITEMS = 20_000  # items searched in one scan of the documents
 
 
@@ -88,13 +90,23 @@ class Space(NamedTuple):
     directions: np.ndarray
 
     def project(self, feature: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unit vectors and lengths of the passages [start, end) of at most ``WINDOW`` hashed words."""
-        at = start[:, None] + np.arange(WINDOW)
-        inside = at < end[:, None]
-        feature = feature[np.where(inside, at, start[:, None])]
-        row = np.where(inside, self.row[feature], -1)
-        weight = np.where(row >= 0, self.weight[feature], 0).astype(np.float32)
-        out = np.einsum("ij,ijk->ik", weight, self.directions[row])
+        """Unit vectors and lengths of the passages [start, end), in order of their starts."""
+        # Passages overlap: words are summed up once for every stretch between two borders.
+        borders = np.unique(np.r_[start, end])
+        word = np.arange(borders[0], borders[-1])
+        row = self.row[feature[word]]
+        word, row = word[row >= 0], row[row >= 0]
+        stretch = np.searchsorted(borders, word, side="right") - 1
+        sums = np.zeros((len(borders), self.directions.shape[1]), np.float32)
+        if len(word):
+            first = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1]])
+            vectors = self.directions[row] * self.weight[feature[word]][:, None]
+            sums[stretch[first]] = np.add.reduceat(vectors, first, axis=0)
+        low, high = np.searchsorted(borders, start), np.searchsorted(borders, end)
+        out = np.zeros((len(start), sums.shape[1]), np.float32)
+        for k in range(int((high - low).max())):
+            own = low + k < high
+            out[own] += sums[low[own] + k]
         length = np.maximum(np.linalg.norm(out, axis=1), 1e-12)
         return out / length[:, None], length
 
@@ -178,18 +190,22 @@ def latent_space(items: DataFrame, df: np.ndarray, rows: int, rank: int = RANK)
         basis, _ = np.linalg.qr(summed(basis, gram=False))
     _, turn = np.linalg.eigh(summed(basis, gram=True))
     directions = (basis @ turn[:, ::-1])[:, :rank].astype(np.float32)
-    return Space(weight, row, np.vstack([directions, np.zeros((1, directions.shape[1]), np.float32)]))
+    return Space(weight, row, np.ascontiguousarray(directions))
 
 
 class Items(NamedTuple):
-    """Benchmark items of one block, ready to search."""
+    """Benchmark items of one block, ready to search; words are numbered, those of items first."""
 
     ids: list[int]
     vectors: np.ndarray  # unit vector of each passage
     lengths: np.ndarray  # and what it was divided by
     owner: np.ndarray  # item of each passage
-    words: list[np.ndarray]
+    sizes: np.ndarray  # words of each item
+    patterns: list[dict[int, int]]  # per item, the places of each word as bits
     answers: list[set[int]]
+    numbers: HashIndex  # hash of a word to its number
+    item_words: int  # numbers below are of items
+    counts: HashIndex  # (item, number) to how often the item has the word
     fewest: int  # words of the benchmark in some window of any text that passes the check
 
 
@@ -209,6 +225,16 @@ def _hashes(text: str | None) -> np.ndarray:
     return words_of(*text_bytes(pa.array([text or ""]))).hashes
 
 
+def _numbers(hashes: np.ndarray, known: HashIndex) -> np.ndarray:
+    return known.find(hashes).astype(np.int64)
+
+
+def _pair(item: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """One to one, and spread over the table."""
+    key = ((item.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return key ^ (key >> np.uint64(32))
+
+
 def prepared(rows: list, space: Space) -> Items:
     ids = [r["item_id"] for r in rows]
     answers = [r["answer"] if "answer" in r and r["answer"] is not None else answer_of(r["text"]) for r in rows]
@@ -216,9 +242,33 @@ def prepared(rows: list, space: Space) -> Items:
     start, end, owner = windows(found.first)
     nothing = np.zeros((0, 1), np.float32), np.zeros(0, np.float32)
     vectors, lengths = space.project(features(found.hashes), start, end) if len(start) else nothing
-    words = [found.hashes[a:b] for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
-    fewest = min((fewest_known(len(w)) for w in words if len(w)), default=1)
-    return Items(ids, vectors, lengths, owner, words, [set(_hashes(a).tolist()) for a in answers], fewest)
+    own, wanted = np.unique(found.hashes), [_hashes(a) for a in answers]
+    others = np.setdiff1d(np.concatenate([np.zeros(0, np.uint64), *wanted]), own)
+    numbers, counts = HashIndex(8), HashIndex(8)
+    numbers.add(np.r_[own, others], np.arange(len(own) + len(others)))
+    sizes = np.diff(found.first)
+    words = _numbers(found.hashes, numbers)
+    key, times = np.unique(_pair(np.repeat(np.arange(len(sizes)), sizes), words), return_counts=True)
+    counts.add(key, times)
+    patterns: list[dict[int, int]] = []
+    for a, b in zip(found.first[:-1], found.first[1:], strict=True):
+        pattern: dict[int, int] = {}
+        for k, word in enumerate(words[a:b].tolist()):
+            pattern[word] = pattern.get(word, 0) | (1 << k)
+        patterns.append(pattern)
+    return Items(
+        ids,
+        vectors,
+        lengths,
+        owner,
+        sizes,
+        patterns,
+        [set(_numbers(w, numbers).tolist()) for w in wanted],
+        numbers,
+        len(own),
+        counts,
+        min((fewest_known(n) for n in sizes.tolist() if n), default=1),
+    )
 
 
 def common_subsequence(pattern: dict[int, int], size: int, text: list[int]) -> int:
@@ -231,15 +281,10 @@ def common_subsequence(pattern: dict[int, int], size: int, text: list[int]) -> i
     return size - state.bit_count()
 
 
-def checked(item: np.ndarray, answer: set[int], text: np.ndarray, start: int, end: int) -> tuple[float, float]:
-    """Share of the item found in order near words [start, end) of ``text`` (0 where it is sure to be
-    below ``LIKELY``), and share of the answer there."""
-    size = len(item)
-    pattern: dict[int, int] = {}
-    for k, word in enumerate(item.tolist()):
-        pattern[word] = pattern.get(word, 0) | (1 << k)
-    low, high = max(0, start - size), min(len(text), end + size)
-    words, span, step = text[low:high].tolist(), size + max(4, size // 4), max(1, size // 8)
+def checked(pattern: dict[int, int], size: int, answer: set[int], words: list[int]) -> tuple[float, float]:
+    """Share of the item found in order in ``words`` (0 where it is sure to be below ``LIKELY``), and
+    share of the answer there."""
+    span, step = size + max(4, size // 4), max(1, size // 8)
     # No subsequence is longer than the words of the span that the item has: most spans end here.
     known = [0, *accumulate(word in pattern for word in words)]
     best, place = 0, 0
@@ -253,14 +298,40 @@ def checked(item: np.ndarray, answer: set[int], text: np.ndarray, start: int, en
     return best / size, len(answer & near) / len(answer) if answer else 0.0
 
 
-def _candidates(found: Words, space: Space, items: Items) -> Iterator[tuple[int, int, int, int, float]]:
-    """(text, item, start word, end word, cosine) of passages close to an item's passage, the best
-    one first for every pair."""
+def shared_words(number: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, items: Items) -> np.ndarray:
+    """How many words the places [low, high) of a list of item words and an item share, each used once."""
+    at = low[:, None] + np.arange(int((high - low).max()))
+    own = number[np.minimum(at, len(number) - 1)]
+    own[at >= high[:, None]] = NO_WORD
+    own.sort(axis=1)
+    place = np.arange(own.shape[1], dtype=np.int32)
+    begin = np.tile(place, (len(own), 1))
+    begin[:, 1:][own[:, 1:] == own[:, :-1]] = 0
+    rank = place - np.maximum.accumulate(begin, axis=1)
+    inside = own != NO_WORD
+    pair = np.repeat(np.arange(len(own)), inside.sum(1))
+    held = items.counts.find(_pair(item[pair], own[inside]))
+    return np.bincount(pair[held > rank[inside]], minlength=len(low))
+
+
+class Candidate(NamedTuple):
+    text: int
+    item: int
+    low: int  # words that the check reads
+    high: int
+    cosine: float
+
+
+def candidates(found: Words, number: np.ndarray, space: Space, items: Items) -> Iterator[Candidate]:
+    """Windows close to an item's passage whose surroundings share as many words with the item as the
+    check needs: a common subsequence uses each word once, so no other can pass."""
     feature = features(found.hashes)
-    known = np.r_[0, np.cumsum(space.row[feature] >= 0)]
+    of_items = (number >= 0) & (number < items.item_words)
+    known, number = np.r_[0, np.cumsum(of_items)], number[of_items].astype(np.int32)
     start, end, text = windows(found.first)
     near = known[end] - known[start] >= items.fewest
     start, end, text = start[near], end[near], text[near]
+    least_shared = np.ceil(LIKELY * items.sizes)
     for k in range(0, len(start), 2048):
         a, b, t = start[k : k + 2048], end[k : k + 2048], text[k : k + 2048]
         vectors, lengths = space.project(feature, a, b)
@@ -268,14 +339,20 @@ def _candidates(found: Words, space: Space, items: Items) -> Iterator[tuple[int,
         # Divided by the shorter of both, the words around an item take nothing away.
         least = LEAST_COSINE * np.minimum(1, items.lengths / lengths[:, None])
         at, passage = np.nonzero(cosine >= least)
-        yield from zip(
-            t[at].tolist(),
-            items.owner[passage].tolist(),
-            a[at].tolist(),
-            b[at].tolist(),
-            cosine[at, passage].tolist(),
-            strict=True,
-        )
+        item, value = items.owner[passage], cosine[at, passage]
+        if not len(at):
+            continue
+        # Passages of one item in one window see the same words: one check does for them.
+        new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (item[1:] != item[:-1])])
+        value, at, item = np.maximum.reduceat(value, new), at[new], item[new]
+        low = np.maximum(a[at] - items.sizes[item], found.first[t[at]])
+        high = np.minimum(b[at] + items.sizes[item], found.first[t[at] + 1])
+        wide = np.flatnonzero(known[high] - known[low] >= least_shared[item])
+        for j in range(0, len(wide), 4096):
+            part = wide[j : j + 4096]
+            shared = shared_words(number, known[low[part]], known[high[part]], item[part], items)
+            for i in part[shared >= least_shared[item[part]]]:
+                yield Candidate(int(t[at[i]]), int(item[i]), int(low[i]), int(high[i]), float(value[i]))
 
 
 FOUND = "doc_id long, item_id long, cosine double, common double, answer double, digest long"
@@ -294,16 +371,11 @@ def search(docs: DataFrame, space: Space, items: Items) -> DataFrame:
             for a, b in chunks(offsets):
                 part = offsets[a : b + 1]
                 found = words_of(part - part[0], data[part[0] : part[-1]])
+                number = _numbers(found.hashes, wanted.numbers)
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                done: set[tuple[int, int, int]] = set()
-                for text, item, start, end, cosine in _candidates(found, latent, wanted):
-                    # Passages of one item in one place see the same words: one check does for them.
-                    if (text, item, start) in done:
-                        continue
-                    done.add((text, item, start))
-                    low, high = int(found.first[text]), int(found.first[text + 1])
+                for text, item, low, high, cosine in candidates(found, number, latent, wanted):
                     common, answer = checked(
-                        wanted.words[item], wanted.answers[item], found.hashes[low:high], start - low, end - low
+                        wanted.patterns[item], int(wanted.sizes[item]), wanted.answers[item], number[low:high].tolist()
                     )
                     if common >= SURE or common >= LIKELY and answer >= ANSWER:
                         best[text, item] = max(best.get((text, item), (-1.0, 0.0, 0.0)), (common, cosine, answer))
@@ -326,7 +398,7 @@ def _contaminated(docs: DataFrame, items: DataFrame, rank: int = RANK, block: in
     spark = small_batches(docs.sparkSession)
     frequencies, rows = document_frequencies(docs)
     columns = [c for c in ("item_id", "text", "answer") if c in items.columns]
-    items = items.select(*columns)
+    items = stored(items.select(*columns).distinct(), "items")
     space = latent_space(items, frequencies, rows, rank)
     empty = spark.createDataFrame([], FOUND)
     if space is None:

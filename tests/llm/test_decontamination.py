@@ -109,7 +109,7 @@ def test_edge_rows(spark):
     got = {(r.doc_id, r.item_id) for r in dec.contaminated(docs, items).collect()}
     assert got == {(None, 1), (4, 1)}
     kept = dec.drop_contaminated(docs, items)
-    assert kept.columns == ["doc_id", "text", "item_id"] and {r.doc_id for r in kept.collect()} == {1, 2, 5}
+    assert kept.columns == ["doc_id", "text", "item_id"] and {(r.doc_id, r.text) for r in kept.collect()} == {(1, None), (2, ""), (4, "nothing here"), (5, filler)}
     assert dec.contaminated(docs, items.limit(0)).collect() == []
     assert dec.contaminated(docs.limit(0), items).collect() == []
     short = spark.createDataFrame([(1, "a")], "item_id long, text string")
