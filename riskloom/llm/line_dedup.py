@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import small_batches, stored, table, text_bytes
+from riskloom.llm.common import small_batches, stored, table, text_bytes, text_digest
 from riskloom.llm.cuckoo import CuckooFilter, Full
 
 LEAST_KEY = 10
@@ -47,30 +47,31 @@ def line_key(line: bytes, least: int = LEAST_KEY) -> bytes | None:
 
 
 def postings(docs: DataFrame, least: int = LEAST_KEY) -> DataFrame:
-    """k1, k2, doc: each key once for each row that holds it."""
+    """k1, k2, doc, digest (of the row's text): each key once for each row that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = text_bytes(batch.column("text"))
             raw, at = data.tobytes(), offsets.tolist()
-            doc = batch.column("doc").to_pylist()
-            keys, owner = [], []
-            for d, a, b in zip(doc, at[:-1], at[1:], strict=True):
+            keys, sizes = [], []
+            for a, b in zip(at[:-1], at[1:], strict=True):
                 found = {line_key(line, least) for line in raw[a:b].split(b"\n")}
                 found.discard(None)
                 keys.extend(found)
-                owner.extend([d] * len(found))
+                sizes.append(len(found))
+            owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             pair = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
             yield pa.record_batch(
                 {
                     "k1": pa.array(pair[:, 0].copy(), pa.int64()),
                     "k2": pa.array(pair[:, 1].copy(), pa.int64()),
-                    "doc": pa.array(owner, pa.int64()),
+                    "doc": batch.column("doc").take(owner),
+                    "digest": batch.column("digest").take(owner),
                 }
             )
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    return rows.mapInArrow(run, "k1 long, k2 long, doc long")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text", text_digest().alias("digest"))
+    return rows.mapInArrow(run, "k1 long, k2 long, doc long, digest long")
 
 
 def key_counts(rows: DataFrame) -> DataFrame:
@@ -206,10 +207,12 @@ def apply_drops(docs: DataFrame, index: LineIndex, least: int = LEAST_KEY) -> Da
     spare = stored(repeated(index), "line-repeated")
     # A line may be in a third of all documents: the rows are slim, and both sides are dealt
     # out anew here, so adaptive execution can split such a key.
-    parts = [p.join(spare, KEY).filter("doc > first").select("doc", *KEY) for p in index.postings]
-    drops = reduce(DataFrame.unionByName, parts).distinct().groupBy("doc")
+    parts = [p.join(spare, KEY).filter("doc > first").select("doc", "digest", *KEY) for p in index.postings]
+    # By row and not by document: any number of rows may have no id or the same one, and a list is
+    # no longer than the lines of one text.
+    drops = reduce(DataFrame.unionByName, parts).distinct().groupBy("doc", "digest")
     drops = stored(drops.agg(F.collect_list("k1").alias("d1"), F.collect_list("k2").alias("d2")), "line-drops")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_digest().alias("digest"))
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +239,7 @@ def apply_drops(docs: DataFrame, index: LineIndex, least: int = LEAST_KEY) -> Da
             )
 
     # Shuffled at every size: the lines to drop grow with the table, so they are never broadcast.
-    joined = rows.join(drops.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "d1", "d2")
+    joined = rows.join(drops.hint("shuffle_hash"), ["doc", "digest"], "left").select("doc_id", "text", "d1", "d2")
     return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_text string")
 
 
@@ -262,13 +265,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "op8_line_dedup": r"""
 WITH l AS (
-  SELECT doc_id, unnest(generate_series(1, len(parts))) AS pos, unnest(parts) AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+  SELECT doc_id, doc, unnest(generate_series(1, len(parts))) AS pos, unnest(parts) AS line
+  FROM (SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS doc,
+               string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
 k AS (
   SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-r AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
-m AS (SELECT k.doc_id, pos, line, coalesce(k.doc_id > first, false) AS gone FROM k LEFT JOIN r ON k.key = r.key)
+r AS (SELECT key, min(doc) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc) >= 2),
+m AS (SELECT k.doc_id, pos, line, coalesce(k.doc > first, false) AS gone FROM k LEFT JOIN r ON k.key = r.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""

@@ -80,3 +80,11 @@ def test_insert_and_delete_are_reversible(spark):
     assert 0 < dead.count() and screen(smaller, dead).count() <= 1
     back = insert(smaller, stored(postings(spark.createDataFrame(out, SCHEMA)), "p"))
     assert rows_of(apply_drops(everything, back)) == brute(rows)
+
+
+def test_rows_without_an_id_keep_lists_of_their_own(spark):
+    """Many rows share no id or one id: each drops its own lines only."""
+    own = [(None if k % 2 else 50, f"{LINE}\nthis is line number {k % 7} of seven\nonly row {k} has this line") for k in range(60)]
+    rows = [(1, LINE), *own]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert rows_of(line_dedup(docs)) == brute(rows)
