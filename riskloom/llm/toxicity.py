@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers read a clause word by word: insult (weights learned from labels), threat, target,
-negation and reported speech. They are composed into one automaton over word classes, whose final
-states say which patterns met in the clause and with what weight: an insult counts more with a target,
-hardly when negated or reported; a threat counts only with a target. Isolated words outside a matched
-clause count nothing. A text's matched clauses give a handful of numbers, and a logistic curve
+Small transducers read a clause word by word, each what the one before wrote: negation and reported
+speech rewrite insults and threats in their reach, insult and threat write a slot and carry the word's
+weight (learned from labels), and target rewrites the slots at the clause's end. They are composed into
+one weighted transducer over word classes; a clause weighs on each slot what its heaviest arc does:
+an insult counts more with a target, hardly when negated or reported; a threat counts only with a
+target. Isolated words outside a matched clause count nothing. A text's matched clauses give a handful of numbers, and a logistic curve
 over these, fitted on the same labels, gives the score.
 
 Learned from a bounded sample: at most ``SAMPLE_ROWS`` texts of each label, by hash of the id. The
@@ -35,7 +36,7 @@ FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 SAMPLE_ROWS = 3000  # texts of each label
 STEMS = (4, 5, 6, 8)  # bytes of a word's beginning, besides the whole word
 LEAST_TEXTS, LEAST_RATE, CANDIDATES = 3, 0.95, 5000  # to be a candidate of the lexicon
-COVER, LEAST_GAIN, LEAST_GAIN_SHARE = 2, 3, 0.004  # a word enters for so many toxic texts not covered twice
+COVER, LEAST_GAIN = 2, 3  # a word enters for so many toxic texts not covered twice, whatever the sample's size
 NEGATION_REACH = 3  # words a negation covers
 
 # Seed words of the grammar.
@@ -45,60 +46,121 @@ TARGETS = "you your yours they them he she him her these those dich dir ihr euch
 NEGATIONS = "not no never neither nor isn aren wasn don doesn nicht kein keine keinen nie pas jamais aucun nunca ningún tampoco"
 REPORTS = "said says say wrote writes called calls quoted quote claimed alleged reportedly sagte schrieb nannte dit écrit appelé dijo escribió llamó"
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+# Word classes, what is written for them, and the slots of the result.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, NEGATED, REPORTED = range(8)
+CLASSES, SYMBOLS = 6, 8
+NOTHING, PLAIN, AIMED, DENIED, QUOTED, THREATENED = range(6)
+SLOTS = ("plain", "aimed", "negated", "reported", "threats")  # of PLAIN, AIMED, ...
 BREAKS = np.zeros(256, bool)
 BREAKS[[ord(c) for c in ".,;:!?\n()|"]] = True
 
 
 class Transducer(NamedTuple):
-    """States 0..n-1, start 0; ``step[state, class]`` is the next state."""
+    """States 0..n-1, start 0; by state and symbol read: the next state, the symbol written, and the
+    share of the word's weight that the arc carries. ``slot`` (if the machine writes slots) and ``last``
+    (what becomes of a slot when the clause ends in a state) are by symbol and by state and slot."""
 
     step: np.ndarray
+    write: np.ndarray
+    weight: np.ndarray
+    slot: np.ndarray
+    last: np.ndarray
 
 
-def _flag(kind: int) -> Transducer:
-    """Remembers that a class has been read."""
-    step = np.array([[0] * 6, [1] * 6])
-    step[0, kind] = 1
-    return Transducer(step)
+def machine(states: int) -> Transducer:
+    """Reads anything, changes nothing."""
+    stay = np.repeat(np.arange(states)[:, None], SYMBOLS, 1)
+    same = np.repeat(np.arange(SYMBOLS)[None, :], states, 0)
+    slots = np.repeat(np.arange(len(SLOTS) + 1)[None, :], states, 0)
+    return Transducer(stay, same, np.zeros((states, SYMBOLS)), np.zeros(SYMBOLS, int), slots)
 
 
-def _negation(reach: int = NEGATION_REACH) -> Transducer:
+def negation(reach: int = NEGATION_REACH) -> Transducer:
     """State n: a negation covers the next n words; it is used up as words pass, not by other negations."""
-    step = np.array([[max(0, n - 1)] * 6 for n in range(reach + 1)])
-    step[:, NEGATION] = reach
-    return Transducer(step)
+    made = machine(reach + 1)
+    made.step[:] = np.maximum(0, made.step - 1)
+    made.step[:, NEGATION] = reach
+    made.write[1:, INSULT], made.write[1:, THREAT] = NEGATED, OTHER
+    return made
 
 
-def compose(*parts: Transducer) -> tuple[np.ndarray, list[tuple[int, ...]]]:
-    """The product automaton: transitions, and the part states of each of its states."""
-    states = list(product(*(range(len(p.step)) for p in parts)))
-    number = {s: k for k, s in enumerate(states)}
-    step = [[number[tuple(int(p.step[q, c]) for p, q in zip(parts, s, strict=True))] for c in range(6)] for s in states]
-    return np.array(step), states
+def reported() -> Transducer:
+    made = machine(2)
+    made.step[0, REPORT] = 1
+    made.write[1, INSULT] = REPORTED
+    return made
+
+
+def insult() -> Transducer:
+    made = machine(1)
+    for symbol, slot in ((INSULT, PLAIN), (NEGATED, DENIED), (REPORTED, QUOTED)):
+        made.slot[symbol], made.weight[0, symbol] = slot, 1.0
+    return made
+
+
+def threat() -> Transducer:
+    made = machine(1)
+    made.slot[THREAT], made.weight[0, THREAT] = THREATENED, 1.0
+    return made
+
 
+def target() -> Transducer:
+    """The target may come before or after what is aimed at it."""
+    made = machine(2)
+    made.step[0, TARGET] = 1
+    made.last[1, PLAIN], made.last[0, THREATENED] = AIMED, NOTHING
+    return made
 
-STEP, STATES = compose(_flag(TARGET), _flag(REPORT), _negation())
-SLOTS = ("plain", "aimed", "negated", "reported", "threats")
+
+class Composed(NamedTuple):
+    """By state and word class: next state, slot written, share of the weight; by state and slot: the
+    slot at the end. ``states`` has the states of the parts."""
+
+    step: np.ndarray
+    slot: np.ndarray
+    weight: np.ndarray
+    last: np.ndarray
+    states: list[tuple[int, ...]]
+
+
+def compose(*parts: Transducer) -> Composed:
+    """Each part reads what the one before wrote."""
+    states = list(product(*(range(len(p.step)) for p in parts)))
+    number = {s: k for k, s in enumerate(states)}
+    step, slot = np.zeros((len(states), CLASSES), int), np.zeros((len(states), CLASSES), int)
+    weight, last = np.zeros((len(states), CLASSES)), np.zeros((len(states), len(SLOTS) + 1), int)
+    for own, at in number.items():
+        for kind in range(CLASSES):
+            symbol, after = kind, []
+            for part, state in zip(parts, own, strict=True):
+                after.append(int(part.step[state, symbol]))
+                slot[at, kind] = max(slot[at, kind], part.slot[symbol])
+                weight[at, kind] += part.weight[state, symbol]
+                symbol = int(part.write[state, symbol])
+            step[at, kind] = number[tuple(after)]
+        for first in range(len(SLOTS) + 1):
+            end = first
+            for part, state in zip(parts, own, strict=True):
+                end = int(part.last[state, end])
+            last[at, first] = end
+    return Composed(step, slot, weight, last, states)
+
+
+GRAMMAR = compose(negation(), reported(), insult(), threat(), target())
+_STEP, _SLOT, _SHARE, _LAST = (x.tolist() for x in GRAMMAR[:4])
 
 
 def clause_weights(kinds: list[int], weights: list[float]) -> tuple[float, ...]:
-    """Weight of a clause on each slot: insults plain or aimed, negated, reported, and threats."""
-    found, threats, state = [], 0.0, 0
+    """Weight of a clause on each slot: that of its heaviest arc."""
+    state, found = 0, [0.0] * (len(SLOTS) + 1)
     for kind, weight in zip(kinds, weights, strict=True):
-        _, reported, negated = STATES[state]
-        if kind == INSULT:
-            found.append((weight, 2 if negated else 3 if reported else 0))
-        elif kind == THREAT and not negated:
-            threats = max(threats, weight)
-        state = int(STEP[state, kind])
-    aimed = STATES[state][0]  # the target may come before or after
-    out = [0.0] * len(SLOTS)
-    for weight, slot in found:
-        slot = 1 if slot == 0 and aimed else slot
-        out[slot] = max(out[slot], weight)
-    out[4] = threats if aimed else 0.0
-    return tuple(out)
+        slot = _SLOT[state][kind]
+        found[slot] = max(found[slot], weight * _SHARE[state][kind])
+        state = _STEP[state][kind]
+    out = [0.0] * (len(SLOTS) + 1)
+    for slot, end in enumerate(_LAST[state]):
+        out[end] = max(out[end], found[slot])
+    return tuple(out[1:])
 
 
 class Grammar:
@@ -274,11 +336,10 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[int, int, float]]:
     for k, own in enumerate(lists):
         has[k, np.asarray(own, np.int64)] = True
     covered, chosen = np.zeros(len(has), np.int64), []
-    least = max(LEAST_GAIN, LEAST_GAIN_SHARE * len(has))
     while has.size:
         gain = has[covered < COVER].sum(0)
         best = int(gain.argmax())
-        if gain[best] < least:
+        if gain[best] < LEAST_GAIN:
             break
         chosen.append(rows[best])
         covered += has[:, best]

@@ -39,16 +39,46 @@ def test_patterns(grammar, text, slots):
     assert got[0, :7].sum() == 0 and got[2, 0] == 3
 
 
-def test_composition_equals_its_parts():
+def walked(parts, kinds, weights):
+    """Every part on its own, word by word, each reading what the one before wrote."""
+    states, found = [0] * len(parts), []
+    for kind, weight in zip(kinds, weights):
+        symbol = kind
+        for k, part in enumerate(parts):
+            if part.slot[symbol]:
+                found.append((part.slot[symbol], weight * part.weight[states[k], symbol]))
+            states[k], symbol = int(part.step[states[k], symbol]), int(part.write[states[k], symbol])
+    out = [0.0] * 6
+    for slot, weight in found:
+        for part, state in zip(parts, states):
+            slot = part.last[state, slot]
+        out[slot] = max(out[slot], weight)
+    return tuple(out[1:])
+
+
+def told(kinds, weights):
+    """What the grammar means, without automata."""
+    out = dict.fromkeys(tox.SLOTS, 0.0)
+    aimed = tox.TARGET in kinds
+    for k, (kind, weight) in enumerate(zip(kinds, weights)):
+        negated = tox.NEGATION in kinds[max(0, k - tox.NEGATION_REACH) : k]
+        slot = None
+        if kind == tox.INSULT:
+            slot = "negated" if negated else "reported" if tox.REPORT in kinds[:k] else "aimed" if aimed else "plain"
+        elif kind == tox.THREAT and not negated and aimed:
+            slot = "threats"
+        if slot:
+            out[slot] = max(out[slot], weight)
+    return tuple(out.values())
+
+
+def test_composition_equals_its_parts_and_its_meaning():
     rng = np.random.default_rng(3)
-    parts = (tox._flag(tox.TARGET), tox._flag(tox.REPORT), tox._negation())
-    step, states = tox.compose(*parts)
-    for _ in range(50):
-        word = rng.integers(0, 6, 12)
-        state, own = 0, [0, 0, 0]
-        for c in word:
-            state, own = step[state, c], [int(p.step[q, c]) for p, q in zip(parts, own)]
-        assert states[state] == tuple(own)
+    parts = (tox.negation(), tox.reported(), tox.insult(), tox.threat(), tox.target())
+    for _ in range(400):
+        kinds = rng.integers(0, 6, rng.integers(0, 12)).tolist()
+        weights = rng.integers(1, 9, len(kinds)).astype(float).tolist()
+        assert tox.clause_weights(kinds, weights) == walked(parts, kinds, weights) == told(kinds, weights)
 
 
 def planted(n):
