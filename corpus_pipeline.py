@@ -15,8 +15,8 @@ from riskloom.llm.common import stored, table, tokenizer_path
 from riskloom.llm.decontamination import drop_contaminated
 from riskloom.llm.exact_dedup import drop_copies
 from riskloom.llm.language_id import keep_known_languages
-from riskloom.llm.near_copies import one_of_near_copies
 from riskloom.llm.packing import VOCABULARY, pack
+from riskloom.llm.simhash import one_per_group
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8) the smallest doc_id stays."""
-    return one_of_near_copies(docs)
+    """Of each group linked at two or fewer differing bits (three-word shingles) the smallest doc_id stays."""
+    return one_per_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
