@@ -163,3 +163,44 @@ def test_clean_rows_of_a_contaminated_id_stay(spark):
     rows = [(None, item), (None, "clean"), (4, item), (4, "clean as well"), (None, None)]
     kept = dec.drop_contaminated(spark.createDataFrame(rows, SCHEMA), items).collect()
     assert {(r.doc_id, r.text) for r in kept} == {(None, "clean"), (4, "clean as well"), (None, None)}
+
+
+def test_recall_beyond_the_rank(spark):
+    """More passages than directions, hosts with paraphrases; brute force over all words."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghijkl", k=rng.randint(3, 8))) for _ in range(1500)]
+    common = ["the", "of", "and", "in", "to", "is", "was", "for"]
+    make = lambda n: [rng.choice(common) if rng.random() < 0.4 else rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, make(rng.randint(15, 60))) for k in range(260)]
+    docs, truth = [], set()
+    for d in range(400):
+        words = make(rng.randint(20, 200))
+        if d % 2:
+            item, text = items[rng.randrange(len(items))]
+            if d % 4 == 1:
+                text = [w if rng.random() > 0.1 or k > len(text) - 5 else rng.choice(vocabulary) for k, w in enumerate(text)]
+            at = rng.randrange(len(words))
+            words[at:at] = text
+            truth.add((d, item))
+        docs.append((d, " ".join(words)))
+    listed = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    passages = len(dec.windows(np.r_[0, np.cumsum([len(w) for _, w in items])])[0])
+    assert passages > 1.5 * dec.RANK
+    got = {(r.doc_id, r.item_id) for r in dec.contaminated(spark.createDataFrame(docs, SCHEMA), listed).collect()}
+    assert len(got & truth) >= 0.95 * len(truth) and not got - truth
+
+
+def test_shared_words_are_counted_once_each():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(list("abcdefg"), rng.integers(1, 20))) for _ in range(12)]
+    found = words_of(*text_bytes(pa.array(texts)))
+    space = dec.Space(np.ones(1 << 18, np.float32), np.full(1 << 18, -1, np.int32), np.zeros((1, 4), np.float32))
+    items = dec.prepared([{"item_id": k, "text": t, "answer": ""} for k, t in enumerate(texts[:4])], space)
+    number = items.numbers.find(found.hashes).astype(np.int32)
+    keep = number[(number >= 0)]
+    low = rng.integers(0, len(keep) - 10, 40)
+    high, item = low + rng.integers(0, 10, 40), rng.integers(0, 4, 40)
+    got = dec.shared_words(keep, low, high, item, items)
+    for a, b, k, n in zip(low, high, item, got):
+        own = items.numbers.find(words_of(*text_bytes(pa.array([texts[k]]))).hashes).tolist()
+        assert n == sum(min(own.count(x), keep[a:b].tolist().count(x)) for x in set(own))

@@ -49,6 +49,28 @@ def test_long_texts(text):
     assert ours([text, "a", text]) == [library_count(text), library_count("a"), library_count(text)]
 
 
+def swapped(size, letters):
+    """Letters in the order of the parity of ones in binary: sums modulo powers of two meet for such words."""
+    return "".join(letters[k.bit_count() % 2] for k in range(size))
+
+
+@pytest.mark.parametrize("limit", [pretokens.LONG_SPAN, 1 << 30])
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_with_equal_sums(size, limit, monkeypatch):
+    """With the long hash and without it, when only the bytes tell them apart."""
+    from riskloom.llm.packing import Encoder
+    from riskloom.llm.packing import VOCABULARY as SPACED_VOCABULARY
+
+    monkeypatch.setattr(pretokens, "LONG_SPAN", limit)
+    texts = [swapped(size, pair) for pair in ("ex", "xe", "th", "ht")]
+    counter = TokenCounter(tokenizer_path(VOCABULARY))
+    assert counter.count(*text_bytes(pa.array(texts))).tolist() == [library_count(t) for t in texts]
+    path = tokenizer_path(SPACED_VOCABULARY)
+    ids, at = Encoder(path).encode(*text_bytes(pa.array(texts)))
+    wanted = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == wanted
+
+
 def test_memo_may_be_dropped():
     small = TokenCounter(tokenizer_path(VOCABULARY), memo_words=3)
     texts = ["one two three four five", "one six", "seven one"]
