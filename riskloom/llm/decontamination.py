@@ -38,7 +38,6 @@ RANK, OVERSAMPLE, POWER_ROUNDS = 128, 16, 2
 LEAST_WEIGHT = 0.1  # of a hashed word, however many rows have it
 LEAST_COSINE = 0.45  # or share of an item's passage that lies in the window
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.8  # common subsequence alone; with the answer; words of the answer found
-NO_WORD = np.int32(2**31 - 1)
 BLOCK_ITEMS = 20_000  # items searched in one scan of the documents
 
 
@@ -83,9 +82,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 class Space(NamedTuple):
-    """Latent space: weight of each hashed word, its row (-1 for none), and the rows of directions."""
+    """Latent space: the row of each hashed word (-1 for none), and its direction times its weight."""
 
-    weight: np.ndarray
     row: np.ndarray
     directions: np.ndarray
 
@@ -93,24 +91,26 @@ class Space(NamedTuple):
         """Unit vectors and lengths of the passages [start, end), in order of their starts."""
         # Passages overlap: words are summed up once for every stretch between two borders.
         borders = np.unique(np.r_[start, end])
-        word = np.arange(borders[0], borders[-1])
-        row = self.row[feature[word]]
-        word, row = word[row >= 0], row[row >= 0]
-        stretch = np.searchsorted(borders, word, side="right") - 1
-        sums = np.zeros((len(borders), self.directions.shape[1]), np.float32)
-        if len(word):
-            first = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1]])
-            vectors = self.directions[row] * self.weight[feature[word]][:, None]
-            sums[stretch[first]] = np.add.reduceat(vectors, first, axis=0)
+        row = self.row[feature[borders[0] : borders[-1]]]
+        known = np.flatnonzero(row >= 0)
+        row, place = row[known], np.searchsorted(known, borders - borders[0])
+        sums = _summed(self.directions, row, place[:-1], place[1:])
         low, high = np.searchsorted(borders, start), np.searchsorted(borders, end)
-        out = np.zeros((len(start), sums.shape[1]), np.float32)
-        for k in range(int((high - low).max())):
-            own = low + k < high
-            out[own] += sums[low[own] + k]
+        out = _summed(sums, np.arange(len(sums)), low, high)
         length = np.maximum(np.linalg.norm(out, axis=1), 1e-12)
         return out / length[:, None], length
 
 
+def _summed(vectors: np.ndarray, which: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Sums of vectors[which[low:high]], a step for all ranges at a time."""
+    out = np.zeros((len(low), vectors.shape[1]), np.float32)
+    own = np.arange(len(low))
+    for k in range(int((high - low).max())):
+        own = own[low[own] + k < high[own]]
+        out[own] += vectors[which[low[own] + k]]
+    return out
+
+
 def latent_space(items: DataFrame, df: np.ndarray, rows: int, rank: int = RANK) -> Space | None:
     """Randomised SVD of the TF-IDF matrix of the passages of ``items``, summed up by Spark."""
     spark = items.sparkSession
@@ -190,7 +190,7 @@ def latent_space(items: DataFrame, df: np.ndarray, rows: int, rank: int = RANK)
         basis, _ = np.linalg.qr(summed(basis, gram=False))
     _, turn = np.linalg.eigh(summed(basis, gram=True))
     directions = (basis @ turn[:, ::-1])[:, :rank].astype(np.float32)
-    return Space(weight, row, np.ascontiguousarray(directions))
+    return Space(row, directions * weight[held][:, None])
 
 
 class Items(NamedTuple):
@@ -300,18 +300,15 @@ def checked(pattern: dict[int, int], size: int, answer: set[int], words: list[in
 
 def shared_words(number: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, items: Items) -> np.ndarray:
     """How many words the places [low, high) of a list of item words and an item share, each used once."""
-    at = low[:, None] + np.arange(int((high - low).max()))
-    own = number[np.minimum(at, len(number) - 1)]
-    own[at >= high[:, None]] = NO_WORD
-    own.sort(axis=1)
-    place = np.arange(own.shape[1], dtype=np.int32)
-    begin = np.tile(place, (len(own), 1))
-    begin[:, 1:][own[:, 1:] == own[:, :-1]] = 0
-    rank = place - np.maximum.accumulate(begin, axis=1)
-    inside = own != NO_WORD
-    pair = np.repeat(np.arange(len(own)), inside.sum(1))
-    held = items.counts.find(_pair(item[pair], own[inside]))
-    return np.bincount(pair[held > rank[inside]], minlength=len(low))
+    size = high - low
+    last = np.cumsum(size)
+    region = np.repeat(np.arange(len(low)), size)
+    key = number[np.arange(last[-1]) + np.repeat(low - last + size, size)] | (region << 32)
+    key.sort()
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    times, region = np.diff(np.r_[first, len(key)]), key[first] >> 32
+    held = items.counts.find(_pair(item[region], key[first] & 0xFFFFFFFF))
+    return np.bincount(region, np.minimum(times, np.maximum(held, 0)), minlength=len(low))
 
 
 class Candidate(NamedTuple):
@@ -327,7 +324,7 @@ def candidates(found: Words, number: np.ndarray, space: Space, items: Items) ->
     check needs: a common subsequence uses each word once, so no other can pass."""
     feature = features(found.hashes)
     of_items = (number >= 0) & (number < items.item_words)
-    known, number = np.r_[0, np.cumsum(of_items)], number[of_items].astype(np.int32)
+    known, number = np.r_[0, np.cumsum(of_items)], number[of_items]
     start, end, text = windows(found.first)
     near = known[end] - known[start] >= items.fewest
     start, end, text = start[near], end[near], text[near]

@@ -194,9 +194,9 @@ def test_shared_words_are_counted_once_each():
     rng = np.random.default_rng(2)
     texts = [" ".join(rng.choice(list("abcdefg"), rng.integers(1, 20))) for _ in range(12)]
     found = words_of(*text_bytes(pa.array(texts)))
-    space = dec.Space(np.ones(1 << 18, np.float32), np.full(1 << 18, -1, np.int32), np.zeros((1, 4), np.float32))
+    space = dec.Space(np.full(1 << 18, -1, np.int32), np.zeros((1, 4), np.float32))
     items = dec.prepared([{"item_id": k, "text": t, "answer": ""} for k, t in enumerate(texts[:4])], space)
-    number = items.numbers.find(found.hashes).astype(np.int32)
+    number = items.numbers.find(found.hashes).astype(np.int64)
     keep = number[(number >= 0)]
     low = rng.integers(0, len(keep) - 10, 40)
     high, item = low + rng.integers(0, 10, 40), rng.integers(0, 4, 40)
