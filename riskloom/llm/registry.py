@@ -6,6 +6,7 @@ from riskloom.llm import (
     chat_format,
     decontamination,
     exact_dedup,
+    fill_middle,
     language_id,
     license_scan,
     line_dedup,
@@ -15,6 +16,6 @@ from riskloom.llm import (
     toxicity,
 )
 
-MODULES = (chat_format, language_id, packing, exact_dedup, simhash, decontamination, token_counts, line_dedup, toxicity, license_scan)
+MODULES = (chat_format, language_id, packing, exact_dedup, simhash, decontamination, token_counts, line_dedup, toxicity, license_scan, fill_middle)
 LLM_QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 LLM_SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
