@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from riskloom.llm import (
     chat_format,
+    cross_tokens,
     decontamination,
     exact_dedup,
     fill_middle,
@@ -16,6 +17,6 @@ from riskloom.llm import (
     toxicity,
 )
 
-MODULES = (chat_format, language_id, packing, exact_dedup, simhash, decontamination, token_counts, line_dedup, toxicity, license_scan, fill_middle)
+MODULES = (chat_format, language_id, packing, exact_dedup, simhash, decontamination, token_counts, line_dedup, toxicity, license_scan, cross_tokens, fill_middle)
 LLM_QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 LLM_SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
