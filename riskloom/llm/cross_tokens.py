@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from riskloom.llm.common import (
     text_bytes,
     tokenizer_path,
 )
-from riskloom.llm.fragments import EMPTY, KEY_BITS, START, Fragment, Stream, added, compose, composed, fragment, group_texts, links
+from riskloom.llm.fragments import EMPTY, KEY_BITS, START, Fragment, Stream, added, common_ends, compose, composed, fragment, links, marked_ids
 from riskloom.llm.pretokens import WordIndex, span_hashes
 from riskloom.llm.token_counts import byte_symbols
 
@@ -50,6 +51,12 @@ LONG_BYTES, PART_BYTES, RANGE_BYTES, FAN_IN = 1 << 16, 1 << 15, 1 << 14, 8
 MEMO_STRETCHES, HOT_PAIRS, PENDING = 300_000, 1 << 18, 1 << 21
 
 
+# A stretch of bytes that begins and ends where safe cuts do (see ``safe_cuts``) and has no stand-in of a space.
+JOINABLE = re.compile(
+    rb"(?s)(?= [\x21-\x7E\xC3-\xDF\xE4-\xE9])(?!.*\xE2\x96\x81).*(?:[\x21-\x7E]|[\xC3-\xDF][\x80-\xBF]|[\xE4-\xE9][\x80-\xBF]{2})"
+).fullmatch
+
+
 def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... for each size, end to end."""
     last = np.cumsum(size)
@@ -130,51 +137,78 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str, memo: int = MEMO_STRETCHES) -> None:
         self.pair, self.memo, self.known = Pair(path_a, path_b), memo, Known()
 
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both tokenizers for all words, end to end, and how many each word has."""
+        if all(map(JOINABLE, words)):
+            # Both end a token between such words, so they can be encoded as one text.
+            joined = b"".join(words)
+            (ids_a,), (ids_b,) = self.pair.encode([joined.decode("utf-8", "replace")])
+            if self.pair.gives_back(joined, ids_a, ids_b):
+                a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+                ends = np.cumsum(list(map(len, words)))
+                n_a, n_b = (
+                    np.diff(np.r_[0, np.searchsorted(np.cumsum(size[x]), ends, side="right")])
+                    for size, x in ((self.pair.size_a, a), (self.pair.size_b, b))
+                )
+                return a, b, n_a, n_b
+        made = self.pair.encode([w.decode("utf-8", "replace") for w in words])
+        flat = [np.fromiter((i for own in x for i in own), np.int64) for x in made]
+        return *flat, *(np.fromiter(map(len, x), np.int64, len(words)) for x in made)
+
     def _learn(self, words: list[bytes]) -> None:
-        """Stretches, end to end, in one go; those above a byte range by composed fragments."""
-        ids_a, ids_b = self.pair.encode([w.decode("utf-8", "replace") for w in words])
-        bad = np.array([not self.pair.gives_back(*x) for x in zip(words, ids_a, ids_b, strict=True)], bool)
-        long = np.array([len(w) > RANGE_BYTES for w in words], bool) & ~bad
-        plain = ~bad & ~long
+        """New stretches: those that can be joined in one go, the others one by one."""
+        easy = np.array([bool(JOINABLE(w)) for w in words], bool)
+        order = np.r_[np.flatnonzero(easy), np.flatnonzero(~easy)]
+        parts = [self._encoded([words[k] for k in x.tolist()]) for x in (np.flatnonzero(easy), np.flatnonzero(~easy)) if len(x)]
+        a, b, n_a, n_b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        size = np.array([len(words[k]) for k in order.tolist()])
+        at_a, at_b = np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_b)]
+        bad, long = np.zeros(len(words), bool), size > RANGE_BYTES
+        for k in np.flatnonzero(~easy[order] | long).tolist():
+            bad[k] = not self.pair.gives_back(words[order[k]], a[at_a[k] : at_a[k + 1]].tolist(), b[at_b[k] : at_b[k + 1]].tolist())
+        long &= ~bad
         numbers = np.zeros((len(words), 5), np.int64)
         numbers[bad, 4] = 1
         texts: list[bytes] = [b""] * len(words)
+        plain = ~bad & ~long
         which = np.flatnonzero(plain)
-        stretch, keys, times = [np.zeros(0, np.int64)] * 3
-        if len(which):
-            a, b = ([x[k] for k in which] for x in (ids_a, ids_b))
-            flat_a, flat_b = (np.fromiter((i for own in x for i in own), np.int64) for x in (a, b))
-            # All of them lie end to end, so all byte ends differ and every stretch closes its last group.
-            ends_a, ends_b = np.cumsum(self.pair.size_a[flat_a]), np.cumsum(self.pair.size_b[flat_b])
-            common = np.intersect1d(ends_a, ends_b)
-            size_a = np.diff(np.r_[0, np.searchsorted(ends_a, common, side="right")])
-            size_b = np.diff(np.r_[0, np.searchsorted(ends_b, common, side="right")])
-            ends = np.cumsum([len(words[k]) for k in which])
-            owner = which[np.searchsorted(ends, common)]
-            group, keys, times = links(flat_a, flat_b, size_a, size_b)
-            stretch = owner[group]
-            numbers[which, 0], numbers[which, 1] = list(map(len, a)), list(map(len, b))
-            numbers[:, 2] = np.bincount(owner, minlength=len(words))
-            numbers[:, 3] = np.bincount(owner, size_a * size_b, minlength=len(words)).astype(np.int64)
-            made = group_texts(flat_a, flat_b, size_a, size_b)
-            at = np.searchsorted(owner, which, side="right")
-            for k, low, high in zip(which.tolist(), np.r_[0, at[:-1]].tolist(), at.tolist(), strict=True):
-                texts[k] = ";".join(made[low:high]).encode()
+        # All of them lie end to end, so all byte ends differ and every stretch closes its last group.
+        flat_a, flat_b = a[np.repeat(plain, n_a)], b[np.repeat(plain, n_b)]
+        ends_a, ends_b = np.cumsum(self.pair.size_a[flat_a]), np.cumsum(self.pair.size_b[flat_b])
+        common = common_ends(ends_a, ends_b)
+        size_a = np.diff(np.r_[0, np.searchsorted(ends_a, common, side="right")])
+        size_b = np.diff(np.r_[0, np.searchsorted(ends_b, common, side="right")])
+        owner = which[np.searchsorted(np.cumsum(size[which]), common)]
+        group, keys, times = links(flat_a, flat_b, size_a, size_b)
+        stretch = owner[group]
+        numbers[which, 0], numbers[which, 1] = n_a[which], n_b[which]
+        numbers[:, 2] = np.bincount(owner, minlength=len(words))
+        numbers[:, 3] = np.bincount(owner, size_a * size_b, minlength=len(words)).astype(np.int64)
+        marked = marked_ids(flat_a, flat_b, size_a, size_b)
+        at = np.cumsum(n_a[which] + n_b[which]).tolist()
+        for k, low, high in zip(which.tolist(), [0, *at], at, strict=False):
+            texts[k] = "".join(marked[low:high])[1:].encode()
         parts = [(stretch, keys, times)]
         for k in np.flatnonzero(long).tolist():
-            whole = compose(START, by_ranges(self.pair, ids_a[k], ids_b[k], len(words[k])))
+            ids_a, ids_b = a[at_a[k] : at_a[k + 1]], b[at_b[k] : at_b[k + 1]]
+            whole = compose(START, by_ranges(self.pair, ids_a, ids_b, int(size[k])))
             numbers[k, :4], texts[k] = (whole.n_a, whole.n_b, whole.groups, whole.links), whole.text
             parts.append((np.full(len(whole.keys), k), whole.keys, whole.times))
         stretch, keys, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-        both, times = added((stretch << (2 * KEY_BITS)) | keys, times)
+        # Back to the order in which the words came.
+        both, times = added((order[stretch] << (2 * KEY_BITS)) | keys, times)
         size = np.bincount(both >> (2 * KEY_BITS), minlength=len(words))
-        self.known.add(numbers, size, both & ((1 << (2 * KEY_BITS)) - 1), times, texts)
+        back = np.argsort(order)
+        texts = [texts[k] for k in back.tolist()]
+        self.known.add(numbers[back], size, both & ((1 << (2 * KEY_BITS)) - 1), times, texts)
 
     def stretches(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known stretches of texts with their space, end to end, and where each text's begin."""
         if len(self.known.texts) > self.memo:
             self.known = Known()
-        starts = np.unique(np.r_[offsets[:-1], safe_cuts(data)])
+        begins = np.zeros(len(data) + 1, bool)
+        begins[offsets[:-1]], begins[safe_cuts(data)] = True, True
+        starts = np.flatnonzero(begins)
         ends = np.r_[starts[1:], offsets[-1]]
         hashes = span_hashes(data, starts, ends)
         index = self.known.index
@@ -222,9 +256,9 @@ class Aligner:
         self.drop_clashes()
 
 
-def by_ranges(pair: Pair, ids_a: list[int], ids_b: list[int], size: int) -> Fragment:
+def by_ranges(pair: Pair, ids_a: list[int] | np.ndarray, ids_b: list[int] | np.ndarray, size: int) -> Fragment:
     """The fragment of a whole stretch, from fragments of its byte ranges."""
-    a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+    a, b = np.asarray(ids_a, np.int64), np.asarray(ids_b, np.int64)
     ends_a, ends_b = np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b])
     cuts = np.arange(RANGE_BYTES, size + RANGE_BYTES, RANGE_BYTES)
     at_a, at_b = (np.r_[0, np.searchsorted(e, cuts, side="right")] for e in (ends_a, ends_b))

@@ -67,7 +67,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 part = offsets[a : b + 1]
                 found = words_of(part - part[0], data[part[0] : part[-1]])
                 text = np.repeat(np.arange(b - a), np.diff(found.first))
-                once = np.unique((text << DIMENSION_BITS) | features(found.hashes))
+                once = np.sort((text << DIMENSION_BITS) | features(found.hashes))
+                once = once[np.r_[True, once[1:] != once[:-1]]] if len(once) else once
                 seen += np.bincount(once & ((1 << DIMENSION_BITS) - 1), minlength=len(seen))
         some = np.flatnonzero(seen)
         columns = {"feature": np.r_[-1, some], "n": np.r_[rows, seen[some]]}

@@ -9,6 +9,7 @@ ranges are put together.
 
 from __future__ import annotations
 
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -44,14 +45,28 @@ class Fragment(NamedTuple):
 NO_IDS = np.zeros(0, np.int64)
 
 
-def group_texts(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> list[str]:
-    """The text of each group of the next ``size`` ids of both streams."""
-    name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    x, y, out = 0, 0, []
-    for m, n in zip(size_a.tolist(), size_b.tolist(), strict=True):
-        out.append(f"{','.join(name_a[x : x + m])}|{','.join(name_b[y : y + n])}")
-        x, y = x + m, y + n
-    return out
+def common_ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What both ascending lists hold."""
+    if not len(a) or not len(b):
+        return NO_IDS
+    return a[b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a]
+
+
+def marked_ids(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> list[str]:
+    """The ids of groups in order, each behind its mark: joined, they are the text of the groups and a
+    semicolon before it."""
+    first = np.cumsum(size_a + size_b) - size_a - size_b
+    at_a = np.arange(len(a)) + np.repeat(first - np.cumsum(size_a) + size_a, size_a)
+    at_b = np.arange(len(b)) + np.repeat(first + size_a - np.cumsum(size_b) + size_b, size_b)
+    ids, marks = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ",")
+    ids[at_a], ids[at_b] = a, b
+    marks[first] = ";"
+    marks[first + size_a] = "|"
+    return list(map(add, marks.tolist(), map(str, ids.tolist())))
+
+
+def groups_text(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> bytes:
+    return "".join(marked_ids(a, b, size_a, size_b))[1:].encode()
 
 
 def added(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,21 +102,20 @@ def links(
 
 def fragment(a: Stream, b: Stream) -> Fragment:
     """The fragment of the tokens of one byte range."""
-    common = np.intersect1d(a.ends, b.ends)
+    common = common_ends(a.ends, b.ends)
     if not len(common):
         return Fragment(False, a.ids, b.ids, b"", 0, 0, NO_IDS, NO_IDS, NO_IDS, NO_IDS, len(a.ids), len(b.ids))
     at_a = np.searchsorted(a.ends, common, side="right")
     at_b = np.searchsorted(b.ends, common, side="right")
     inner_a, inner_b = a.ids[at_a[0] : at_a[-1]], b.ids[at_b[0] : at_b[-1]]
     size_a, size_b = np.diff(at_a), np.diff(at_b)
-    text = group_texts(inner_a, inner_b, size_a, size_b)
     _, keys, times = links(inner_a, inner_b, size_a, size_b)
     keys, times = added(keys, times)
     return Fragment(
         True,
         a.ids[: at_a[0]],
         b.ids[: at_b[0]],
-        ";".join(text).encode(),
+        groups_text(inner_a, inner_b, size_a, size_b),
         len(size_a),
         int((size_a * size_b).sum()),
         keys,
@@ -125,7 +139,7 @@ def compose(left: Fragment, right: Fragment) -> Fragment:
     sizes = np.array([len(between_a)]), np.array([len(between_b)])
     _, keys, times = links(between_a, between_b, *sizes)
     keys, times = added(np.r_[left.keys, keys, right.keys], np.r_[left.times, times, right.times])
-    texts = [t for t in (left.text, group_texts(between_a, between_b, *sizes)[0].encode(), right.text) if t]
+    texts = [t for t in (left.text, groups_text(between_a, between_b, *sizes), right.text) if t]
     return Fragment(
         True,
         left.head_a,
