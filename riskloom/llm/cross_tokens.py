@@ -34,9 +34,11 @@ from tokenizers import Tokenizer
 from riskloom.llm.common import (
     chunks,
     kept_in_worker,
+    ragged,
     received,
     sent,
     small_batches,
+    spaced,
     stored,
     table,
     text_bytes,
@@ -57,12 +59,6 @@ JOINABLE = re.compile(
 ).fullmatch
 
 
-def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ... for each size, end to end."""
-    last = np.cumsum(size)
-    return np.arange(last[-1] if len(last) else 0) + np.repeat(first - last + size, size)
-
-
 class Pair:
     """Both tokenizers, and the bytes of each of their tokens."""
 
@@ -95,14 +91,6 @@ class Pair:
         return b"".join([self.bytes_a[k] for k in ids_a]) == word == b"".join([self.bytes_b[k] for k in ids_b])
 
 
-def spaced(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with a space before each."""
-    size = np.diff(offsets)
-    out = np.full(len(data) + len(size), 0x20, np.uint8)
-    out[np.arange(len(data)) + np.repeat(np.arange(1, len(size) + 1), size)] = data
-    return offsets + np.arange(len(offsets)), out
-
-
 def safe_cuts(data: np.ndarray) -> np.ndarray:
     """Places of single spaces between visible characters, as far as bytes tell these apart from
     white space: ASCII, U+00C0-U+07FF, U+4000-U+9FFF."""
