@@ -79,6 +79,104 @@ def roll_up_incidents(assigned: DataFrame) -> DataFrame:
     )
 
 
+# An alert may join incidents in these states.
+ACTIVE = ("OPEN", "INVESTIGATING")
+
+
+def incident_timeline(alerts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Resolved alerts and analyst changes of all identities as rows of one kind.
+
+    ``changes``: identity_key, change_id, at, kind ('status' or 'assign'), new_status, assigned_to. A change is
+    about the identity's latest incident. At one time alerts come before changes.
+    """
+    none = F.lit(None).cast("string")
+    asked = alerts.select(
+        "identity_key",
+        F.col("event_time").alias("at"),
+        F.lit(0).alias("rank"),
+        F.col("alert_id").alias("row_id"),
+        F.lit("alert").alias("kind"),
+        F.col("risk_score").cast("double").alias("risk_score"),
+        "indicator",
+        "engine_source",
+        none.alias("new_status"),
+        none.alias("assigned_to"),
+    )
+    done = changes.select(
+        "identity_key",
+        "at",
+        F.lit(1).alias("rank"),
+        F.col("change_id").alias("row_id"),
+        "kind",
+        F.lit(None).cast("double").alias("risk_score"),
+        none.alias("indicator"),
+        none.alias("engine_source"),
+        "new_status",
+        "assigned_to",
+    )
+    return asked.unionByName(done).filter(F.col("identity_key").isNotNull())
+
+
+def incidents_with_closings(
+    timeline: DataFrame, gap: int = 30 * MINUTE, max_rows: int = DEFAULT_MAX_ROWS
+) -> KeyedRows:
+    """Add ``incident_id``, ``opened_at`` and ``opens`` to the rows of ``incident_timeline``.
+
+    An alert joins the latest incident of its identity while that is open or under investigation and was touched, by an
+    alert or a change, at most ``gap`` ago; else it opens a new one. Changes before the first alert go.
+    """
+    at, alert, status = F.col("at"), F.col("kind") == "alert", F.col("kind") == "status"
+    rows = keyed_rows(timeline, ["identity_key"], ["at", "rank", "row_id"], max_rows)
+    active = F.when(alert, True).when(status, F.coalesce(F.col("new_status").isin(*ACTIVE), F.lit(False)))
+    rows = rows.history(lasts={"_prev": at, "_active": active, "_alert": F.when(alert, at)})
+    apart = F.col("_alert").isNull() | ~F.col("_active") | (at - F.col("_prev") > gap)
+    rows = rows.filter(alert | F.col("_alert").isNotNull()).with_column("opens", alert & apart)
+    rows = rows.history(lasts={"_open": F.when(F.col("opens"), at)})
+    opened = F.when(F.col("opens"), at).otherwise(F.col("_open"))
+    tagged = rows.rows.withColumn("opened_at", opened).drop("_prev", "_active", "_alert", "_open")
+    return rows.with_rows(
+        tagged.withColumn("incident_id", short_hash(F.col("identity_key"), F.col("opened_at").cast("string"), length=32))
+    )
+
+
+def roll_up_lifecycle(tagged: DataFrame) -> DataFrame:
+    """One row per incident with its current status. Everything combines map-side."""
+    alert, place = F.col("kind") == "alert", F.struct("at", "rank", "row_id")
+    said = F.when(F.col("opens"), "OPEN").when(F.col("kind") == "status", F.col("new_status"))
+    given = F.when(F.col("kind") == "assign", place)
+    score = F.max("risk_score")
+    rolled = tagged.groupBy("incident_id", "identity_key").agg(
+        F.concat(F.lit("Fraud Alert: "), F.min_by("indicator", F.when(alert, place))).alias("title"),
+        F.max_by(said, F.when(said.isNotNull(), place)).alias("_said"),
+        F.max(F.when(said.isNotNull(), place)).alias("_said_at"),
+        F.max(given).alias("_given_at"),
+        F.max_by("assigned_to", given).alias("assigned_to"),
+        F.when(score >= 90, "CRITICAL").when(score >= 70, "HIGH").otherwise("MEDIUM").alias("severity"),
+        F.count(F.when(alert, 1)).alias("alert_count"),
+        score.alias("max_risk_score"),
+        F.min(F.when(alert, F.col("at"))).alias("first_alert_at"),
+        F.max(F.when(alert, F.col("at"))).alias("last_alert_at"),
+        F.max("at").alias("updated_at"),
+        F.sort_array(F.collect_set("engine_source")).alias("engine_sources"),
+    )
+    moved = (F.col("_said") == "OPEN") & F.coalesce(F.col("_given_at") > F.col("_said_at"), F.lit(False))
+    return rolled.select(
+        "incident_id",
+        "identity_key",
+        "title",
+        F.when(moved, "INVESTIGATING").otherwise(F.col("_said")).alias("status"),
+        "severity",
+        "alert_count",
+        "max_risk_score",
+        "first_alert_at",
+        "last_alert_at",
+        "updated_at",
+        "engine_sources",
+        (F.size("engine_sources") > 1).alias("corroborated"),
+        "assigned_to",
+    )
+
+
 def incident_links(assigned: DataFrame) -> DataFrame:
     """Every alert with the incident it belongs to and its payload as JSON."""
     payload = F.to_json(F.struct(*[c for c in assigned.columns if not c.startswith("_") and c not in ("opened_at",)]))

@@ -189,6 +189,25 @@ SELECT incident_id, identity_key, 'Fraud Alert: ANOMALY_DETECTED' AS title, 'OPE
        array_to_string(list_sort(list(DISTINCT engine_source)), ',') AS engine_sources,
        count(DISTINCT engine_source) > 1 AS corroborated
 FROM assigned GROUP BY incident_id, identity_key""",
+    "case_rows": f"""
+SELECT *, row_number() OVER (PARTITION BY identity_key ORDER BY "at", rank, row_id) AS rn
+FROM (SELECT identity_key, event_time AS "at", 0 AS rank, alert_id AS row_id, 'alert' AS kind, risk_score, engine_source,
+             NULL::VARCHAR AS new_status, NULL::VARCHAR AS given FROM fx_alerts
+      UNION ALL
+      SELECT identity_key, event_time + {H} * (1 + day % 3), 1, 'chg_' || alert_id, CASE WHEN said IS NULL THEN 'assign' ELSE 'status' END,
+             NULL, NULL, said, CASE WHEN said IS NULL THEN 'analyst_' || (day % 5) END
+      FROM (SELECT *, CASE WHEN day % 4 = 0 THEN 'CONFIRMED_FRAUD' WHEN day % 4 = 1 THEN 'FALSE_POSITIVE' WHEN day % 8 = 2 THEN 'OPEN' END AS said
+            FROM (SELECT *, event_time // {D} AS day FROM fx_alerts)) WHERE day % 8 <> 7)""",
+    "case_walk": f"""
+SELECT DISTINCT identity_key, 0::BIGINT AS rn, NULL::BIGINT AS opened, NULL::VARCHAR AS status, NULL::BIGINT AS touched FROM case_rows
+UNION ALL
+SELECT identity_key, rn, CASE WHEN fresh THEN "at" ELSE opened END,
+       CASE WHEN fresh THEN 'OPEN' WHEN opened IS NULL OR kind = 'alert' THEN status WHEN kind = 'status' THEN new_status
+            WHEN status = 'OPEN' THEN 'INVESTIGATING' ELSE status END,
+       CASE WHEN fresh OR opened IS NOT NULL THEN "at" END
+FROM (SELECT n.identity_key, n.rn, n."at", n.kind, n.new_status, p.opened, p.status,
+             n.kind = 'alert' AND (p.opened IS NULL OR p.status NOT IN ('OPEN', 'INVESTIGATING') OR n."at" - p.touched > {12 * H}) AS fresh
+      FROM case_walk p JOIN case_rows n ON n.identity_key = p.identity_key AND n.rn = p.rn + 1)""",
     "changes": f"""
 SELECT incident_id, 'a' AS change_id, created_at + {H} AS "at", 'assign' AS kind, NULL::VARCHAR AS new_status,
        'analyst_' || (incident_id % 5) AS assigned_to, 'lead' AS changed_by, NULL::VARCHAR AS notes FROM fx_incidents WHERE incident_id % 3 = 0
@@ -408,6 +427,15 @@ SELECT source_topic, CASE (event_time // {D}) % 5 WHEN 0 THEN 'binary wire forma
     "incident_detail": """
 SELECT incident_id, r.identity_key, title, status, severity, alert_count, corroborated, 'alert' AS child, alert_id AS child_id,
        'ANOMALY_DETECTED' AS label, risk_score, event_time AS "at" FROM rolled r JOIN assigned USING (incident_id)""",
+    "incident_lifecycle": """
+SELECT md5(w.identity_key || '|' || opened) AS incident_id, w.identity_key, 'Fraud Alert: ANOMALY_DETECTED' AS title,
+       arg_max(status, w.rn) AS status,
+       CASE WHEN max(risk_score) >= 90 THEN 'CRITICAL' WHEN max(risk_score) >= 70 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+       count(*) FILTER (kind = 'alert') AS alert_count, max(risk_score) AS max_risk_score,
+       min("at") FILTER (kind = 'alert') AS first_alert_at, max("at") FILTER (kind = 'alert') AS last_alert_at, max("at") AS updated_at,
+       array_to_string(list_sort(list(DISTINCT engine_source) FILTER (kind = 'alert')), ',') AS engine_sources,
+       count(DISTINCT engine_source) > 1 AS corroborated, arg_max(given, w.rn) AS assigned_to
+FROM case_walk w JOIN case_rows r ON r.identity_key = w.identity_key AND r.rn = w.rn WHERE opened IS NOT NULL GROUP BY w.identity_key, opened""",
     "incident_transitions": "SELECT * FROM audits",
     "incident_states": """
 SELECT a.incident_id, arg_max(a.status, a.rn) AS status, max(a.assigned_to) AS assigned_to,
@@ -489,6 +517,7 @@ BODIES["stream_risk_alerts"] = BODIES["risk_alerts"]
 BODIES["stream_account_enrichment"] = BODIES["account_enrichment"]
 BODIES["stream_ato_sequence"] = BODIES["ato_sequence"]
 BODIES["stream_incidents"] = BODIES["incidents"]
+BODIES["incident_lifecycle_split"] = BODIES["stream_incident_lifecycle"] = BODIES["incident_lifecycle"]
 # How a key is cut into chunks changes no row.
 BODIES["risk_alerts_split"] = BODIES["risk_alerts"]
 BODIES["threshold_clear_split"] = BODIES["threshold_clear_alerts"]

@@ -285,6 +285,36 @@ def incidents_query(spark, d):
 QUERIES["incidents"] = QUERIES.pop("incidents_query")
 
 
+def _incident_timeline(tables, d):
+    resolved = incidents.resolve_alerts(normalize.decode_alerts(fx.alert_messages(tables, d))[0])
+    return incidents.incident_timeline(resolved, fx.analyst_changes(resolved))
+
+
+def _shown(rolled):
+    return rolled.drop("version").withColumn("engine_sources", F.array_join("engine_sources", ","))
+
+
+@query
+def incident_lifecycle(spark, d):
+    """Incidents of alerts and analyst changes: a closed one takes no further alert."""
+    tagged = incidents.incidents_with_closings(_incident_timeline(spark, d), gap=12 * HOUR)
+    return _shown(incidents.roll_up_lifecycle(tagged.result()))
+
+
+@query
+def incident_lifecycle_split(spark, d):
+    """The same with most identities taken as hot."""
+    tagged = incidents.incidents_with_closings(_incident_timeline(spark, d), gap=12 * HOUR, max_rows=3)
+    return _shown(incidents.roll_up_lifecycle(tagged.result()))
+
+
+@query
+def stream_incident_lifecycle(spark, d):
+    """Current incidents, from the stream alone."""
+    timeline = _incident_timeline(jobs.StreamTables(spark), d)
+    return _shown(jobs.drain_latest(jobs.stream_incident_states(timeline, gap=12 * HOUR), ["incident_id"], "lifecycle"))
+
+
 @query
 def incident_detail(spark, d):
     assigned = assigned_alerts(spark, d)
@@ -488,14 +518,11 @@ def stream_account_enrichment(spark, d):
 
 @query
 def stream_incidents(spark, d):
-    """Incidents the stream has closed, and those still open at the end of the data."""
-
-    def resolved(tables):
-        return incidents.resolve_alerts(normalize.decode_alerts(fx.alert_messages(tables, d))[0])
-
-    closed = jobs.drain(jobs.stream_incidents(resolved(jobs.StreamTables(spark)), gap=12 * HOUR), "incidents")
-    shown = jobs.current_incidents(closed, resolved(spark), gap=12 * HOUR)
-    return shown.withColumn("engine_sources", F.array_join("engine_sources", ","))
+    """Incidents as they stand at the end of the data, open ones included, from the stream alone."""
+    resolved = incidents.resolve_alerts(normalize.decode_alerts(fx.alert_messages(jobs.StreamTables(spark), d))[0])
+    nothing = fx.analyst_changes(resolved).filter(F.lit(False))
+    states = jobs.stream_incident_states(incidents.incident_timeline(resolved, nothing), gap=12 * HOUR)
+    return _shown(jobs.drain_latest(states, ["incident_id"], "incidents")).drop("assigned_to")
 
 
 @query

@@ -436,6 +436,20 @@ def alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def analyst_changes(alerts: DataFrame) -> DataFrame:
+    """An analyst acts on some alerts: gives the incident to somebody, closes it, or opens it again."""
+    day = F.floor(F.col("event_time") / 86_400_000)
+    status = F.when(day % 4 == 0, "CONFIRMED_FRAUD").when(day % 4 == 1, "FALSE_POSITIVE").when(day % 8 == 2, "OPEN")
+    return alerts.filter(day % 8 != 7).select(
+        "identity_key",
+        F.concat(F.lit("chg_"), "alert_id").alias("change_id"),
+        (F.col("event_time") + 3_600_000 * (1 + day % 3)).alias("at"),
+        F.when(status.isNull(), "assign").otherwise("status").alias("kind"),
+        status.alias("new_status"),
+        F.when(status.isNull(), F.concat(F.lit("analyst_"), (day % 5).cast("string"))).alias("assigned_to"),
+    )
+
+
 def latest(*frames: DataFrame) -> int:
     """Largest event time over the frames: the default ``as_of`` of lookbacks."""
     times = [f.agg(F.max("t").alias("t")) for f in frames]

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.config import DAY, HOUR, MINUTE, IndicatorConfig, ScoreConfig
-from riskloom.operators.incidents import assign_incidents, roll_up_incidents
+from riskloom.functions.text import short_hash
+from riskloom.operators.incidents import ACTIVE
 from riskloom.operators.metrics import event_rate
 from riskloom.operators.scoring import format_alerts
 from riskloom.session import checkpoint_dir
 from riskloom.streaming.processors import (
     ALERT_INPUT,
     EVENT_FIELDS,
+    INCIDENT_STATE,
+    IncidentProcessor,
     OwnerProcessor,
     RiskProcessor,
     TakeoverProcessor,
@@ -180,13 +183,39 @@ def stream_incidents(alerts: DataFrame, gap: int = 30 * MINUTE, delay: str = "30
     )
 
 
-def current_incidents(closed: DataFrame, alerts: DataFrame, gap: int = 30 * MINUTE) -> DataFrame:
-    """Incidents as an analyst sees them: those the stream has closed, and the open one of each
-    identity, put together from its alerts after the last closed incident."""
-    last = closed.groupBy("identity_key").agg(F.max("last_alert_at").alias("_closed"))
-    later = F.col("_closed").isNull() | (F.col("event_time") > F.col("_closed"))
-    rest = alerts.join(last, "identity_key", "left").filter(later).drop("_closed")
-    return closed.unionByName(roll_up_incidents(assign_incidents(rest, gap).result()))
+def stream_incident_states(
+    timeline: DataFrame, gap: int = 30 * MINUTE, keep: int = 30 * DAY, delay: str = "300 seconds"
+) -> DataFrame:
+    """Incidents of a stream of ``incident_timeline`` rows as upserts: open ones with every micro-batch that
+    touches them, and with the status analysts gave them. For update mode (see ``drain_latest``)."""
+    prepare(timeline.sparkSession)
+    states = (
+        with_watermark(timeline, "at", delay)
+        .groupBy("identity_key")
+        .transformWithStateInPandas(
+            IncidentProcessor(gap, keep, ACTIVE),
+            f"identity_key string, {INCIDENT_STATE}",
+            outputMode="update",
+            timeMode="eventTime",
+        )
+    )
+    top = F.col("max_risk_score")
+    return states.select(
+        short_hash(F.col("identity_key"), F.col("opened_at").cast("string"), length=32).alias("incident_id"),
+        "identity_key",
+        "title",
+        "status",
+        F.when(top >= 90, "CRITICAL").when(top >= 70, "HIGH").otherwise("MEDIUM").alias("severity"),
+        "alert_count",
+        "max_risk_score",
+        "first_alert_at",
+        "last_alert_at",
+        "updated_at",
+        "engine_sources",
+        (F.size("engine_sources") > 1).alias("corroborated"),
+        "assigned_to",
+        "version",
+    )
 
 
 def stream_event_rate(

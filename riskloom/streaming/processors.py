@@ -158,6 +158,86 @@ class OwnerProcessor(StatefulProcessor):
         yield pd.DataFrame(out, columns=["event_id", "from_account_id", "event_time", "customer_id"])
 
 
+INCIDENT_STATE = (
+    "opened_at long, status string, title string, alert_count long, max_risk_score double, first_alert_at long, "
+    "last_alert_at long, updated_at long, engine_sources array<string>, assigned_to string, version long"
+)
+INCIDENT_COLUMNS = [column.split()[0] for column in INCIDENT_STATE.split(", ")]
+
+
+class IncidentProcessor(StatefulProcessor):
+    """The latest incident of an identity, fed by alerts and analyst changes.
+
+    Every micro-batch emits each incident it touched once, as it stands after it; ``version`` counts what touched
+    the incident. An incident that nothing has touched for ``keep`` is forgotten.
+    """
+
+    def __init__(self, gap: int, keep: int, active: tuple[str, ...]):
+        self.gap, self.keep, self.active = gap, max(keep, gap), active
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("incident", INCIDENT_STATE + ", timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get()
+        values = None if held is None else [_plain(v) for v in held]
+        now, timer = (None, None) if values is None else (dict(zip(INCIDENT_COLUMNS, values)), values[-1])
+        if now is not None and now["updated_at"] + self.keep <= timerValues.getCurrentWatermarkInMs():
+            now = None  # its timer is due in this micro-batch
+        done = []
+        for pdf in rows:
+            pdf = pdf.sort_values(["at", "rank", "row_id"])
+            columns = [pdf[c].tolist() for c in ("at", "kind", "risk_score", "indicator", "engine_source", "new_status", "assigned_to")]
+            for at, kind, score, indicator, engine, status, who in zip(*columns):
+                if kind == "alert":
+                    now, before = self._alert(now, int(at), score, indicator, engine)
+                    if before is not None:
+                        done.append(before)
+                elif now is not None:
+                    self._change(now, int(at), kind, _plain(status), _plain(who))
+        if now is not None:
+            done.append(now)
+            if timer is None:
+                timer = now["updated_at"] + self.keep
+                self.handle.registerTimer(timer)
+            self.state.update((*now.values(), timer))
+        yield pd.DataFrame([(key[0], *i.values()) for i in done], columns=["identity_key", *INCIDENT_COLUMNS])
+
+    def _alert(self, now, at, score, indicator, engine) -> tuple[dict, dict | None]:
+        """The incident the alert is in, and the one before where it opens another."""
+        if now is not None and now["status"] in self.active and at - now["updated_at"] <= self.gap:
+            now["alert_count"] += 1
+            now["max_risk_score"] = max(now["max_risk_score"], score)
+            now["first_alert_at"] = min(now["first_alert_at"], at)
+            now["last_alert_at"] = max(now["last_alert_at"], at)
+            now["engine_sources"] = sorted({*now["engine_sources"], engine})
+            now["updated_at"], now["version"] = max(now["updated_at"], at), now["version"] + 1
+            return now, None
+        values = (at, "OPEN", f"Fraud Alert: {indicator}", 1, score, at, at, at, [engine], None, 1)
+        return dict(zip(INCIDENT_COLUMNS, values)), now
+
+    def _change(self, now, at, kind, status, who) -> None:
+        if kind == "status":
+            now["status"] = status
+        else:
+            now["assigned_to"] = who
+            now["status"] = "INVESTIGATING" if now["status"] == "OPEN" else now["status"]
+        now["updated_at"], now["version"] = max(now["updated_at"], at), now["version"] + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.state.get()
+        if held is not None:
+            values = [_plain(v) for v in held]
+            last = values[INCIDENT_COLUMNS.index("updated_at")] + self.keep
+            if last > expiredTimerInfo.getExpiryTimeInMs():
+                self.handle.registerTimer(last)
+                self.state.update((*values[:-1], last))
+            else:
+                self.state.clear()
+        yield pd.DataFrame(columns=["identity_key", *INCIDENT_COLUMNS])
+
+
 class TakeoverProcessor(StatefulProcessor):
     """Failed login, then beneficiary, then transfer, inside a window; no overlaps.
 

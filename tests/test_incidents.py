@@ -89,3 +89,34 @@ def test_detail_is_long_and_has_audits(spark):
         ("alert", "ANOMALY_DETECTED"),
         ("audit", "OPEN -> INVESTIGATING"),
     ]
+
+
+def test_a_status_ends_the_incident_and_changes_prolong_it(spark):
+    gap = 30 * MINUTE
+    found = alerts(
+        spark,
+        ("c", None, 0, 95.0, "fraud_alerts_v2"),
+        ("c", None, 50 * MINUTE, 40.0, "fraud_alerts"),  # kept alive by the assignment at 25
+        ("c", None, 70 * MINUTE, 75.0, "fraud_alerts"),  # closed at 60
+        ("c", None, 101 * MINUTE, 40.0, "fraud_alerts"),  # too late
+        ("c", None, 140 * MINUTE, 40.0, "fraud_alerts"),  # opened again at 130
+    )
+    log = [
+        ("c", "0", -5, "status", "OPEN", None),
+        ("c", "1", 25 * MINUTE, "assign", None, "ann"),
+        ("c", "2", 60 * MINUTE, "status", "FALSE_POSITIVE", None),
+        ("c", "3", 110 * MINUTE, "status", "CONFIRMED_FRAUD", None),
+        ("c", "4", 130 * MINUTE, "status", "OPEN", None),
+        ("d", "5", 130 * MINUTE, "assign", None, "bob"),
+        (None, "6", 0, "assign", None, "bob"),
+    ]
+    shape = "identity_key string, change_id string, at long, kind string, new_status string, assigned_to string"
+    timeline = incidents.incident_timeline(found, spark.createDataFrame(log, shape))
+    for limit in (1000, 1):
+        tagged = incidents.incidents_with_closings(timeline, gap, max_rows=limit).result()
+        got = incidents.roll_up_lifecycle(tagged).orderBy("first_alert_at").collect()
+        assert [(r.alert_count, r.status, r.severity, r.assigned_to, r.updated_at // MINUTE) for r in got] == [
+            (2, "FALSE_POSITIVE", "CRITICAL", "ann", 60),
+            (1, "OPEN", "HIGH", None, 70),
+            (2, "OPEN", "MEDIUM", None, 140),
+        ]

@@ -72,15 +72,38 @@ def test_incidents_close_when_the_gap_has_passed(spark, replay):
     assert rows_of(stream.select(*batch.columns)) == rows_of(batch)
 
 
-def test_open_incidents_are_shown(spark, replay):
-    rnd = random.Random(7)
-    data = [(f"a{i:03d}", rnd.choice("xyz"), rnd.randrange(400) * MINUTE, float(i), "flink-primary") for i in range(60)]
+def analyst_day(spark, seed, n=60):
+    """Alerts and changes of three identities, all at different minutes."""
+    rnd = random.Random(seed)
+    minutes = rnd.sample(range(600), 2 * n)
+    data = [(f"a{i:03d}", rnd.choice("xyz"), minutes[i] * MINUTE, float(i + 40), rnd.choice(["p", "q"])) for i in range(n)]
     schema = "alert_id string, customer_id string, event_time long, cumulative_score double, engine_source string"
-    df = incidents.resolve_alerts(spark.createDataFrame(data, schema))
-    batch = incidents.roll_up_incidents(incidents.assign_incidents(df).result())
-    closed = jobs.drain(jobs.stream_incidents(replay(df, "event_time")), "t-open")
-    assert closed.count() < batch.count()
-    assert rows_of(jobs.current_incidents(closed, df).select(*batch.columns)) == rows_of(batch)
+    kinds = [("status", s, None) for s in ("CONFIRMED_FRAUD", "FALSE_POSITIVE", "OPEN")] + [("assign", None, "ann"), ("assign", None, "bob")]
+    log = [(rnd.choice("xyzw"), f"c{i:03d}", minutes[n + i] * MINUTE, *rnd.choice(kinds)) for i in range(n)]
+    shape = "identity_key string, change_id string, at long, kind string, new_status string, assigned_to string"
+    return incidents.incident_timeline(incidents.resolve_alerts(spark.createDataFrame(data, schema)), spark.createDataFrame(log, shape))
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_incident_states_equal_the_batch(spark, replay, seed):
+    """Several micro-batches, incidents closed, opened again and still open at the end."""
+    df = analyst_day(spark, seed)
+    batch = incidents.roll_up_lifecycle(incidents.incidents_with_closings(df).result())
+    assert batch.filter("status = 'OPEN'").count() and batch.filter("status = 'CONFIRMED_FRAUD'").count()
+    stream = jobs.stream_incident_states(replay(df, "at", parts=5))
+    shown = jobs.drain_latest(stream, ["incident_id"], "t-states")
+    assert rows_of(shown.select(*batch.columns)) == rows_of(batch)
+
+
+def test_forgotten_incidents_start_anew(spark, replay):
+    """State goes when nothing has touched an incident for as long as it is kept."""
+    schema = "alert_id string, customer_id string, event_time long, cumulative_score double, engine_source string"
+    alerts = incidents.resolve_alerts(spark.createDataFrame([("a", "x", MINUTE, 1.0, "p"), ("b", "y", 500 * MINUTE, 1.0, "p"), ("c", "z", 999 * MINUTE, 1.0, "p")], schema))
+    shape = "identity_key string, change_id string, at long, kind string, new_status string, assigned_to string"
+    late = spark.createDataFrame([("x", "c1", 998 * MINUTE, "status", "FALSE_POSITIVE", None)], shape)
+    stream = jobs.stream_incident_states(replay(incidents.incident_timeline(alerts, late), "at", parts=3), keep=60 * MINUTE)
+    got = {r.identity_key: r.status for r in jobs.drain_latest(stream, ["incident_id"], "t-keep").collect()}
+    assert got == {"x": "OPEN", "y": "OPEN", "z": "OPEN"}
 
 
 def test_rates_show_windows_that_are_not_final(spark, replay):
