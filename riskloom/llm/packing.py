@@ -134,7 +134,8 @@ class Encoder:
         new, at = np.unique(hashes[where == -1], return_index=True)
         if len(new):
             self._learn(new, spans.words(np.flatnonzero(where == -1)[at]))
-            where = self.index.find(flat, spans.starts, spans.ends, hashes)
+            left = np.flatnonzero(where == -1)
+            where[left] = self.index.find(flat, spans.starts[left], spans.ends[left], hashes[left])
         source, first, size = self.ids, self.at[where], self.at[where + 1] - self.at[where]
         clash = np.flatnonzero(where < 0)
         if len(clash):

@@ -130,7 +130,8 @@ class TokenCounter:
             words = spans.words(np.flatnonzero(where == -1)[at])
             self.index.add(new, words)
             self.counts = np.r_[self.counts, self._merged(words)]
-            where = self.index.find(flat, spans.starts, spans.ends, hashes)
+            left = np.flatnonzero(where == -1)
+            where[left] = self.index.find(flat, spans.starts[left], spans.ends[left], hashes[left])
         made = self.counts[where]
         clash = np.flatnonzero(where < 0)
         if len(clash):
