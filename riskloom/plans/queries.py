@@ -7,6 +7,7 @@ Arrays are joined to text, so results compare the same in any engine.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -503,17 +504,27 @@ def stream_risk_alerts(spark, d):
     return alerts.select(*names)
 
 
+def _cuts(frames, time, parts=3):
+    """Points that cut the time span of all frames evenly."""
+    spans = [df.agg(F.min(time).alias("lo"), F.max(time).alias("hi")) for df in frames]
+    lo, hi = reduce(DataFrame.union, spans).agg(F.min("lo"), F.max("hi")).first()
+    return [] if lo is None else [lo + (hi - lo) * k // parts for k in range(1, parts)]
+
+
 @query
 def stream_account_enrichment(spark, d):
-    tables = jobs.StreamTables(spark)
-    events = fx.transfers(tables, d).select(
+    """Several micro-batches of rows up to a day out of order; an answer is revised by a change that comes later."""
+    events = fx.transfers(spark, d).select(
         F.col("transaction_id").alias("event_id"),
         F.lit(None).cast("string").alias("customer_id"),
         F.col("from_account").alias("from_account_id"),
         F.col("t").alias("event_time"),
     )
-    updates = normalize.parse_account_updates(fx.account_messages(tables, d))
-    return jobs.drain(jobs.stream_account_enrichment(events, updates), "enrichment")
+    updates = normalize.parse_account_updates(fx.account_messages(spark, d))
+    cuts = _cuts([events, updates], "event_time")
+    feeds = [jobs.replayed(df, "event_time", cuts, name, spread=DAY) for df, name in ((events, "asks"), (updates, "owners"))]
+    answers = jobs.stream_account_enrichment(*feeds, delay="1 day", early=True)
+    return jobs.drain_latest(answers, ["event_id"], "enrichment")
 
 
 @query
@@ -528,9 +539,9 @@ def stream_incidents(spark, d):
 @query
 def stream_ato_sequence(spark, d):
     """The timeline is an intermediate stream: one job writes it, the matcher reads it."""
-    tables = jobs.StreamTables(spark)
-    views = [f(tables, d) for f in (fx.logins, fx.beneficiaries, fx.transfers, fx.account_changes)]
-    timeline = jobs.stream_timeline(*views, retention="3650 days")
+    tables = [f(spark, d) for f in (fx.logins, fx.beneficiaries, fx.transfers, fx.account_changes)]
+    cuts = _cuts(tables, "t")
+    timeline = jobs.stream_timeline(*(jobs.replayed(df, "t", cuts, "ato") for df in tables))
     again = spark.readStream.schema(timeline.schema).parquet(jobs.run_available(timeline, "timeline"))
     return jobs.drain(jobs.stream_takeovers(again, within=48 * HOUR), "takeovers")
 

@@ -19,6 +19,7 @@ from riskloom.streaming.processors import (
     ALERT_INPUT,
     EVENT_FIELDS,
     INCIDENT_STATE,
+    AccountOwnerProcessor,
     IncidentProcessor,
     OwnerProcessor,
     RiskProcessor,
@@ -61,18 +62,23 @@ def stream_risk_alerts(
     return format_alerts(hits, scores)
 
 
-def stream_account_enrichment(events: DataFrame, updates: DataFrame, delay: str = "300 seconds") -> DataFrame:
-    """Owner of the paying account, from a change stream keyed by account.
+def stream_account_enrichment(
+    events: DataFrame, updates: DataFrame, delay: str = "300 seconds", early: bool = False
+) -> DataFrame:
+    """Owner of the paying account as of the event, from a change stream keyed by account.
+
+    Equals ``enrich_accounts`` whatever the order of arrival, as long as nothing is later than ``delay``. A lookup
+    is answered once, when the watermark has passed it. With ``early`` it is answered as it arrives and again when a
+    change alters the answer, for update mode (see ``drain_latest``).
 
-    Keyed state instead of a copy of the whole map on every task: it grows with
-    the accounts of a partition only.
+    Keyed state instead of a copy of the whole map on every task: live accounts, and what is above the watermark.
     """
     prepare(events.sparkSession)
     changes = updates.select(
         F.col("account_id").alias("from_account_id"),
         F.lit(0).alias("kind"),
         "event_time",
-        F.lit("").alias("event_id"),
+        F.coalesce("customer_id", F.lit("")).alias("event_id"),  # order of changes at one time
         F.when(~F.col("deleted"), F.col("customer_id")).alias("customer_id"),
     )
     asks = events.filter(F.col("customer_id").isNull() & F.col("from_account_id").isNotNull()).select(
@@ -82,9 +88,9 @@ def stream_account_enrichment(events: DataFrame, updates: DataFrame, delay: str
         with_watermark(changes.unionByName(asks), "event_time", delay)
         .groupBy("from_account_id")
         .transformWithStateInPandas(
-            OwnerProcessor(),
+            OwnerProcessor(early),
             "event_id string, from_account_id string, event_time long, customer_id string",
-            outputMode="append",
+            outputMode="update" if early else "append",
             timeMode="eventTime",
         )
     )
@@ -98,28 +104,42 @@ def stream_timeline(
     transfers: DataFrame,
     accounts: DataFrame,
     delay: str = "5 seconds",
-    retention: str = "24 hours",
+    hold: int = DAY,
 ) -> DataFrame:
-    """Unified timeline; transfers meet their owner in a stream-stream join.
+    """Unified timeline; transfers meet the owners of their account in keyed state.
 
-    The time condition bounds the join state to ``retention`` on both sides.
+    An account may be any age: its owner is kept with the account. A transfer waits for account rows up to
+    ``hold`` milliseconds after it, and neither may be later than ``delay``.
     """
-    moved = with_watermark(transfers, "t", delay).withColumnRenamed("event_ts", "moved_ts")
-    owned = with_watermark(accounts.select("account_id", "customer_id", "op", "t"), "t", delay).select(
-        "account_id", "customer_id", "op", F.col("event_ts").alias("owned_ts")
-    )
-    near = F.expr(
-        f"owned_ts BETWEEN moved_ts - INTERVAL {retention} AND moved_ts + INTERVAL {retention}"
-    )
-    inserted = owned.filter(F.col("op").isin("c", "r"))
-    joined = moved.join(inserted, (F.col("from_account") == F.col("account_id")) & near)
-    rows = joined.select(
+    prepare(transfers.sparkSession)
+    owned = accounts.filter(F.col("op").isin("c", "r") & F.col("customer_id").isNotNull()).select(
+        "account_id",
+        F.lit(0).alias("kind"),
+        F.col("t").alias("event_time"),
         "customer_id",
-        F.lit("TRANSFER").alias("event_type"),
+        F.lit(None).cast("string").alias("row_id"),
+        F.lit(None).cast("double").alias("amount"),
+    )
+    moved = transfers.select(
+        F.col("from_account").alias("account_id"),
+        F.lit(1).alias("kind"),
         F.col("t").alias("event_time"),
+        F.lit(None).cast("string").alias("customer_id"),
         F.col("transaction_id").alias("row_id"),
         F.col("amount").cast("double").alias("amount"),
     )
+    meet = owned.unionByName(moved).filter(F.col("account_id").isNotNull())
+    joined = (
+        with_watermark(meet, "event_time", delay)
+        .groupBy("account_id")
+        .transformWithStateInPandas(
+            AccountOwnerProcessor(hold),
+            "customer_id string, event_time long, row_id string, amount double",
+            outputMode="append",
+            timeMode="eventTime",
+        )
+    )
+    rows = joined.select("customer_id", F.lit("TRANSFER").alias("event_type"), "event_time", "row_id", "amount")
     none = F.lit(0.0).alias("amount")
     failed = logins.filter(~F.col("success")).select(
         "customer_id", F.lit("LOGIN_FAILED").alias("event_type"), F.col("t").alias("event_time"),
@@ -288,6 +308,22 @@ def drain_latest(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     return last.select("_row.*")
 
 
+def replayed(df: DataFrame, time: str, cuts: list[int], name: str, spread: int = 0) -> DataFrame:
+    """A table as a stream of ``len(cuts) + 1`` micro-batches: one per stretch of arrival times between cuts.
+
+    A row arrives up to ``spread`` milliseconds after its time, by a hash of the row, so rows come out of order.
+    Tables replayed with the same cuts move on together.
+    """
+    spark, root = df.sparkSession, scratch(df.sparkSession, name)
+    delay = F.pmod(F.xxhash64(*df.columns), F.lit(spread)) if spread else F.lit(0)
+    slot = sum((F.col(time) + delay >= c).cast("int") for c in cuts)
+    staged = df.withColumn("_slot", F.coalesce(slot, F.lit(0)))
+    for k in range(len(cuts) + 1):
+        # One file per micro-batch, written one after the other: a stream reads files by age.
+        staged.filter(F.col("_slot") == k).drop("_slot").coalesce(1).write.mode("append").parquet(root)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
 def late_rows(events: DataFrame, time: str, delay: int, name: str = "late") -> DataFrame:
     """Rows of a stream that stateful operators drop: behind the largest event time of earlier
     micro-batches by more than ``delay`` milliseconds. They can be scored in a batch run with their history.

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import asdict, fields
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -137,25 +138,173 @@ class RiskProcessor(StatefulProcessor):
         yield pd.DataFrame(columns=ALERT_INPUT_COLUMNS)
 
 
+FOUND_COLUMNS = ["event_id", "from_account_id", "event_time", "customer_id"]
+
+
 class OwnerProcessor(StatefulProcessor):
-    """Account owner carried from the change stream to the events of the account."""
+    """Owner of an account as of each lookup, whatever the order in which changes and lookups arrive.
+
+    State holds the owner versions that a row above the watermark can still ask for, in order, and the lookups
+    the watermark has not passed. ``early`` answers a lookup when it arrives and again whenever a change with an
+    earlier time alters the answer; otherwise it is answered once, when the watermark has passed it.
+    """
+
+    def __init__(self, early: bool):
+        self.early = early
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.owner = handle.getValueState("owner", "customer_id string")
+        self.handle = handle
+        self.versions = handle.getValueState("versions", "times array<long>, ties array<string>, owners array<string>, timer long")
+        self.asks = handle.getListState("asks", "event_time long, event_id string, customer_id string")
+
+    def _load(self) -> tuple[list, int | None]:
+        held = self.versions.get()
+        if held is None:
+            return [], None
+        times, ties, owners = (_plain(v) or [] for v in held[:3])
+        return list(zip(times, ties, owners)), _plain(held[3])
+
+    def _store(self, versions: list, timer: int | None, due: int | None) -> None:
+        """Keep versions with one timer, the earliest time at which something leaves the state."""
+        if due is not None and (timer is None or due < timer):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        if versions or timer is not None:
+            times, ties, owners = ([v[i] for v in versions] for i in range(3))
+            self.versions.update((times, ties, owners, timer))
+        else:
+            self.versions.clear()
+
+    @staticmethod
+    def _owners(versions: list, times: np.ndarray) -> list:
+        at = np.searchsorted(np.array([v[0] for v in versions], dtype=np.int64), times, side="right")
+        known = np.array([None, *(v[2] for v in versions)], dtype=object)
+        return list(known[at])
+
+    def _waiting(self) -> pd.DataFrame:
+        rows = list(self.asks.get()) if self.asks.exists() else []
+        return pd.DataFrame([tuple(r) for r in rows], columns=["event_time", "event_id", "customer_id"])
+
+    def _answers(self, key, asks: pd.DataFrame) -> pd.DataFrame:
+        return asks.assign(from_account_id=key[0])[FOUND_COLUMNS]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        owner = _plain(self.owner.get()[0]) if self.owner.exists() else None
-        out = []
-        for r in _in_order(rows, ["event_time", "kind", "event_id"]):
-            if r["kind"] == 0:
-                owner = r["customer_id"]
+        versions, timer = self._load()
+        changes, asked = [], []
+        for pdf in rows:
+            is_change = pdf["kind"] == 0
+            new = pdf[is_change]
+            changes += zip(new["event_time"].tolist(), new["event_id"].tolist(), (_plain(o) for o in new["customer_id"]))
+            asked.append(pdf.loc[~is_change, ["event_time", "event_id", "customer_id"]])
+        asks = pd.concat(asked, ignore_index=True)
+        if changes:
+            versions = sorted([*versions, *changes], key=lambda v: v[:2])
+        if self.early and changes and self.asks.exists():
+            yield self._revised(key, versions, min(c[0] for c in changes))
+        if len(asks):
+            asks["customer_id"] = self._owners(versions, asks["event_time"].to_numpy(np.int64)) if self.early else None
+            self.asks.appendList(list(asks.itertuples(index=False, name=None)))
+        due = [int(asks["event_time"].min())] if len(asks) else []
+        self._store(versions, timer, min([*due, *(v[0] for v in versions[1:])], default=None))
+        yield self._answers(key, asks if self.early else asks[:0])
+
+    def _revised(self, key, versions: list, since: int) -> pd.DataFrame:
+        """Earlier lookups whose answer the changes from ``since`` on have altered."""
+        held = self._waiting()
+        owners = pd.Series(self._owners(versions, held["event_time"].to_numpy(np.int64)), index=held.index, dtype=object)
+        other = [t >= since and a != _plain(b) for t, a, b in zip(held["event_time"], owners, held["customer_id"])]
+        if any(other):
+            held["customer_id"] = owners
+            self.asks.put(list(held.itertuples(index=False, name=None)))
+        return self._answers(key, held[np.array(other, dtype=bool)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        versions, held = self._load()[0], self._waiting()
+        done = (held["event_time"] <= passed).to_numpy(bool)
+        final, later = held[done], held[~done]
+        if len(final):
+            if len(later):
+                self.asks.put(list(later.itertuples(index=False, name=None)))
             else:
-                out.append((r["event_id"], key[0], int(r["event_time"]), owner))
-        if owner is None:
-            self.owner.clear()
+                self.asks.clear()
+        answers = final[:0]
+        if not self.early and len(final):
+            answers = final.assign(customer_id=self._owners(versions, final["event_time"].to_numpy(np.int64)))
+        # Rows still to come are above the watermark: of the versions below it they can see the last one only.
+        below = sum(v[0] <= passed for v in versions)
+        versions = versions[max(below - 1, 0) :]
+        if len(versions) == 1 and versions[0][0] <= passed and versions[0][2] is None:
+            versions = []
+        due = [int(later["event_time"].min())] if len(later) else []
+        self._store(versions, None, min([*due, *(v[0] for v in versions[1:])], default=None))
+        yield self._answers(key, answers)
+
+
+OWNED_COLUMNS = ["customer_id", "event_time", "row_id", "amount"]
+
+
+class AccountOwnerProcessor(StatefulProcessor):
+    """Every created account row joined with every transfer of the account.
+
+    Owners are kept as one number per (account, customer), so their state grows with the accounts and not with
+    time. A transfer meets the owners there are at once, and is held for owners that come up to ``hold`` later.
+    """
+
+    def __init__(self, hold: int):
+        self.hold = hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.owners = handle.getMapState("owners", "customer_id string", "n long")
+        self.moved = handle.getListState("moved", "event_time long, row_id string, amount double")
+        self.timer = handle.getValueState("timer", "t long")
+
+    @staticmethod
+    def _joined(owners: dict, moved: pd.DataFrame) -> pd.DataFrame:
+        parts = [moved.assign(customer_id=who) for who, n in owners.items() for _ in range(n)]
+        return pd.concat(parts)[OWNED_COLUMNS] if parts else pd.DataFrame(columns=OWNED_COLUMNS)
+
+    def _held(self) -> pd.DataFrame:
+        rows = list(self.moved.get()) if self.moved.exists() else []
+        return pd.DataFrame([tuple(r) for r in rows], columns=OWNED_COLUMNS[1:])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = {k[0]: int(v[0]) for k, v in self.owners.iterator()}
+        new, arrived = {}, []
+        for pdf in rows:
+            moves = pdf["kind"] == 1
+            for who, n in pdf.loc[~moves, "customer_id"].value_counts().items():
+                new[who] = new.get(who, 0) + int(n)
+            arrived.append(pdf.loc[moves, OWNED_COLUMNS[1:]])
+        arrived = pd.concat(arrived, ignore_index=True)
+        if new:
+            yield self._joined(new, self._held())
+            for who, n in new.items():
+                known[who] = known.get(who, 0) + n
+                self.owners.updateValue((who,), (known[who],))
+        if len(arrived):
+            self.moved.appendList(list(arrived.itertuples(index=False, name=None)))
+            if not self.timer.exists():
+                self._wait(int(arrived["event_time"].min()))
+            yield self._joined(known, arrived)
+
+    def _wait(self, since: int) -> None:
+        self.handle.registerTimer(since + self.hold)
+        self.timer.update((since + self.hold,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, passed = self._held(), timerValues.getCurrentWatermarkInMs()
+        rest = held[held["event_time"] + self.hold > passed]
+        self.timer.clear()
+        if len(rest):
+            self.moved.put(list(rest.itertuples(index=False, name=None)))
+            self._wait(int(rest["event_time"].min()))
         else:
-            self.owner.update((owner,))
-        yield pd.DataFrame(out, columns=["event_id", "from_account_id", "event_time", "customer_id"])
+            self.moved.clear()
+        yield pd.DataFrame(columns=OWNED_COLUMNS)
 
 
 INCIDENT_STATE = (

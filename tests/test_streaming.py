@@ -1,5 +1,6 @@
 """Continuous forms over several micro-batches equal the batch operators."""
 
+import os
 import random
 
 import pytest
@@ -8,9 +9,10 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from riskloom.config import HOUR, MINUTE, IndicatorConfig, ScoreConfig
 from riskloom.operators import incidents, metrics
+from riskloom.operators.enrich import enrich_accounts
 from riskloom.operators.indicators import derive_indicators, identity_rows
 from riskloom.operators.scoring import risk_alerts
-from riskloom.operators.sequence import takeover_sequences
+from riskloom.operators.sequence import takeover_sequences, unified_timeline
 from riskloom.sources.readers import file_stream
 from riskloom.streaming import jobs
 from test_scoring import frame, random_events
@@ -133,3 +135,81 @@ def test_dedup_within_watermark(spark, replay):
     df = spark.createDataFrame(data, "identity_key string, dedup_key string, event_time long")
     out = jobs.drain(jobs.stream_dedup(replay(df, "event_time", 2)), "t-dedup")
     assert sorted((r.identity_key, str(r.dedup_key)) for r in out.collect()) == [("c", "None"), ("c", "None"), ("c", "k1"), ("d", "k1")]
+
+
+def owner_log(spark, seed, n=120):
+    """Changes and lookups of a few accounts, at times of their own but for some ties of a change and a lookup."""
+    rnd = random.Random(seed)
+    times = rnd.sample(range(1000), n)
+    changes = [(rnd.choice("pqr"), rnd.choice(["c1", "c2", "c3"]), rnd.random() < 0.25, t * MINUTE) for t in times[: n // 3]]
+    asks = [(f"e{i:03d}", None, rnd.choice("pqrs"), t * MINUTE) for i, t in enumerate(times[n // 3 :] + times[:9])]
+    asks += [("known", "c9", "p", MINUTE), ("nobody", None, None, MINUTE)]
+    updates = spark.createDataFrame(changes, "account_id string, customer_id string, deleted boolean, event_time long")
+    events = spark.createDataFrame(asks, "event_id string, customer_id string, from_account_id string, event_time long")
+    return events, updates
+
+
+def as_of_batch(events, updates):
+    account = F.concat(F.lit("acct:"), F.col("from_account_id"))
+    asked = events.filter("customer_id IS NULL AND from_account_id IS NOT NULL")
+    whole = asked.withColumns({"dedup_key": F.lit(None).cast("string"), "identity_key": account})
+    return enrich_accounts(whole, updates).drop("dedup_key")
+
+
+CUTS = [k * 200 * MINUTE for k in range(1, 5)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_owners_as_of_the_event_out_of_order(spark, seed):
+    """Answered early and revised, or once when the watermark has passed: both give the rows of the batch join."""
+    events, updates = owner_log(spark, seed)
+    want = as_of_batch(events, updates)
+    feeds = [jobs.replayed(df, "event_time", CUTS, "t-owners", spread=300 * MINUTE) for df in (events, updates)]
+    early = jobs.stream_account_enrichment(*feeds, delay="300 minutes", early=True)
+    assert rows_of(jobs.drain_latest(early, ["event_id"], "t-early").select(*want.columns)) == rows_of(want)
+    end = spark.createDataFrame([("end", None, "end", 9000 * MINUTE)], events.schema)
+    feeds[0] = jobs.replayed(events.union(end), "event_time", CUTS, "t-owners", spread=300 * MINUTE)
+    final = jobs.drain(jobs.stream_account_enrichment(*feeds, delay="300 minutes"), "t-final")
+    assert rows_of(final.filter("event_id <> 'end'").select(*want.columns)) == rows_of(want)
+
+
+def state_of(spark, out, name):
+    """Rows of one state variable after the last micro-batch of the stream that wrote ``out``."""
+    return spark.read.format("statestore").option("path", f"{os.path.dirname(out)}/state").option("stateVarName", name).load()
+
+
+def test_owner_versions_below_the_watermark_go(spark):
+    """Many versions of an account leave one in state, lookups that were answered none, a deleted account nothing."""
+    changes = [("p", f"c{i}", False, i * MINUTE) for i in range(1, 300)] + [("q", "c", False, MINUTE), ("q", "c", True, 2 * MINUTE)]
+    updates = spark.createDataFrame(changes, "account_id string, customer_id string, deleted boolean, event_time long")
+    asks = [(f"e{i}", None, "p", i * MINUTE) for i in range(1, 301)] + [("end", None, "end", 9000 * MINUTE)]
+    events = spark.createDataFrame(asks, "event_id string, customer_id string, from_account_id string, event_time long")
+    feeds = [jobs.replayed(df, "event_time", [100 * MINUTE, 200 * MINUTE], "t-bound") for df in (events, updates)]
+    out = jobs.run_available(jobs.stream_account_enrichment(*feeds, delay="1 minute"), "t-bound")
+    assert spark.read.parquet(out).filter("event_id <> 'end'").count() == 300
+    held = {r.key[0]: list(r.value["times"]) for r in state_of(spark, out, "versions").collect()}
+    assert held == {"p": [299 * MINUTE], "end": []}
+    assert [r.key[0] for r in state_of(spark, out, "asks").collect()] == ["end"]
+
+
+def test_timeline_owners_of_any_age(spark):
+    """Transfers meet owners years older, owners that come after them, several owners, and none."""
+    year = 366 * 24 * HOUR
+    late = 10 * year
+    accounts = [("p", "c1", "c", 2), ("q", "c2", "r", 1), ("q", "c3", "c", late + 3 * HOUR), ("q", "c3", "r", late + 3 * HOUR), ("p", "cx", "u", 5), ("z", "c4", "c", 7)]
+    owned = spark.createDataFrame(accounts, "account_id string, customer_id string, op string, t long")
+    moves = [(f"t{i}", "pqs"[i % 3], float(i), late + i * 10 * MINUTE) for i in range(60)]
+    moved = spark.createDataFrame(moves, "transaction_id string, from_account string, amount double, t long")
+    logins = spark.createDataFrame([("l1", "c1", False, late), ("l2", "c1", True, late)], "event_id string, customer_id string, success boolean, t long")
+    added = spark.createDataFrame([("b1", "c1", late)], "beneficiary_id string, customer_id string, t long")
+    tables = (logins, added, moved, owned)
+    want = unified_timeline(*tables)
+    cuts = [year, late + 2 * HOUR, late + 6 * HOUR]
+    out = jobs.run_available(jobs.stream_timeline(*(jobs.replayed(df, "t", cuts, "t-line") for df in tables), hold=4 * HOUR), "t-line")
+    got = spark.read.parquet(out)
+    assert want.count() == 82 and rows_of(got.select(*want.columns)) == rows_of(want)
+    held = state_of(spark, out, "moved")
+    times = held.select(F.explode("list_value.event_time") if "list_value" in held.columns else F.col("list_element.event_time")).collect()
+    # The watermark has passed all but the transfers of the last four hours.
+    assert times and min(r[0] for r in times) >= late + 590 * MINUTE - 5000 - 4 * HOUR
+    assert state_of(spark, out, "owners").count() == 4
