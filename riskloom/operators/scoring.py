@@ -147,7 +147,8 @@ def risk_alerts(rows: KeyedRows, config: ScoreConfig = ScoreConfig()) -> DataFra
     return format_alerts(gated.result(), config)
 
 
-def format_alerts(df: DataFrame, config: ScoreConfig) -> DataFrame:
+def format_alerts(df: DataFrame, config: ScoreConfig, also: tuple[str, ...] = ()) -> DataFrame:
+    """Wire columns of alerts, and the columns named in ``also`` as they are."""
     critical = F.col("score") >= config.critical_from
     severity = F.when(critical, "CRITICAL").otherwise("FRAUD")
     t = F.col("event_time")
@@ -168,4 +169,5 @@ def format_alerts(df: DataFrame, config: ScoreConfig) -> DataFrame:
         t.alias("latest_seen_ts"),
         F.array(F.coalesce("event_id", F.lit("unknown"))).alias("source_event_ids"),
         F.when(critical, "LOCK_ACCOUNT").otherwise("REQUIRE_MFA").alias("action_required"),
+        *also,
     )

@@ -518,6 +518,13 @@ BODIES["stream_account_enrichment"] = BODIES["account_enrichment"]
 BODIES["stream_ato_sequence"] = BODIES["ato_sequence"]
 BODIES["stream_incidents"] = BODIES["incidents"]
 BODIES["incident_lifecycle_split"] = BODIES["stream_incident_lifecycle"] = BODIES["incident_lifecycle"]
+BODIES["stream_risk_revisions"] = BODIES["risk_alerts"]
+BODIES["stream_historical_context"] = BODIES["historical_context"]
+# Nothing is late there.
+BODIES["stream_takeover_sinks"] = """
+SELECT 'timeline' AS sink, customer_id, event_type, event_time, row_id, amount, NULL::BIGINT AS begins_at FROM timeline
+UNION ALL
+SELECT 'takeovers', customer_id, 'CEP_ATO_MATCH', t_t, NULL, amount, f_t FROM ato_walk WHERE kept"""
 # How a key is cut into chunks changes no row.
 BODIES["risk_alerts_split"] = BODIES["risk_alerts"]
 BODIES["threshold_clear_split"] = BODIES["threshold_clear_alerts"]

@@ -20,7 +20,7 @@ from riskloom.session import use_utc
 from riskloom.sinks import alerts as alert_sink
 from riskloom.sinks import documents
 from riskloom.sources import fixtures as fx
-from riskloom.streaming import jobs
+from riskloom.streaming import fanout, jobs
 
 INDICATORS = IndicatorConfig(
     profile_ttl=48 * HOUR,
@@ -552,3 +552,53 @@ def stream_event_rate(spark, d):
     requests = fx.api_requests(jobs.StreamTables(spark), d)
     rates = jobs.stream_event_rate(requests, "t", "method", "5 minutes", "1 minute")
     return jobs.drain_latest(rates, ["window_start", "method"], "rate")
+
+
+@query
+def stream_risk_revisions(spark, d):
+    """Several micro-batches of rows up to a day out of order: late rows are scored in their place."""
+    events = fx.risk_events(spark, d)
+    feed = jobs.replayed(events, "event_time", _cuts([events], "event_time", 4), "risk", spread=DAY)
+    revised = jobs.stream_revised_alerts(feed, INDICATORS, SCORES, delay="1 day")
+    last = jobs.drain_latest(revised, ["identity_key", "event_time", "event_id"], "revisions")
+    names = [c if c not in ("contributing_indicators", "source_event_ids") else joined(c) for c in ALERT_COLUMNS]
+    return last.filter(~F.col("withdrawn")).select(*names)
+
+
+@query
+def stream_historical_context(spark, d):
+    """State begins with the first third of the logins as a batch table; the rest come as a stream."""
+    logins = fx.logins(spark, d).select(
+        "event_id", "customer_id", F.col("customer_id").alias("identity_key"), F.col("t").alias("event_time")
+    )
+    cuts = _cuts([logins], "event_time")
+    start = cuts[0] if cuts else 0
+    old = logins.filter(F.col("event_time") < start)
+    feed = jobs.replayed(logins.filter(F.col("event_time") >= start), "event_time", cuts[1:], "logins", spread=DAY)
+    asked = enrich.seen_before(old, old, beyond=DAY)
+    found = jobs.drain(jobs.stream_seen_before(feed, old, beyond=DAY), "history")
+    return found.unionByName(asked.select(*found.columns))
+
+
+@query
+def stream_takeover_sinks(spark, d):
+    """One stream written to the timeline, to the takeovers and to the late rows, read back from the sinks."""
+    rows = timeline(spark, d)
+    feed = jobs.replayed(rows, "event_time", _cuts([rows], "event_time"), "timeline")
+    root = jobs.scratch(spark, "takeover-sinks")
+    log = jobs.takeover_log(feed, within=48 * HOUR)
+    fanout.start_fan_out(log, "event_time", jobs.TAKEOVER_SINKS, root, f"{root}/state", delay=5000).awaitTermination()
+    none = F.lit(None)
+
+    def listed(name):
+        kind, at, row, amount = F.col("event_type"), F.col("event_time"), F.col("row_id"), F.col("amount")
+        begins = none.cast("long")
+        if name == "takeovers":
+            kind, at, amount = F.col("risk_indicator_type"), F.col("exfiltration_transfer_time"), F.col("stolen_funds")
+            row, begins = none.cast("string"), F.col("initial_failed_login")
+        return fanout.read_sink(spark, root, name).select(
+            F.lit(name).alias("sink"), "customer_id", kind.alias("event_type"), at.alias("event_time"),
+            row.alias("row_id"), amount.alias("amount"), begins.alias("begins_at"),
+        )
+
+    return reduce(DataFrame.unionByName, map(listed, jobs.TAKEOVER_SINKS))

@@ -20,11 +20,13 @@ from riskloom.streaming.processors import (
     EVENT_FIELDS,
     INCIDENT_STATE,
     AccountOwnerProcessor,
+    FirstSeenProcessor,
     IncidentProcessor,
     OwnerProcessor,
     RiskProcessor,
     TakeoverProcessor,
 )
+from riskloom.streaming.revisions import REVISED, RevisingRiskProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -49,11 +51,8 @@ def stream_risk_alerts(
 ) -> DataFrame:
     """Alerts of a stream of risk events; rows behind the watermark are dropped."""
     prepare(events.sparkSession)
-    missing = {n: F.lit(None).cast("string") for n in EVENT_FIELDS if n not in events.columns}
-    known = events.withColumns(missing).filter(F.col("identity_key").isNotNull())
-    slim = known.select("identity_key", "event_time", *EVENT_FIELDS)
     hits = (
-        with_watermark(slim, "event_time", delay)
+        with_watermark(_profile_rows(events), "event_time", delay)
         .groupBy("identity_key")
         .transformWithStateInPandas(
             RiskProcessor(indicators, scores, horizon), ALERT_INPUT, outputMode="append", timeMode="eventTime"
@@ -62,6 +61,65 @@ def stream_risk_alerts(
     return format_alerts(hits, scores)
 
 
+def _profile_rows(events: DataFrame) -> DataFrame:
+    missing = {n: F.lit(None).cast("string") for n in EVENT_FIELDS if n not in events.columns}
+    known = events.withColumns(missing).filter(F.col("identity_key").isNotNull())
+    return known.select("identity_key", "event_time", *EVENT_FIELDS)
+
+
+def stream_revised_alerts(
+    events: DataFrame,
+    indicators: IndicatorConfig = IndicatorConfig(),
+    scores: ScoreConfig = ScoreConfig(),
+    delay: str = "300 seconds",
+    horizon: int = DAY,
+) -> DataFrame:
+    """Alerts of a stream whose rows come up to ``delay`` out of order, for update mode.
+
+    A row that comes late is scored in its place: alerts after it that it alters are told again with a higher
+    ``revision``, those it takes away with ``withdrawn``. The last row per identity, event time and event id counts
+    (see ``drain_latest``), and equals ``risk_alerts`` over the same rows. State holds the rows above the watermark.
+    """
+    prepare(events.sparkSession)
+    hits = (
+        with_watermark(_profile_rows(events), "event_time", delay)
+        .groupBy("identity_key")
+        .transformWithStateInPandas(
+            RevisingRiskProcessor(indicators, scores, horizon), REVISED, outputMode="update", timeMode="eventTime"
+        )
+    )
+    return format_alerts(hits, scores, also=("event_id", "revision", "withdrawn"))
+
+
+def stream_seen_before(events: DataFrame, history: DataFrame | None = None, beyond: int = DAY) -> DataFrame:
+    """``seen_before`` of a stream that is its own history, begun with the batch table ``history`` if there is one.
+
+    Rows may come up to ``beyond`` out of order without changing an answer: what decides lies further back. Nothing
+    is dropped as late. Rows without an identity get null.
+    """
+    prepare(events.sparkSession)
+    known, begin = events.filter(F.col("identity_key").isNotNull()), None
+    if history is not None:
+        firsts = history.filter(F.col("customer_id").isNotNull() & F.col("event_time").isNotNull())
+        firsts = firsts.groupBy(F.col("customer_id").alias("identity_key")).agg(F.min("event_time").alias("first"))
+        begin = firsts.groupBy("identity_key")
+    found = (
+        known.filter(F.col("event_time").isNotNull())
+        .select("identity_key", "event_id", "event_time")
+        .groupBy("identity_key")
+        .transformWithStateInPandas(
+            FirstSeenProcessor(beyond),
+            "event_id string, identity_key string, event_time long, seen_beyond_state_window boolean",
+            outputMode="append",
+            timeMode="None",
+            initialState=begin,
+        )
+    )
+    unknown = events.filter(F.col("identity_key").isNull() | F.col("event_time").isNull())
+    seen = F.when(F.col("identity_key").isNotNull(), F.lit(False)).alias("seen_beyond_state_window")
+    return found.unionByName(unknown.select("event_id", "identity_key", "event_time", seen))
+
+
 def stream_account_enrichment(
     events: DataFrame, updates: DataFrame, delay: str = "300 seconds", early: bool = False
 ) -> DataFrame:
@@ -168,6 +226,37 @@ def stream_takeovers(timeline: DataFrame, within: int = HOUR, delay: str = "5 se
     return found.withColumn("risk_indicator_type", F.lit("CEP_ATO_MATCH"))
 
 
+def takeover_log(timeline: DataFrame, within: int = HOUR, delay: str = "5 seconds") -> DataFrame:
+    """Timeline rows and the takeovers among them as one stream, told apart by ``kind`` (see ``TAKEOVER_SINKS``)."""
+    rows = timeline.select(F.lit("timeline").alias("kind"), *TIMELINE)
+    found = stream_takeovers(timeline, within, delay)
+    return rows.unionByName(found.select(F.lit("takeover").alias("kind"), "*"), allowMissingColumns=True)
+
+
+TIMELINE = ("customer_id", "event_type", "event_time", "row_id", "amount")
+TAKEOVER = (
+    "customer_id",
+    "risk_indicator_type",
+    "initial_failed_login",
+    "beneficiary_added_time",
+    "exfiltration_transfer_time",
+    "stolen_funds",
+)
+
+
+def _late(batch: DataFrame, passed: int | None) -> DataFrame:
+    late = F.lit(False) if passed is None else F.col("event_time") <= passed
+    return batch.filter((F.col("kind") == "timeline") & late).select(*TIMELINE)
+
+
+# Sinks of a ``takeover_log``: all rows, the matches, and the rows the matcher dropped as late.
+TAKEOVER_SINKS = {
+    "timeline": lambda batch, passed: batch.filter(F.col("kind") == "timeline").select(*TIMELINE),
+    "takeovers": lambda batch, passed: batch.filter(F.col("kind") == "takeover").select(*TAKEOVER),
+    "late": _late,
+}
+
+
 def stream_incidents(alerts: DataFrame, gap: int = 30 * MINUTE, delay: str = "300 seconds") -> DataFrame:
     """Incidents as session windows, emitted once closed. ``alerts`` are resolved alerts.
 

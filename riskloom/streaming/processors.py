@@ -243,6 +243,34 @@ class OwnerProcessor(StatefulProcessor):
         yield self._answers(key, answers)
 
 
+class FirstSeenProcessor(StatefulProcessor):
+    """Whether an identity was first seen more than ``beyond`` before an event.
+
+    State is one number per identity. It begins with a table of first times and goes on with the stream.
+    """
+
+    def __init__(self, beyond: int):
+        self.beyond = beyond
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "t long")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.first.update((int(initialState["first"].min()),))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # A row of the same micro-batch that lies beyond an event is in the minimum, one that does not changes nothing.
+        pdf = pd.concat(list(rows), ignore_index=True)
+        times = pdf["event_time"].to_numpy(np.int64)
+        first, held = int(times.min()), self.first.get()
+        if held is None or first < int(held[0]):
+            self.first.update((first,))
+        else:
+            first = int(held[0])
+        seen = first < times - self.beyond
+        yield pd.DataFrame({"event_id": pdf["event_id"], "identity_key": key[0], "event_time": times, "seen_beyond_state_window": seen})
+
+
 OWNED_COLUMNS = ["customer_id", "event_time", "row_id", "amount"]
 
 
