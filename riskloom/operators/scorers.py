@@ -172,16 +172,21 @@ def ip_velocity_alerts(
 
 
 def secondary_identity(events: DataFrame, owners: DataFrame | None = None) -> DataFrame:
-    """Identity in the order of the secondary engine: customer, owner, account, IP."""
-    mapped = F.lit(None).cast("string")
-    if owners is not None:
-        lookup = owners.select(F.col("account_id").alias("from_account_id"), F.col("customer_id").alias("_owner"))
-        events = events.join(lookup, "from_account_id", "left")
-        mapped = F.col("_owner")
+    """Identity in the order of the secondary engine: customer, owner, account, IP.
+
+    ``owners`` has one row per account. Only rows that ask for an owner meet it, so rows without an account do
+    not all land on one key.
+    """
+    customer = first_non_blank(F.col("customer_id"))
     account = F.concat(F.lit("acct:"), F.col("from_account_id"))
     ip = F.concat(F.lit("ip:"), F.col("ip_address"))
-    identity = F.coalesce(first_non_blank(F.col("customer_id")), mapped, account, ip)
-    return events.withColumn("identity_key", identity).drop("_owner")
+    if owners is None:
+        return events.withColumn("identity_key", F.coalesce(customer, account, ip))
+    asks = customer.isNull() & F.col("from_account_id").isNotNull()
+    lookup = owners.select(F.col("account_id").alias("_account"), F.col("customer_id").alias("_owner"))
+    asked = events.filter(asks).join(lookup, F.col("from_account_id") == F.col("_account"), "left")
+    found = asked.withColumn("identity_key", F.coalesce("_owner", account)).drop("_account", "_owner")
+    return found.unionByName(events.filter(~asks).withColumn("identity_key", F.coalesce(customer, account, ip)))
 
 
 def login_succeeded(success: Column, status: Column) -> Column:

@@ -350,6 +350,20 @@ FROM fx_logins l JOIN (VALUES ('US', 39.8, -98.6), ('CA', 56.1, -106.3), ('KE',
   AS c(country, lat, lon) USING (country)""",
 }
 
+# The secondary engine once more, on events as it identifies them itself.
+VIEWS["fx_sec"] = """
+SELECT event_id, n, customer_id AS identity_key, customer_id, NULL AS account_id, t, 'login_events' AS source_table,
+       device_id, country, success OR n % 35 = 0 AS success, NULL::DOUBLE AS amount, NULL::VARCHAR AS endpoint
+FROM fx_logins WHERE n % 11 <> 0
+UNION ALL
+SELECT 'tx-' || transaction_id, n, coalesce(s.customer_id, 'acct:' || from_account), NULL, from_account, t, 'transactions',
+       NULL, NULL, NULL, amount, NULL FROM fx_transfers LEFT JOIN snapshot s ON s.account_id = from_account
+UNION ALL
+SELECT request_id, n, 'ip:' || ip_address, NULL, NULL, t, 'api_requests', NULL, NULL, NULL, NULL, endpoint
+FROM fx_api WHERE n % 13 <> 0"""
+for _name in ("sec_facts", "sec_ind", "sec_weighed", "sec_walk"):
+    VIEWS[_name.replace("sec_", "own_")] = VIEWS[_name].replace("fx_risk", "fx_sec").replace("sec_", "own_")
+
 BODIES = {
     "normalize_events": """
 SELECT event_id, customer_id, NULL::VARCHAR AS account_id, NULL::VARCHAR AS indicator, t AS event_time, 'login_events' AS source_table,
@@ -512,6 +526,7 @@ SELECT event_id, customer_id, success, ip_address, country, device_id, t AS time
 FROM located WHERE n % 11 <> 0""",
 }
 
+BODIES["secondary_end_to_end"] = BODIES["secondary_risk_alerts"].replace("sec_walk", "own_walk")
 # The streams give the rows of their batch twins.
 BODIES["stream_risk_alerts"] = BODIES["risk_alerts"]
 BODIES["stream_account_enrichment"] = BODIES["account_enrichment"]

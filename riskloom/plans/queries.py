@@ -192,6 +192,26 @@ def secondary_risk_alerts(spark, d):
     )
 
 
+@query
+def secondary_end_to_end(spark, d):
+    """From messages: owner before account, and logins that tell a status, or nothing, instead of a flag."""
+    events = normalize.normalize_events(fx.raw_messages(spark, d))
+    events = events.withColumn("event_id", F.coalesce("event_id", "dedup_key"))
+    owners = enrich.account_snapshot(normalize.parse_account_updates(fx.account_messages(spark, d)))
+    known = scorers.secondary_identity(events, owners).filter(F.col("identity_key").isNotNull())
+    number, is_login = F.col("event_id").try_cast("long"), F.col("source_table") == "login_events"
+    told = (number % 5 == 0) & (number % 7 != 0)
+    status = F.when(told, F.when(F.col("login_success"), "SUCCESS").otherwise("FAILURE"))
+    flag = F.when(number % 5 != 0, F.col("login_success"))
+    known = known.withColumn("login_success", F.when(is_login, scorers.login_succeeded(flag, status)))
+    counted = (F.col("source_table") != "api_requests") | scorers.sensitive(F.coalesce("endpoint", F.lit("")))
+    rows = derive_indicators(identity_rows(known.filter(counted)), SECONDARY_INDICATORS)
+    alerts = scorers.secondary_risk_alerts(rows, SECONDARY)
+    return alerts.drop("source_event_ids").withColumn(
+        "contributing_indicators", F.array_join("contributing_indicators", ",")
+    )
+
+
 def labelled_events(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.posexplode("indicators").alias("pos", "risk_indicator_type")).drop("indicators", "indicator")
 
