@@ -194,6 +194,7 @@ def login_succeeded(success: Column, status: Column) -> Column:
     return F.coalesce(success, ~F.coalesce(status, F.lit("")).isin("FAILED", "FAILURE"))
 
 
+SENT_STATES = 50_000  # a state is a few numbers and at most ``listed_indicators`` names
 _PROFILE = "struct<score:double,decayed_at:bigint,alerted_at:bigint,listed:array<string>>"
 
 
@@ -222,16 +223,22 @@ def secondary_risk_alerts(rows: KeyedRows, config: SecondaryConfig = SecondaryCo
         starts = ends.select(*parts, F.col("start").alias("old"), "end", F.coalesce(F.lag("end").over(before), empty).alias("start"))
         starts = cut_lineage(starts)
         moved = starts.filter(~F.col("start").eqNullSafe(F.col("old")))
-        if moved.isEmpty():
+        n = moved.count()
+        if not n:
             break
-        again = hot.join(F.broadcast(moved.select(*parts, "start")), parts)
+        again = _from_states(hot, moved.select(*parts, "start"), parts, n)
         again = again.select(*parts, "start", _secondary_fold(F.col("start"), config)["state"].alias("end"))
         kept = starts.filter(F.col("start").eqNullSafe(F.col("old"))).select(*parts, "start", "end")
         ends = cut_lineage(kept.unionByName(again))
-    settled = hot.join(F.broadcast(ends.select(*parts, "start")), parts)
+    settled = _from_states(hot, ends.select(*parts, "start"), parts, ends.count())
     return _secondary_output(cold.unionByName(settled), config)
 
 
+def _from_states(chunks: DataFrame, states: DataFrame, parts: list[str], n: int) -> DataFrame:
+    """Chunks with the state each starts from; ``n`` states are sent to all tasks only while they are few."""
+    return chunks.join(F.broadcast(states) if n <= SENT_STATES else states, parts)
+
+
 def _secondary_fold(start: Column, config: SecondaryConfig) -> Column:
     lookup = F.create_map(*[F.lit(x) for pair in config.weights.items() for x in pair])
     alert_type = "array<struct<event_time:bigint,account_id:string,score:double,listed:array<string>>>"

@@ -543,6 +543,10 @@ SELECT 'takeovers', customer_id, 'CEP_ATO_MATCH', t_t, NULL, amount, f_t FROM at
 # How a key is cut into chunks changes no row.
 BODIES["risk_alerts_split"] = BODIES["risk_alerts"]
 BODIES["threshold_clear_split"] = BODIES["threshold_clear_alerts"]
+BODIES["secondary_split"] = BODIES["secondary_risk_alerts"]
+BODIES["inactivity_split"] = BODIES["inactivity_reset_alerts"]
+BODIES["ip_velocity_split"] = BODIES["ip_velocity_alerts"]
+BODIES["ato_split"] = BODIES["ato_sequence"]
 BODIES["dedup_split"] = BODIES["dedup_events"]
 BODIES["stream_event_rate"] = BODIES["event_rate_5m"]
 

@@ -181,17 +181,26 @@ def alerts_json(spark, d):
     return alert_sink.encode_json(primary_alerts(spark, d))
 
 
-@query
-def secondary_risk_alerts(spark, d):
-    events = fx.risk_events(spark, d)
+def secondary_alerts(events, max_rows=DEFAULT_MAX_ROWS):
     counted = (F.col("source_table") != "api_requests") | scorers.sensitive(F.coalesce("endpoint", F.lit("")))
-    rows = derive_indicators(identity_rows(events.filter(counted)), SECONDARY_INDICATORS)
+    rows = derive_indicators(identity_rows(events.filter(counted), max_rows), SECONDARY_INDICATORS)
     alerts = scorers.secondary_risk_alerts(rows, SECONDARY)
     return alerts.drop("source_event_ids").withColumn(
         "contributing_indicators", F.array_join("contributing_indicators", ",")
     )
 
 
+@query
+def secondary_risk_alerts(spark, d):
+    return secondary_alerts(fx.risk_events(spark, d))
+
+
+@query
+def secondary_split(spark, d):
+    """As ``secondary_risk_alerts``, with most identities taken as hot."""
+    return secondary_alerts(fx.risk_events(spark, d), SPLIT_ROWS)
+
+
 @query
 def secondary_end_to_end(spark, d):
     """From messages: owner before account, and logins that tell a status, or nothing, instead of a flag."""
@@ -204,27 +213,31 @@ def secondary_end_to_end(spark, d):
     status = F.when(told, F.when(F.col("login_success"), "SUCCESS").otherwise("FAILURE"))
     flag = F.when(number % 5 != 0, F.col("login_success"))
     known = known.withColumn("login_success", F.when(is_login, scorers.login_succeeded(flag, status)))
-    counted = (F.col("source_table") != "api_requests") | scorers.sensitive(F.coalesce("endpoint", F.lit("")))
-    rows = derive_indicators(identity_rows(known.filter(counted)), SECONDARY_INDICATORS)
-    alerts = scorers.secondary_risk_alerts(rows, SECONDARY)
-    return alerts.drop("source_event_ids").withColumn(
-        "contributing_indicators", F.array_join("contributing_indicators", ",")
-    )
+    return secondary_alerts(known)
 
 
 def labelled_events(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.posexplode("indicators").alias("pos", "risk_indicator_type")).drop("indicators", "indicator")
 
 
-@query
-def inactivity_reset_alerts(spark, d):
-    rows = indicator_rows(spark, d)
+def inactivity_alerts(rows):
     # Customers are identities here, so the rows are keyed already.
     customers = rows.with_rows(labelled_events(rows.rows.filter(F.col("customer_id") == F.col("identity_key"))))
     alerts = scorers.inactivity_reset_alerts(customers, idle=DAY)
     return alerts.withColumn("contributing_indicators", F.array_join("contributing_indicators", ","))
 
 
+@query
+def inactivity_reset_alerts(spark, d):
+    return inactivity_alerts(indicator_rows(spark, d))
+
+
+@query
+def inactivity_split(spark, d):
+    """As ``inactivity_reset_alerts``, with most identities taken as hot."""
+    return inactivity_alerts(indicator_rows(spark, d, SPLIT_ROWS))
+
+
 @query
 def threshold_clear_alerts(spark, d):
     alerts = scorers.threshold_clear_alerts(labelled_events(indicator_rows(spark, d).result()))
@@ -244,6 +257,12 @@ def ip_velocity_alerts(spark, d):
     return scorers.ip_velocity_alerts(fx.api_requests(spark, d), hits=3, window=DAY, box=2 * DAY)
 
 
+@query
+def ip_velocity_split(spark, d):
+    """As ``ip_velocity_alerts``, with most addresses taken as hot."""
+    return scorers.ip_velocity_alerts(fx.api_requests(spark, d), hits=3, window=DAY, box=2 * DAY, max_rows=SPLIT_ROWS)
+
+
 @query
 def indicator_counts_query(spark, d):
     return indicator_counts(indicator_rows(spark, d).result())
@@ -272,6 +291,12 @@ def ato_sequence(spark, d):
     return sequence.takeover_sequences(timeline(spark, d), within=48 * HOUR)
 
 
+@query
+def ato_split(spark, d):
+    """As ``ato_sequence``, with most customers taken as hot."""
+    return sequence.takeover_sequences(timeline(spark, d), within=48 * HOUR, max_rows=SPLIT_ROWS // 4)
+
+
 @query
 def decode_alerts(spark, d):
     decoded = incidents.resolve_alerts(normalize.decode_alerts(fx.alert_messages(spark, d))[0])

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.config import ACCUMULATOR_WEIGHTS, CLEARING_WEIGHTS, SECONDARY_WEIGHTS, SecondaryConfig, secondary_indicators
@@ -80,7 +81,10 @@ def test_penalty_box(spark):
         assert sorted((r.customer_id, r.timestamp) for r in got) == sorted(want)
 
 
-def test_secondary_engine(spark):
+@pytest.mark.parametrize("sent", [scorers.SENT_STATES, 2])
+def test_secondary_engine(spark, monkeypatch, sent):
+    """Whether the states of hot chunks are sent to all tasks or joined changes nothing."""
+    monkeypatch.setattr(scorers, "SENT_STATES", sent)
     config = SecondaryConfig(decay=40, cooldown=60)
     indicators = secondary_indicators(velocity_window=30, failed_login_window=50, api_window=60, api_count=6, travel_window=20)
     events = random_events(9, 350, 3000)
