@@ -8,10 +8,11 @@ move the entry point to its ``hi + gap``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,6 +104,9 @@ def _jump(df: DataFrame, key, order, lo, hi, gap, entry) -> DataFrame:
     2. Each block of the axis becomes a jump table: entry point -> exit point.
     3. The small tables of a key are walked in block order.
     4. Each block replays from its now known entry point.
+
+    There may be as many keys as rows, so a task takes its sorted rows by the
+    batch, many blocks or keys at once.
     """
     key = list(key)
     block_len = max(_GAPS_PER_BLOCK * gap, _MIN_BLOCK)
@@ -116,35 +120,95 @@ def _jump(df: DataFrame, key, order, lo, hi, gap, entry) -> DataFrame:
     )
     distinct = cut_lineage(distinct)
     slim = distinct.select(*key, "_block", "_lo", "_hi")
-    key_fields = [f for f in df.schema.fields if f.name in key]
-    table_type = T.StructType(
-        [*key_fields, *(T.StructField(n, T.LongType()) for n in ("_block", "_lo", "_exit"))]
-    )
-    entry_type = T.StructType([*key_fields, *(T.StructField(n, T.LongType()) for n in ("_block", "_entry"))])
-    kept_type = T.StructType([*key_fields, T.StructField("_lo", T.LongType())])
-
-    def jump_table(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_lo", ignore_index=True)
-        at, exits = block_exits(pdf["_lo"].to_numpy(), pdf["_hi"].to_numpy(), gap)
-        return pdf.loc[at, [*key, "_block", "_lo"]].assign(_exit=exits)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_block", "_lo"], ignore_index=True)
-        starts = pdf.drop_duplicates("_block")
-        entries = walk_tables(
-            pdf["_lo"].to_numpy(), pdf["_exit"].to_numpy(), [*starts.index, len(pdf)], entry
-        )
-        return starts[[*key, "_block"]].assign(_entry=entries)
+    keys = T.StructType([f for f in df.schema.fields if f.name in key])
+    table_type = T.StructType([*keys, *(T.StructField(n, T.LongType()) for n in ("_block", "_lo", "_exit"))])
+    entry_type = T.StructType([*keys, *(T.StructField(n, T.LongType()) for n in ("_block", "_entry"))])
+    kept_type = T.StructType([*keys, T.StructField("_lo", T.LongType())])
+
+    def jump_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, [*key, "_block"]):
+            at, exits = block_exits(_longs(rows, "_lo"), _longs(rows, "_hi"), gap, _group_ids(rows, [*key, "_block"]))
+            found = rows.select([*key, "_block", "_lo"]).take(pa.array(at))
+            yield from _as_batches(found.append_column("_exit", pa.array(exits, pa.int64())), table_type)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, key):
+            lows, exits = _longs(rows, "_lo"), _longs(rows, "_exit")
+            blocks, entries = _starts(rows, [*key, "_block"]), []
+            ends = [*np.searchsorted(blocks, _starts(rows, key)), len(blocks)]
+            bounds = [*blocks.tolist(), rows.num_rows]
+            for begin, end in zip(ends[:-1], ends[1:]):
+                entries += walk_tables(lows, exits, bounds[begin : end + 1], entry)
+            found = rows.select([*key, "_block"]).take(pa.array(blocks))
+            yield from _as_batches(found.append_column("_entry", pa.array(entries, pa.int64())), entry_type)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The row with the entry point comes first in its block.
+        for rows in whole_groups(batches, [*key, "_block"]):
+            lows, highs, entries = (_longs(rows, n) for n in ("_lo", "_hi", "_entry"))
+            bounds, kept = [*_starts(rows, [*key, "_block"]).tolist(), rows.num_rows], []
+            for begin, end in zip(bounds[:-1], bounds[1:]):
+                inside = slice(begin + 1, end)
+                kept += [begin + 1 + i for i in replay_block(lows[inside], highs[inside], gap, int(entries[begin]))]
+            yield from _as_batches(rows.select([*key, "_lo"]).take(pa.array(kept, pa.int64())), kept_type)
+
+    none = F.lit(None).cast("long")
+    tables = _in_groups(slim, [*key, "_block"], ["_lo"]).mapInArrow(jump_tables, table_type)
+    entries = _in_groups(tables, key, ["_block", "_lo"]).mapInArrow(walk, entry_type)
+    begun = slim.withColumn("_entry", none).unionByName(entries.withColumns({"_lo": none, "_hi": none}))
+    kept = _in_groups(begun, [*key, "_block"], [F.col("_lo").asc_nulls_first()]).mapInArrow(replay, kept_type)
+    return _join_null_safe(distinct, kept, [*key, "_lo"]).select("_row.*").select(*df.columns)
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_lo", ignore_index=True)
-        at = replay_block(pdf["_lo"].to_numpy(), pdf["_hi"].to_numpy(), gap, int(pdf["_entry"].iat[0]))
-        return pdf.loc[at, [*key, "_lo"]]
 
-    tables = slim.groupBy(*key, "_block").applyInPandas(jump_table, table_type)
-    entries = tables.groupBy(*key).applyInPandas(walk, entry_type)
-    kept = _join_null_safe(slim, entries, [*key, "_block"]).groupBy(*key, "_block").applyInPandas(replay, kept_type)
-    return _join_null_safe(distinct, kept, [*key, "_lo"]).select("_row.*").select(*df.columns)
+def _in_groups(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """Rows of one group next to each other and in order; a task has many groups."""
+    return df.repartition(*group).sortWithinPartitions(*group, *order)
+
+
+def _starts(rows: pa.Table, group: Sequence[str]) -> np.ndarray:
+    """Positions at which a group begins; a null is a value."""
+    new = np.ones(rows.num_rows, dtype=bool)
+    new[1:] = False
+    for name in group:
+        column = rows.column(name)
+        here, before = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+        other = pc.fill_null(pc.not_equal(here, before), False).to_numpy()
+        new[1:] |= other | (pc.is_null(here).to_numpy() != pc.is_null(before).to_numpy())
+    return np.flatnonzero(new)
+
+
+def _group_ids(rows: pa.Table, group: Sequence[str]) -> np.ndarray:
+    begins = np.zeros(rows.num_rows, dtype=np.int64)
+    begins[_starts(rows, group)] = 1
+    return np.cumsum(begins)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], group: Sequence[str]) -> Iterator[pa.Table]:
+    """Batches regrouped so that no group is in two of them; the rows of a group are neighbours."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        # With the last row held, so that a group may begin at the first row of this batch.
+        joined = pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), part]) if held else part
+        begins = _starts(joined, group)[1:] - len(joined) + len(part)
+        if len(begins):
+            cut = int(begins[-1])
+            yield pa.concat_tables([*held, part.slice(0, cut)])
+            held = [part.slice(cut)]
+        else:
+            held.append(part)
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _longs(rows: pa.Table, name: str) -> np.ndarray:
+    return pc.fill_null(rows.column(name), 0).to_numpy()
+
+
+def _as_batches(rows: pa.Table, schema: T.StructType) -> list[pa.RecordBatch]:
+    return rows.select(schema.names).to_batches()
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -153,22 +217,30 @@ def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Dat
     return left.join(right, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]).drop(*names.values())
 
 
-def block_exits(lo: np.ndarray, hi: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+def block_exits(
+    lo: np.ndarray, hi: np.ndarray, gap: int, group: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Where the chain leaves a block, for every entry that makes a difference.
 
     Returns row positions and exit points: entering at or before ``lo[at]`` (and
-    after the previous position) leaves at ``exit``.
+    after the previous position) leaves at ``exit``. ``group`` numbers the blocks
+    of rows that lie one after the other, if there are several.
     """
     n = len(lo)
-    following = np.searchsorted(lo, hi + gap, side="left")
-    last = np.where(following == n, np.arange(n), following)
+    group = np.zeros(n, dtype=np.int64) if group is None else group
+    # Ranks instead of positions: blocks side by side on one axis that cannot overflow.
+    rank = np.unique(np.concatenate([lo, hi + gap]), return_inverse=True)[1].ravel()
+    side = group * (2 * n + 1)
+    following = np.searchsorted(side + rank[:n], side + rank[n:], side="left")
+    leaves = np.append(group, -1)[following] != group
+    last = np.where(leaves, np.arange(n), following)
     while True:
         further = last[last]
         if np.array_equal(further, last):
             break
         last = further
     exits = hi[last] + gap
-    at = np.flatnonzero(np.append(exits[1:] != exits[:-1], True))
+    at = np.flatnonzero(np.append((exits[1:] != exits[:-1]) | (group[1:] != group[:-1]), True)[:n])
     return at, exits[at]
 
 

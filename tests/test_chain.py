@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from conftest import rows_of
-from riskloom.functions.chain import block_exits, greedy_chain, replay_block, walk_tables
+from riskloom.functions.chain import block_exits, greedy_chain, replay_block, walk_tables, whole_groups
 from riskloom.functions.ordered import keyed_rows
 
 
@@ -55,3 +56,28 @@ def test_hot_key_takes_the_same_rows(spark):
     assert [r.t for r in hot.result().filter("k = 'hot'").orderBy("t").collect()] == brute(
         [(t, t) for t in times], 100, -1
     )
+
+
+def test_many_hot_keys_are_taken_by_the_batch(spark):
+    """As many keys as groups of a few rows: a task judges them together, also across batches and with null keys."""
+    rng = np.random.default_rng(3)
+    data = [(f"k{i % 400}" if i % 400 else None, int(i % 7), int(t), f"r{i}") for i, t in enumerate(rng.integers(0, 3_000_000, 12_000))]
+    df = spark.createDataFrame(data, "k string, part long, t long, id string").repartition(3)
+    plain = greedy_chain(keyed_rows(df, ["k"], ["t", "id"]), ["k", "part"], "t", "t", 20_000)
+    split = keyed_rows(df, ["k"], ["t", "id"], max_rows=10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        hot = greedy_chain(split, ["k", "part"], "t", "t", 20_000)
+        assert "FlatMapGroupsInPandas" not in hot.rows._jdf.queryExecution().toString()
+        assert rows_of(plain.result()) == rows_of(hot.result())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_groups_are_never_cut_by_a_batch():
+    table = pa.table({"k": ["a", "a", None, None, None, "c", "d", "d"], "n": list(range(8))})
+    for rows in (1, 2, 3, 5, 8):
+        parts = list(whole_groups(table.to_batches(max_chunksize=rows), ["k"]))
+        assert [n for p in parts for n in p["n"].to_pylist()] == list(range(8))
+        seen = [k for p in parts for k in set(p["k"].to_pylist())]
+        assert len(seen) == len(set(seen))
