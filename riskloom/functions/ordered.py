@@ -24,6 +24,8 @@ DEFAULT_MAX_ROWS = 250_000
 # Up to this many split points of all hot keys together are sent to every task; beyond it
 # they stay a table and are joined.
 MAX_SENT_SPLITS = 100_000
+# A row is joined with so many split points of its key at a time.
+SPLIT_FAN = 256
 _SAMPLES_PER_CHUNK = 64
 
 
@@ -196,15 +198,15 @@ def keyed_rows(
     """
     key, order = tuple(key), tuple(order)
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
-    found = counts.agg(F.count(F.lit(1)).alias("keys"), F.sum("_n").alias("n")).first()
+    found = counts.agg(F.count(F.lit(1)).alias("keys"), F.sum("_n").alias("n"), F.max("_n").alias("most")).first()
     if not found["keys"]:
         return KeyedRows(df, key, order)
 
     per_split = min(_SAMPLES_PER_CHUNK, max_rows)
-    send = math.ceil(found["n"] / max_rows) <= MAX_SENT_SPLITS
+    splits, most = math.ceil(found["n"] / max_rows), math.ceil(found["most"] / max_rows)
     hot = counts.select(*key)
     sampled = (
-        _join_on(df, hot, key, "left_semi", send)
+        _join_on(df, hot, key, "left_semi", splits <= MAX_SENT_SPLITS)
         .filter(F.pmod(F.xxhash64(*order), F.lit(max_rows // per_split)) == 0)
         .select(*key, *order)
     )
@@ -212,22 +214,45 @@ def keyed_rows(
     cuts = (
         sampled.withColumn("_rank", rank)
         .filter(F.col("_rank") % per_split == 0)
-        .groupBy(*key)
-        .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_cuts"))
+        .select(*key, F.struct(*order).alias("_cut"), (F.col("_rank") / per_split - 1).cast("int").alias("_at"))
     )
+    if most > SPLIT_FAN:
+        cuts = cut_lineage(cuts)  # read once for each level
+    # Several passes over the numbered rows follow, and finding the numbers is dearer than reading them.
+    return KeyedRows(cut_lineage(_numbered(df, cuts, key, order, most, splits)), key, order, chunked=True)
+
+
+def _numbered(df: DataFrame, cuts: DataFrame, key: Sequence[str], order: Sequence[str], most: int, splits: int) -> DataFrame:
+    """Add the chunk number: how many cuts of the key lie at or before the row.
+
+    A row meets at most ``SPLIT_FAN`` cuts at once. A key with more has levels: every ``SPLIT_FAN``-th cut
+    gives the piece of the key the row is in, and the row meets the cuts of that piece only.
+    ``most`` and ``splits`` are about the cuts of the largest key and of all keys.
+    """
+    on, piece, bits = list(key), F.lit(0), 30
+    if most > SPLIT_FAN:
+        at = F.col("_at")
+        upper = cuts.filter((at > 0) & (at % SPLIT_FAN == 0)).withColumn("_at", (at / SPLIT_FAN - 1).cast("int"))
+        df = _numbered(df, upper, key, order, most // SPLIT_FAN, splits // SPLIT_FAN)
+        df, on = df.withColumn("_piece", F.greatest(F.col(CHUNK), F.lit(0))).drop(CHUNK), [*key, "_piece"]
+        cuts, bits = cuts.withColumn("_piece", F.floor(at / SPLIT_FAN).cast("int")), SPLIT_FAN.bit_length()
+        piece = F.col("_piece")
+    table = cuts.groupBy(*on).agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
     # Few enough points are sent; more stay a stored table, and adaptive execution splits the hot keys of that join.
-    table = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema) if send else cut_lineage(cuts)
-    rows = _join_on(df, table, key, "left", send).withColumn(CHUNK, _locate("_cuts", order)).drop("_cuts")
-    return KeyedRows(rows, key, order, chunked=True)
+    send = splits <= MAX_SENT_SPLITS
+    table = df.sparkSession.createDataFrame(table.collect(), table.schema) if send else cut_lineage(table)
+    inside = _locate("_cuts", order, bits)
+    number = F.when(F.col("_cuts").isNull(), F.lit(COLD)).otherwise(piece * SPLIT_FAN + inside)
+    return _join_on(df, table, on, "left", send).withColumn(CHUNK, number).drop("_cuts", "_piece")
 
 
-def _locate(cuts: str, order: Sequence[str]) -> Column:
-    """Number of cut points at or before the row, by binary search inside the JVM."""
+def _locate(cuts: str, order: Sequence[str], bits: int) -> Column:
+    """Number of cut points, fewer than 2 ** ``bits``, at or before the row, by binary search inside the JVM."""
     here = F.struct(*order)
-    steps = F.array(*[F.lit(1 << b) for b in range(29, -1, -1)])
+    steps = F.array(*[F.lit(1 << b) for b in range(bits - 1, -1, -1)])
 
     def advance(found: Column, step: Column) -> Column:
         reached = F.get(F.col(cuts), found + step - 1)
         return F.when(reached <= here, found + step).otherwise(found)
 
-    return F.when(F.col(cuts).isNull(), F.lit(COLD)).otherwise(F.aggregate(steps, F.lit(0), advance))
+    return F.aggregate(steps, F.lit(0), advance)

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import rows_of
+from riskloom.functions import ordered
 from riskloom.functions.ordered import keyed_rows
 
 
@@ -72,3 +73,26 @@ def test_a_null_key_is_a_key_like_any_other(spark):
     rows = keyed_rows(df, ["k"], ["t", "id"], max_rows=40).history(sums={"total": F.col("w")})
     assert rows.chunked
     assert {r.id: r.total for r in rows.result().collect()} == want
+
+
+def test_a_key_of_many_chunks_meets_few_cuts_at_a_time(spark, monkeypatch):
+    """The largest array of cuts a row is joined with does not grow with the key, and the numbers stay the same."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, "hot").alias("k"), (F.col("id") * 7 % 997).alias("t"), F.col("id").cast("string").alias("id")
+    )
+    want = sorted((r.id, r._chunk) for r in keyed_rows(df, ["k"], ["t", "id"], max_rows=10).rows.collect())
+    assert max(chunk for _, chunk in want) >= 150
+    monkeypatch.setattr(ordered, "SPLIT_FAN", 4)
+    for sent in (ordered.MAX_SENT_SPLITS, 60, 0):
+        monkeypatch.setattr(ordered, "MAX_SENT_SPLITS", sent)
+        widest, create = [], type(spark).createDataFrame
+
+        def watched(self, data, *args, **kwargs):
+            widest.extend(len(r["_cuts"]) for r in data)
+            return create(self, data, *args, **kwargs)
+
+        monkeypatch.setattr(type(spark), "createDataFrame", watched)
+        rows = keyed_rows(df, ["k"], ["t", "id"], max_rows=10).rows
+        assert sorted((r.id, r._chunk) for r in rows.collect()) == want
+        assert max(widest, default=0) <= 5
+        monkeypatch.setattr(type(spark), "createDataFrame", create)
