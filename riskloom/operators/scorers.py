@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.config import (
     ACCUMULATOR_WEIGHTS,
@@ -202,10 +206,10 @@ def secondary_risk_alerts(rows: KeyedRows, config: SecondaryConfig = SecondaryCo
     """Alerts of rows with ``indicators``: float decay, reset on alert, cooldown.
 
     The decay clock restarts at the event that decays, so the state does not
-    compose in closed form. Cold identities fold in one pass. A hot identity
-    folds per chunk; chunks start from the state their predecessor ended with,
-    and are folded again until no start changes. An alert resets everything,
-    so starts settle quickly, and the result is exact at any number of rounds.
+    compose in closed form. Cold identities fold in one pass. The rows of a
+    hot identity pass once through one task in order, which keeps nothing but
+    the state and tells the one each chunk starts from; the chunks then fold
+    in parallel.
     """
     key, order = list(rows.key), list(rows.order)
     event = F.struct(*order, "account_id", "indicators")
@@ -217,20 +221,8 @@ def secondary_risk_alerts(rows: KeyedRows, config: SecondaryConfig = SecondaryCo
 
     cold = grouped.filter(F.col(CHUNK) < 0).withColumn("start", empty)
     hot = cut_lineage(grouped.filter(F.col(CHUNK) >= 0))
-    before = Window.partitionBy(*key).orderBy(CHUNK)
-    ends = cut_lineage(hot.select(*parts, empty.alias("start"), _secondary_fold(empty, config)["state"].alias("end")))
-    while True:
-        starts = ends.select(*parts, F.col("start").alias("old"), "end", F.coalesce(F.lag("end").over(before), empty).alias("start"))
-        starts = cut_lineage(starts)
-        moved = starts.filter(~F.col("start").eqNullSafe(F.col("old")))
-        n = moved.count()
-        if not n:
-            break
-        again = _from_states(hot, moved.select(*parts, "start"), parts, n)
-        again = again.select(*parts, "start", _secondary_fold(F.col("start"), config)["state"].alias("end"))
-        kept = starts.filter(F.col("start").eqNullSafe(F.col("old"))).select(*parts, "start", "end")
-        ends = cut_lineage(kept.unionByName(again))
-    settled = _from_states(hot, ends.select(*parts, "start"), parts, ends.count())
+    starts = cut_lineage(_walked_starts(hot, key, order, config))
+    settled = _from_states(hot, starts, parts, starts.count())
     return _secondary_output(cold.unionByName(settled), config)
 
 
@@ -239,6 +231,53 @@ def _from_states(chunks: DataFrame, states: DataFrame, parts: list[str], n: int)
     return chunks.join(F.broadcast(states) if n <= SENT_STATES else states, parts)
 
 
+def _walked_starts(chunks: DataFrame, key: list[str], order: list[str], config: SecondaryConfig) -> DataFrame:
+    """The state at the start of every chunk; the rows of an identity pass one after the other through one task."""
+    parts = [*key, CHUNK]
+    rows = chunks.select(*parts, F.inline("events")).select(*parts, *order, "indicators")
+    keys = [f for f in rows.schema.fields if f.name in parts]
+    state = "score double, decayed_at bigint, alerted_at bigint, listed array<string>"
+    schema = T.StructType([*keys, *T.StructType.fromDDL(state)])
+    types = {"score": pa.float64(), "decayed_at": pa.int64(), "alerted_at": pa.int64(), "listed": pa.list_(pa.string())}
+    fresh = (0.0, None, None, [])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, chunk, now = None, None, fresh
+        for batch in batches:
+            begins, states = [], []
+            values = [batch.column(name).to_pylist() for name in (*parts, "event_time", "indicators")]
+            for i, (*who, number, t, names) in enumerate(zip(*values)):
+                if who != here:
+                    here, chunk, now = who, None, fresh
+                if number != chunk:
+                    chunk = number
+                    begins.append(i)
+                    states.append(now)
+                now = _secondary_step(now, t, names, config)
+            found = pa.Table.from_batches([batch]).select(parts).take(pa.array(begins, pa.int64()))
+            for at, (name, kind) in enumerate(types.items()):
+                found = found.append_column(name, pa.array([s[at] for s in states], kind))
+            yield from found.select(schema.names).to_batches()
+
+    walked = rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(walk, schema)
+    return walked.select(*parts, F.struct(*types).cast(_PROFILE).alias("start"))
+
+
+def _secondary_step(state: tuple, t: int, names: list[str], config: SecondaryConfig) -> tuple:
+    """One step of ``_secondary_fold`` without its alerts."""
+    score, clock, alerted, listed = state
+    halvings = 0 if clock is None else min((t - clock) // config.decay, config.max_halvings)
+    if halvings > 0:
+        score /= 2.0**halvings
+    if clock is None or halvings > 0:
+        clock = t
+    for name in names:
+        score += config.weights.get(name, 0)
+    if score >= config.alert_from and (alerted is None or t - alerted >= config.cooldown):
+        return 0.0, clock, t, []
+    return score, clock, alerted, [*listed, *names][-config.listed_indicators :]
+
+
 def _secondary_fold(start: Column, config: SecondaryConfig) -> Column:
     lookup = F.create_map(*[F.lit(x) for pair in config.weights.items() for x in pair])
     alert_type = "array<struct<event_time:bigint,account_id:string,score:double,listed:array<string>>>"

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.config import ACCUMULATOR_WEIGHTS, CLEARING_WEIGHTS, SECONDARY_WEIGHTS, SecondaryConfig, secondary_indicators
+from riskloom.functions.ordered import keyed_rows
 from riskloom.operators import scorers
 from riskloom.operators.indicators import derive_indicators, identity_rows
 from test_scoring import frame, random_events
@@ -126,3 +127,19 @@ def test_secondary_identity_order(spark):
 def test_login_success_fallback(spark):
     df = spark.createDataFrame([(None, "FAILED"), (None, "OK"), (None, None), (False, "OK")], "success boolean, status string")
     assert [r[0] for r in df.select(scorers.login_succeeded(F.col("success"), F.col("status"))).collect()] == [False, True, True, False]
+
+
+def test_a_dense_identity_takes_no_rounds(spark, monkeypatch):
+    """Every alert time hangs on the one before, so starts do not settle; the passes must not grow with the chunks."""
+    at = F.col("id") * 40 + F.col("id") * F.col("id") % 37
+    rows = spark.range(1200).select(
+        F.concat(F.lit("ip:"), F.col("id") % 2).alias("identity_key"), at.alias("event_time"), F.col("id").cast("string").alias("event_id"),
+        F.lit(None).cast("string").alias("account_id"), F.array(F.lit("SUSPICIOUS_API_PATTERN")).alias("indicators"),
+    )
+    config, cuts = SecondaryConfig(decay=5000, cooldown=2500), []
+    monkeypatch.setattr(scorers, "cut_lineage", lambda df, real=scorers.cut_lineage: cuts.append(1) or real(df))
+    order = ["event_time", "event_id"]
+    want = scorers.secondary_risk_alerts(keyed_rows(rows, ["identity_key"], order), config)
+    got = scorers.secondary_risk_alerts(keyed_rows(rows, ["identity_key"], order, 20), config)
+    assert len(cuts) <= 4
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
