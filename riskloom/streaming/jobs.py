@@ -28,6 +28,7 @@ from riskloom.streaming.processors import (
 )
 from riskloom.streaming.revisions import REVISED, RevisingRiskProcessor
 
+FILE_ROWS = 200_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -54,7 +55,7 @@ def stream_risk_alerts(
     hits = (
         with_watermark(_profile_rows(events), "event_time", delay)
         .groupBy("identity_key")
-        .transformWithStateInPandas(
+        .transformWithState(
             RiskProcessor(indicators, scores, horizon), ALERT_INPUT, outputMode="append", timeMode="eventTime"
         )
     )
@@ -84,7 +85,7 @@ def stream_revised_alerts(
     hits = (
         with_watermark(_profile_rows(events), "event_time", delay)
         .groupBy("identity_key")
-        .transformWithStateInPandas(
+        .transformWithState(
             RevisingRiskProcessor(indicators, scores, horizon), REVISED, outputMode="update", timeMode="eventTime"
         )
     )
@@ -107,7 +108,7 @@ def stream_seen_before(events: DataFrame, history: DataFrame | None = None, beyo
         known.filter(F.col("event_time").isNotNull())
         .select("identity_key", "event_id", "event_time")
         .groupBy("identity_key")
-        .transformWithStateInPandas(
+        .transformWithState(
             FirstSeenProcessor(beyond),
             "event_id string, identity_key string, event_time long, seen_beyond_state_window boolean",
             outputMode="append",
@@ -145,7 +146,7 @@ def stream_account_enrichment(
     found = (
         with_watermark(changes.unionByName(asks), "event_time", delay)
         .groupBy("from_account_id")
-        .transformWithStateInPandas(
+        .transformWithState(
             OwnerProcessor(early),
             "event_id string, from_account_id string, event_time long, customer_id string",
             outputMode="update" if early else "append",
@@ -190,7 +191,7 @@ def stream_timeline(
     joined = (
         with_watermark(meet, "event_time", delay)
         .groupBy("account_id")
-        .transformWithStateInPandas(
+        .transformWithState(
             AccountOwnerProcessor(hold),
             "customer_id string, event_time long, row_id string, amount double",
             outputMode="append",
@@ -215,7 +216,7 @@ def stream_takeovers(timeline: DataFrame, within: int = HOUR, delay: str = "5 se
     found = (
         with_watermark(timeline, "event_time", delay)
         .groupBy("customer_id")
-        .transformWithStateInPandas(
+        .transformWithState(
             TakeoverProcessor(within),
             "customer_id string, initial_failed_login long, beneficiary_added_time long, "
             "exfiltration_transfer_time long, stolen_funds double",
@@ -301,7 +302,7 @@ def stream_incident_states(
     states = (
         with_watermark(timeline, "at", delay)
         .groupBy("identity_key")
-        .transformWithStateInPandas(
+        .transformWithState(
             IncidentProcessor(gap, keep, ACTIVE),
             f"identity_key string, {INCIDENT_STATE}",
             outputMode="update",
@@ -397,20 +398,31 @@ def drain_latest(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     return last.select("_row.*")
 
 
-def replayed(df: DataFrame, time: str, cuts: list[int], name: str, spread: int = 0) -> DataFrame:
+def replayed(df: DataFrame, time: str, cuts: list[int], name: str, spread: int = 0, file_rows: int = FILE_ROWS) -> DataFrame:
     """A table as a stream of ``len(cuts) + 1`` micro-batches: one per stretch of arrival times between cuts.
 
     A row arrives up to ``spread`` milliseconds after its time, by a hash of the row, so rows come out of order.
-    Tables replayed with the same cuts move on together.
+    Tables replayed with the same cuts move on together. A micro-batch has a file for about ``file_rows`` rows.
     """
     spark, root = df.sparkSession, scratch(df.sparkSession, name)
     delay = F.pmod(F.xxhash64(*df.columns), F.lit(spread)) if spread else F.lit(0)
     slot = sum((F.col(time) + delay >= c).cast("int") for c in cuts)
-    staged = df.withColumn("_slot", F.coalesce(slot, F.lit(0)))
+    # Worked out once by all tasks; a micro-batch then reads its own rows only.
+    staged = df.withColumn("_slot", F.coalesce(slot, F.lit(0)).cast("int"))
+    staged.write.partitionBy("_slot").parquet(f"{root}/rows")
+    schema = T.StructType([*df.schema.fields, T.StructField("_slot", T.IntegerType())])
+    staged = spark.read.schema(schema).parquet(f"{root}/rows")
+    most = staged.groupBy("_slot").count().agg(F.max("count")).first()[0] or 0
+    files = -(-most // file_rows) or 1
     for k in range(len(cuts) + 1):
-        # One file per micro-batch, written one after the other: a stream reads files by age.
-        staged.filter(F.col("_slot") == k).drop("_slot").coalesce(1).write.mode("append").parquet(root)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(root)
+        # As many files for every micro-batch, written one after the other: a stream reads files by age.
+        own = staged.filter(F.col("_slot") == k).drop("_slot")
+        own = own.coalesce(1) if files == 1 else own.repartition(files)
+        own.write.parquet(f"{root}/feed/{k}")
+        # A task without rows writes no file.
+        for _ in range(files - len(spark.read.schema(df.schema).parquet(f"{root}/feed/{k}").inputFiles())):
+            own.limit(0).coalesce(1).write.mode("append").parquet(f"{root}/feed/{k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/feed/*")
 
 
 def late_rows(events: DataFrame, time: str, delay: int, name: str = "late") -> DataFrame:

@@ -3,15 +3,20 @@
 Rows of a micro-batch reach a key in no order, so each processor sorts its
 slice by (event time, id) first. State is kept in the state store, is bounded
 by the windows of the rules, and is dropped by event-time timers.
+
+Most keys have a row or two in a micro-batch, so the processors take and give
+rows: a data frame per key costs far more than the work on it. State is only
+asked for what the rows need.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, fields
 
-import numpy as np
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskloom.config import IndicatorConfig, ScoreConfig
@@ -38,24 +43,11 @@ ALERT_INPUT = (
     "identity_key string, customer_id string, account_id string, event_id string, event_time long, indicator string, "
     "indicators array<string>, contributing array<string>, score long"
 )
-ALERT_INPUT_COLUMNS = [column.split()[0] for column in ALERT_INPUT.split(", ")]
-
+ALERT_INPUT_ROW = Row(*[column.split()[0] for column in ALERT_INPUT.split(", ")])
 
-def _plain(value):
-    """Python value of a cell; missing of any kind is None."""
-    if isinstance(value, (list, tuple)):
-        return list(value)
-    if hasattr(value, "tolist"):
-        value = value.tolist()
-    if isinstance(value, list):
-        return value
-    return None if value is None or value != value else value
 
-
-def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> list[dict]:
-    rows = [row for pdf in batches for row in pdf.to_dict("records")]
-    rows = [{k: _plain(v) for k, v in row.items()} for row in rows]
-    return sorted(rows, key=lambda r: tuple("" if r[c] is None else r[c] for c in by))
+def _in_order(rows: Iterable[Row], by: list[str]) -> list[dict]:
+    return sorted((row.asDict() for row in rows), key=lambda r: tuple("" if r[c] is None else r[c] for c in by))
 
 
 class RiskProcessor(StatefulProcessor):
@@ -74,7 +66,7 @@ class RiskProcessor(StatefulProcessor):
         values = self.profile.get()
         if values is None:
             return None
-        return Profile(**{f.name: _plain(v) for f, v in zip(fields(Profile), values)})
+        return Profile(**{f.name: v for f, v in zip(fields(Profile), values)})
 
     def _repeated(self, key: str | None, t: int) -> bool:
         if key is None:
@@ -85,10 +77,10 @@ class RiskProcessor(StatefulProcessor):
         self.seen.updateValue((key,), (t,))
         return False
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         profile, out = self._load(), []
         for e in _in_order(rows, ["event_time", "event_id"]):
-            t = e["event_time"] = int(e["event_time"])
+            t = e["event_time"]
             if self._repeated(e.get("dedup_key"), t):
                 # A repeat changes nothing but keeps the profile alive.
                 if profile is not None:
@@ -96,22 +88,11 @@ class RiskProcessor(StatefulProcessor):
                 continue
             profile, fired, alerts = advance(profile, e, self.indicators, self.scores)
             if alerts:
-                out.append(
-                    {
-                        "identity_key": key[0],
-                        "customer_id": e["customer_id"],
-                        "account_id": e["account_id"],
-                        "event_id": e["event_id"],
-                        "event_time": t,
-                        "indicator": e["indicator"],
-                        "indicators": fired,
-                        "contributing": list(profile.listed),
-                        "score": profile.score,
-                    }
-                )
+                who = key[0], e["customer_id"], e["account_id"], e["event_id"], t, e["indicator"]
+                out.append(ALERT_INPUT_ROW(*who, fired, list(profile.listed), profile.score))
         if profile is not None:
             self._store(profile)
-        yield pd.DataFrame(out, columns=ALERT_INPUT_COLUMNS)
+        return iter(out)
 
     def _store(self, profile: Profile) -> None:
         # One timer per identity is enough: it looks at the last event when it fires.
@@ -120,7 +101,7 @@ class RiskProcessor(StatefulProcessor):
             self.handle.registerTimer(profile.timer)
         self.profile.update(tuple(asdict(profile).values()))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         profile, now = self._load(), expiredTimerInfo.getExpiryTimeInMs()
         for seen_key, (t,) in list(self.seen.iterator()):
             if now - int(t) > self.horizon:
@@ -135,10 +116,10 @@ class RiskProcessor(StatefulProcessor):
             else:
                 profile.timer = None
                 self.profile.update(tuple(asdict(profile).values()))
-        yield pd.DataFrame(columns=ALERT_INPUT_COLUMNS)
+        return iter(())
 
 
-FOUND_COLUMNS = ["event_id", "from_account_id", "event_time", "customer_id"]
+FOUND = Row("event_id", "from_account_id", "event_time", "customer_id")
 
 
 class OwnerProcessor(StatefulProcessor):
@@ -161,8 +142,7 @@ class OwnerProcessor(StatefulProcessor):
         held = self.versions.get()
         if held is None:
             return [], None
-        times, ties, owners = (_plain(v) or [] for v in held[:3])
-        return list(zip(times, ties, owners)), _plain(held[3])
+        return list(zip(*held[:3])), held[3]
 
     def _store(self, versions: list, timer: int | None, due: int | None) -> None:
         """Keep versions with one timer, the earliest time at which something leaves the state."""
@@ -178,69 +158,72 @@ class OwnerProcessor(StatefulProcessor):
             self.versions.clear()
 
     @staticmethod
-    def _owners(versions: list, times: np.ndarray) -> list:
-        at = np.searchsorted(np.array([v[0] for v in versions], dtype=np.int64), times, side="right")
-        known = np.array([None, *(v[2] for v in versions)], dtype=object)
-        return list(known[at])
+    def _owned(versions: list, asks: list[tuple]) -> list[tuple]:
+        """Lookups (event_time, event_id, customer_id) with the owner as of each."""
+        times = [v[0] for v in versions]
+        at = (bisect_right(times, ask[0]) for ask in asks)
+        return [(t, event, versions[k - 1][2] if k else None) for (t, event, _), k in zip(asks, at)]
 
-    def _waiting(self) -> pd.DataFrame:
-        rows = list(self.asks.get()) if self.asks.exists() else []
-        return pd.DataFrame([tuple(r) for r in rows], columns=["event_time", "event_id", "customer_id"])
+    def _waiting(self) -> list[tuple]:
+        return [tuple(r) for r in self.asks.get()] if self.asks.exists() else []
 
-    def _answers(self, key, asks: pd.DataFrame) -> pd.DataFrame:
-        return asks.assign(from_account_id=key[0])[FOUND_COLUMNS]
+    @staticmethod
+    def _answers(key, asks: list[tuple]) -> Iterator[Row]:
+        return iter([FOUND(event, key[0], t, who) for t, event, who in asks])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         versions, timer = self._load()
-        changes, asked = [], []
-        for pdf in rows:
-            is_change = pdf["kind"] == 0
-            new = pdf[is_change]
-            changes += zip(new["event_time"].tolist(), new["event_id"].tolist(), (_plain(o) for o in new["customer_id"]))
-            asked.append(pdf.loc[~is_change, ["event_time", "event_id", "customer_id"]])
-        asks = pd.concat(asked, ignore_index=True)
-        if changes:
-            versions = sorted([*versions, *changes], key=lambda v: v[:2])
-        if self.early and changes and self.asks.exists():
-            yield self._revised(key, versions, min(c[0] for c in changes))
-        if len(asks):
-            asks["customer_id"] = self._owners(versions, asks["event_time"].to_numpy(np.int64)) if self.early else None
-            self.asks.appendList(list(asks.itertuples(index=False, name=None)))
-        due = [int(asks["event_time"].min())] if len(asks) else []
-        self._store(versions, timer, min([*due, *(v[0] for v in versions[1:])], default=None))
-        yield self._answers(key, asks if self.early else asks[:0])
-
-    def _revised(self, key, versions: list, since: int) -> pd.DataFrame:
+        changes, asks = [], []
+        for r in rows:
+            if r["kind"] == 0:
+                changes.append((r["event_time"], r["event_id"], r["customer_id"]))
+            else:
+                asks.append((r["event_time"], r["event_id"], None))
+        told = []
+        # A lookup that waits has a timer.
+        if self.early and changes and timer is not None:
+            told = self._revised(versions := self._merged(versions, changes), min(c[0] for c in changes))
+        elif changes:
+            versions = self._merged(versions, changes)
+        if asks:
+            asks = self._owned(versions, asks) if self.early else asks
+            self.asks.appendList(asks)
+        self._store(versions, timer, min([*(a[0] for a in asks), *(v[0] for v in versions[1:])], default=None))
+        return self._answers(key, told + asks if self.early else [])
+
+    @staticmethod
+    def _merged(versions: list, changes: list) -> list:
+        return sorted([*versions, *changes], key=lambda v: v[:2])
+
+    def _revised(self, versions: list, since: int) -> list[tuple]:
         """Earlier lookups whose answer the changes from ``since`` on have altered."""
         held = self._waiting()
-        owners = pd.Series(self._owners(versions, held["event_time"].to_numpy(np.int64)), index=held.index, dtype=object)
-        other = [t >= since and a != _plain(b) for t, a, b in zip(held["event_time"], owners, held["customer_id"])]
-        if any(other):
-            held["customer_id"] = owners
-            self.asks.put(list(held.itertuples(index=False, name=None)))
-        return self._answers(key, held[np.array(other, dtype=bool)])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = self._owned(versions, held)
+        other = [b for a, b in zip(held, now) if b[0] >= since and a[2] != b[2]]
+        if other:
+            self.asks.put(now)
+        return other
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
         versions, held = self._load()[0], self._waiting()
-        done = (held["event_time"] <= passed).to_numpy(bool)
-        final, later = held[done], held[~done]
-        if len(final):
-            if len(later):
-                self.asks.put(list(later.itertuples(index=False, name=None)))
+        final, later = [a for a in held if a[0] <= passed], [a for a in held if a[0] > passed]
+        if final:
+            if later:
+                self.asks.put(later)
             else:
                 self.asks.clear()
-        answers = final[:0]
-        if not self.early and len(final):
-            answers = final.assign(customer_id=self._owners(versions, final["event_time"].to_numpy(np.int64)))
+        answers = [] if self.early else self._owned(versions, final)
         # Rows still to come are above the watermark: of the versions below it they can see the last one only.
         below = sum(v[0] <= passed for v in versions)
         versions = versions[max(below - 1, 0) :]
         if len(versions) == 1 and versions[0][0] <= passed and versions[0][2] is None:
             versions = []
-        due = [int(later["event_time"].min())] if len(later) else []
-        self._store(versions, None, min([*due, *(v[0] for v in versions[1:])], default=None))
-        yield self._answers(key, answers)
+        self._store(versions, None, min([*(a[0] for a in later), *(v[0] for v in versions[1:])], default=None))
+        return self._answers(key, answers)
+
+
+SEEN = Row("event_id", "identity_key", "event_time", "seen_beyond_state_window")
 
 
 class FirstSeenProcessor(StatefulProcessor):
@@ -255,23 +238,21 @@ class FirstSeenProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first", "t long")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.first.update((int(initialState["first"].min()),))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.first.update((initialState["first"],))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # A row of the same micro-batch that lies beyond an event is in the minimum, one that does not changes nothing.
-        pdf = pd.concat(list(rows), ignore_index=True)
-        times = pdf["event_time"].to_numpy(np.int64)
-        first, held = int(times.min()), self.first.get()
-        if held is None or first < int(held[0]):
+        new = [(r["event_id"], r["event_time"]) for r in rows]
+        first, held = min(t for _, t in new), self.first.get()
+        if held is None or first < held[0]:
             self.first.update((first,))
         else:
-            first = int(held[0])
-        seen = first < times - self.beyond
-        yield pd.DataFrame({"event_id": pdf["event_id"], "identity_key": key[0], "event_time": times, "seen_beyond_state_window": seen})
+            first = held[0]
+        return iter([SEEN(event, key[0], t, first < t - self.beyond) for event, t in new])
 
 
-OWNED_COLUMNS = ["customer_id", "event_time", "row_id", "amount"]
+OWNED = Row("customer_id", "event_time", "row_id", "amount")
 
 
 class AccountOwnerProcessor(StatefulProcessor):
@@ -291,48 +272,45 @@ class AccountOwnerProcessor(StatefulProcessor):
         self.timer = handle.getValueState("timer", "t long")
 
     @staticmethod
-    def _joined(owners: dict, moved: pd.DataFrame) -> pd.DataFrame:
-        parts = [moved.assign(customer_id=who) for who, n in owners.items() for _ in range(n)]
-        return pd.concat(parts)[OWNED_COLUMNS] if parts else pd.DataFrame(columns=OWNED_COLUMNS)
-
-    def _held(self) -> pd.DataFrame:
-        rows = list(self.moved.get()) if self.moved.exists() else []
-        return pd.DataFrame([tuple(r) for r in rows], columns=OWNED_COLUMNS[1:])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = {k[0]: int(v[0]) for k, v in self.owners.iterator()}
-        new, arrived = {}, []
-        for pdf in rows:
-            moves = pdf["kind"] == 1
-            for who, n in pdf.loc[~moves, "customer_id"].value_counts().items():
-                new[who] = new.get(who, 0) + int(n)
-            arrived.append(pdf.loc[moves, OWNED_COLUMNS[1:]])
-        arrived = pd.concat(arrived, ignore_index=True)
+    def _joined(owners: dict, moved: list[tuple]) -> list[Row]:
+        return [OWNED(who, *move) for who, n in owners.items() for _ in range(n) for move in moved]
+
+    def _held(self) -> list[tuple]:
+        return [tuple(r) for r in self.moved.get()] if self.moved.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new, arrived, out = Counter(), [], []
+        for r in rows:
+            if r["kind"] == 1:
+                arrived.append((r["event_time"], r["row_id"], r["amount"]))
+            else:
+                new[r["customer_id"]] += 1
         if new:
-            yield self._joined(new, self._held())
+            out += self._joined(new, self._held())
             for who, n in new.items():
-                known[who] = known.get(who, 0) + n
-                self.owners.updateValue((who,), (known[who],))
-        if len(arrived):
-            self.moved.appendList(list(arrived.itertuples(index=False, name=None)))
+                before = self.owners.getValue((who,))
+                self.owners.updateValue((who,), ((before[0] if before else 0) + n,))
+        if arrived:
+            self.moved.appendList(arrived)
             if not self.timer.exists():
-                self._wait(int(arrived["event_time"].min()))
-            yield self._joined(known, arrived)
+                self._wait(min(a[0] for a in arrived))
+            out += self._joined({k[0]: v[0] for k, v in self.owners.iterator()}, arrived)
+        return iter(out)
 
     def _wait(self, since: int) -> None:
         self.handle.registerTimer(since + self.hold)
         self.timer.update((since + self.hold,))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held, passed = self._held(), timerValues.getCurrentWatermarkInMs()
-        rest = held[held["event_time"] + self.hold > passed]
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rest = [m for m in self._held() if m[0] + self.hold > passed]
         self.timer.clear()
-        if len(rest):
-            self.moved.put(list(rest.itertuples(index=False, name=None)))
-            self._wait(int(rest["event_time"].min()))
+        if rest:
+            self.moved.put(rest)
+            self._wait(min(m[0] for m in rest))
         else:
             self.moved.clear()
-        yield pd.DataFrame(columns=OWNED_COLUMNS)
+        return iter(())
 
 
 INCIDENT_STATE = (
@@ -340,6 +318,7 @@ INCIDENT_STATE = (
     "last_alert_at long, updated_at long, engine_sources array<string>, assigned_to string, version long"
 )
 INCIDENT_COLUMNS = [column.split()[0] for column in INCIDENT_STATE.split(", ")]
+INCIDENT = Row("identity_key", *INCIDENT_COLUMNS)
 
 
 class IncidentProcessor(StatefulProcessor):
@@ -356,30 +335,26 @@ class IncidentProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("incident", INCIDENT_STATE + ", timer long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.state.get()
-        values = None if held is None else [_plain(v) for v in held]
-        now, timer = (None, None) if values is None else (dict(zip(INCIDENT_COLUMNS, values)), values[-1])
+        now, timer = (None, None) if held is None else (dict(zip(INCIDENT_COLUMNS, held)), held[-1])
         if now is not None and now["updated_at"] + self.keep <= timerValues.getCurrentWatermarkInMs():
             now = None  # its timer is due in this micro-batch
         done = []
-        for pdf in rows:
-            pdf = pdf.sort_values(["at", "rank", "row_id"])
-            columns = [pdf[c].tolist() for c in ("at", "kind", "risk_score", "indicator", "engine_source", "new_status", "assigned_to")]
-            for at, kind, score, indicator, engine, status, who in zip(*columns):
-                if kind == "alert":
-                    now, before = self._alert(now, int(at), score, indicator, engine)
-                    if before is not None:
-                        done.append(before)
-                elif now is not None:
-                    self._change(now, int(at), kind, _plain(status), _plain(who))
+        for r in _in_order(rows, ["at", "rank", "row_id"]):
+            if r["kind"] == "alert":
+                now, before = self._alert(now, r["at"], r["risk_score"], r["indicator"], r["engine_source"])
+                if before is not None:
+                    done.append(before)
+            elif now is not None:
+                self._change(now, r["at"], r["kind"], r["new_status"], r["assigned_to"])
         if now is not None:
             done.append(now)
             if timer is None:
                 timer = now["updated_at"] + self.keep
                 self.handle.registerTimer(timer)
             self.state.update((*now.values(), timer))
-        yield pd.DataFrame([(key[0], *i.values()) for i in done], columns=["identity_key", *INCIDENT_COLUMNS])
+        return iter([INCIDENT(key[0], *i.values()) for i in done])
 
     def _alert(self, now, at, score, indicator, engine) -> tuple[dict, dict | None]:
         """The incident the alert is in, and the one before where it opens another."""
@@ -402,17 +377,16 @@ class IncidentProcessor(StatefulProcessor):
             now["status"] = "INVESTIGATING" if now["status"] == "OPEN" else now["status"]
         now["updated_at"], now["version"] = max(now["updated_at"], at), now["version"] + 1
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self.state.get()
         if held is not None:
-            values = [_plain(v) for v in held]
-            last = values[INCIDENT_COLUMNS.index("updated_at")] + self.keep
+            last = held[INCIDENT_COLUMNS.index("updated_at")] + self.keep
             if last > expiredTimerInfo.getExpiryTimeInMs():
                 self.handle.registerTimer(last)
-                self.state.update((*values[:-1], last))
+                self.state.update((*held[:-1], last))
             else:
                 self.state.clear()
-        yield pd.DataFrame(columns=["identity_key", *INCIDENT_COLUMNS])
+        return iter(())
 
 
 class TakeoverProcessor(StatefulProcessor):
@@ -431,13 +405,12 @@ class TakeoverProcessor(StatefulProcessor):
             "open", "waiting array<long>, armed array<long>, added array<long>, timer long"
         )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         stored = self.state.get()
-        waiting, armed, added = ([], [], []) if stored is None else [_plain(v) or [] for v in stored[:3]]
-        timer = None if stored is None else _plain(stored[3])
+        waiting, armed, added, timer = ([], [], [], None) if stored is None else stored
         out, t = [], 0
         for r in _in_order(rows, ["event_time", "row_id"]):
-            t = int(r["event_time"])
+            t = r["event_time"]
             waiting = [f for f in waiting if t - f < self.within]
             live = [i for i, f in enumerate(armed) if t - f < self.within]
             armed, added = [armed[i] for i in live], [added[i] for i in live]
@@ -448,11 +421,11 @@ class TakeoverProcessor(StatefulProcessor):
                 waiting = []
             elif r["event_type"] == "TRANSFER":
                 if armed:
-                    out.append((key[0], armed[0], added[0], t, r["amount"]))
+                    out.append(TAKEOVER_ROW(key[0], armed[0], added[0], t, r["amount"]))
                     waiting = []
                 armed, added = [], []
         self._store(waiting, armed, added, timer, t)
-        yield pd.DataFrame(out, columns=TAKEOVER_COLUMNS)
+        return iter(out)
 
     def _store(self, waiting, armed, added, timer, t) -> None:
         if timer is None and (waiting or armed):
@@ -463,20 +436,14 @@ class TakeoverProcessor(StatefulProcessor):
         else:
             self.state.update((waiting, armed, added, timer))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now, stored = expiredTimerInfo.getExpiryTimeInMs(), self.state.get()
         if stored is not None:
-            waiting, armed, added = [_plain(v) or [] for v in stored[:3]]
+            waiting, armed, added, _ = stored
             waiting = [f for f in waiting if now - f < self.within]
             live = [i for i, f in enumerate(armed) if now - f < self.within]
             self._store(waiting, [armed[i] for i in live], [added[i] for i in live], None, now)
-        yield pd.DataFrame(columns=TAKEOVER_COLUMNS)
+        return iter(())
 
 
-TAKEOVER_COLUMNS = [
-    "customer_id",
-    "initial_failed_login",
-    "beneficiary_added_time",
-    "exfiltration_transfer_time",
-    "stolen_funds",
-]
+TAKEOVER_ROW = Row("customer_id", "initial_failed_login", "beneficiary_added_time", "exfiltration_transfer_time", "stolen_funds")

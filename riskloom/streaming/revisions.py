@@ -11,11 +11,11 @@ import copy
 from collections.abc import Iterator
 from dataclasses import asdict, fields
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskloom.config import IndicatorConfig, ScoreConfig
-from riskloom.streaming.processors import ALERT_INPUT, PROFILE_STATE, _in_order, _plain
+from riskloom.streaming.processors import ALERT_INPUT, PROFILE_STATE, _in_order
 from riskloom.streaming.profile import Profile, advance
 
 HELD = (
@@ -26,7 +26,7 @@ HELD = (
 HELD_COLUMNS = [column.split()[0] for column in HELD.split(", ")]
 SAID = ("score", "indicators", "contributing")  # the alert given for a held row; score is null without one
 REVISED = f"{ALERT_INPUT}, revision long, withdrawn boolean"
-REVISED_COLUMNS = [column.split()[0] for column in REVISED.split(", ")]
+REVISED_ROW = Row(*[column.split()[0] for column in REVISED.split(", ")])
 
 
 def _order(row: dict) -> tuple:
@@ -51,7 +51,7 @@ class RevisingRiskProcessor(StatefulProcessor):
     @staticmethod
     def _profile(state) -> Profile | None:
         values = state.get()
-        return None if values is None else Profile(**{f.name: _plain(v) for f, v in zip(fields(Profile), values)})
+        return None if values is None else Profile(**{f.name: v for f, v in zip(fields(Profile), values)})
 
     @staticmethod
     def _keep_profile(state, profile: Profile | None) -> None:
@@ -62,11 +62,11 @@ class RevisingRiskProcessor(StatefulProcessor):
 
     def _held_rows(self) -> list[dict]:
         rows = list(self.held.get()) if self.held.exists() else []
-        return [dict(zip(HELD_COLUMNS, map(_plain, row))) for row in rows]
+        return [dict(zip(HELD_COLUMNS, row)) for row in rows]
 
     def _clock(self) -> list:
         values = self.clock.get()
-        return [None, 0, 0] if values is None else [_plain(v) for v in values]
+        return [None, 0, 0] if values is None else list(values)
 
     def _wake(self, clock: list, due: int) -> None:
         """One timer per identity, at the earliest time at which something is due."""
@@ -102,11 +102,13 @@ class RevisingRiskProcessor(StatefulProcessor):
             said.append((profile.score, fired, list(profile.listed)) if alerts else None)
         return profile, said
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         new = _in_order(rows, ["event_time", "event_id"])
         for e in new:
-            e.update(event_time=int(e["event_time"]), **dict.fromkeys(SAID))
-        held, clock = self._held_rows(), self._clock()
+            e.update(dict.fromkeys(SAID))
+        # Rows that are held have a clock.
+        clock = self.clock.get()
+        held, clock = ([], [None, 0, 0]) if clock is None else (self._held_rows(), list(clock))
         if not held or _order(new[0]) >= _order(held[-1]):
             judged = new
             recent = {e["dedup_key"]: e["event_time"] for e in held if e["dedup_key"] is not None and not e["repeated"]}
@@ -135,9 +137,9 @@ class RevisingRiskProcessor(StatefulProcessor):
         self._keep_profile(self.head, profile)
         self._wake(clock, min(e["event_time"] for e in new))
         self.clock.update(tuple(clock))
-        yield pd.DataFrame(list(changed.values()), columns=REVISED_COLUMNS)
+        return iter([REVISED_ROW(*[e[c] for c in REVISED_ROW]) for e in changed.values()])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """Rows the watermark has passed are settled: nothing can come before them any more."""
         passed, clock, held = timerValues.getCurrentWatermarkInMs(), self._clock(), self._held_rows()
         clock[0] = None
@@ -169,4 +171,4 @@ class RevisingRiskProcessor(StatefulProcessor):
             elif not silent:
                 self._wake(clock, profile.last_t + self.keep)
             self.clock.update(tuple(clock))
-        yield pd.DataFrame(columns=REVISED_COLUMNS)
+        return iter(())
