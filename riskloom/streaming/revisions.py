@@ -8,6 +8,7 @@ rows be judged again from the settled profile, and what that alters is emitted a
 from __future__ import annotations
 
 import copy
+import pickle
 from collections.abc import Iterator
 from dataclasses import asdict, fields
 
@@ -18,12 +19,10 @@ from riskloom.config import IndicatorConfig, ScoreConfig
 from riskloom.streaming.processors import ALERT_INPUT, PROFILE_STATE, _in_order
 from riskloom.streaming.profile import Profile, advance
 
-HELD = (
-    "event_time long, event_id string, indicator string, source_table string, device_id string, country string, "
-    "login_success boolean, amount double, to_account_id string, customer_id string, account_id string, dedup_key string, "
-    "repeated boolean, score long, indicators array<string>, contributing array<string>"
-)
-HELD_COLUMNS = [column.split()[0] for column in HELD.split(", ")]
+HELD = "rows binary"  # a block of rows: handing over every row of a key by itself costs more than judging it
+HELD_COLUMNS = [*"event_time event_id indicator source_table device_id country login_success amount to_account_id customer_id".split(),
+                *"account_id dedup_key repeated score indicators contributing".split()]
+HELD_ROWS = 1000
 SAID = ("score", "indicators", "contributing")  # the alert given for a held row; score is null without one
 REVISED = f"{ALERT_INPUT}, revision long, withdrawn boolean"
 REVISED_ROW = Row(*[column.split()[0] for column in REVISED.split(", ")])
@@ -61,8 +60,13 @@ class RevisingRiskProcessor(StatefulProcessor):
             state.update(tuple(asdict(profile).values()))
 
     def _held_rows(self) -> list[dict]:
-        rows = list(self.held.get()) if self.held.exists() else []
-        return [dict(zip(HELD_COLUMNS, row)) for row in rows]
+        blocks = list(self.held.get()) if self.held.exists() else []
+        return [dict(zip(HELD_COLUMNS, row)) for (block,) in blocks for row in pickle.loads(block)]
+
+    @staticmethod
+    def _blocks(rows: list[dict]) -> list[tuple]:
+        values = [tuple(e[c] for c in HELD_COLUMNS) for e in rows]
+        return [(bytearray(pickle.dumps(values[k : k + HELD_ROWS], protocol=4)),) for k in range(0, len(values), HELD_ROWS)]
 
     def _clock(self) -> list:
         values = self.clock.get()
@@ -129,11 +133,10 @@ class RevisingRiskProcessor(StatefulProcessor):
                 changed[at] = {**e, "identity_key": key[0], "score": score, "indicators": fired, "contributing": listed,
                                "revision": clock[2], "withdrawn": now is None}
             e.update(zip(SAID, (None, None, None) if now is None else now))
-        values = [tuple(e[c] for c in HELD_COLUMNS) for e in judged]
         if judged is new:
-            self.held.appendList(values)
+            self.held.appendList(self._blocks(judged))
         else:
-            self.held.put(values)
+            self.held.put(self._blocks(judged))
         self._keep_profile(self.head, profile)
         self._wake(clock, min(e["event_time"] for e in new))
         self.clock.update(tuple(clock))
@@ -152,7 +155,7 @@ class RevisingRiskProcessor(StatefulProcessor):
             for dedup_key, t in recent.items():
                 self.seen.updateValue((dedup_key,), (t,))
             if rest:
-                self.held.put([tuple(e[c] for c in HELD_COLUMNS) for e in rest])
+                self.held.put(self._blocks(rest))
             else:
                 self.held.clear()
         silent = profile is None or profile.last_t + self.keep <= passed

@@ -130,3 +130,14 @@ def test_replayed_micro_batches_have_several_files(spark):
     assert [files > 1 for files, _ in seen] == [True, True, False]
     none = jobs.replayed(df.limit(0), "t", [300], "t-none")
     assert rows_of(jobs.drain(none, "t-none")) == []
+
+
+def test_held_rows_are_handed_over_in_blocks():
+    names = ["identity_key", "event_time", *jobs.EVENT_FIELDS]
+    risk, _ = begun(RevisingRiskProcessor(INDICATORS, SCORES, 10))
+    event = Row(*names)
+    rows = [event("i", t, "NEW_DEVICE", *[None] * (len(jobs.EVENT_FIELDS) - 1)) for t in range(2500)]
+    told = list(risk.handleInputRows(("i",), iter(rows), None))
+    assert len(risk.held.value) == 3 and [r["event_time"] for r in risk._held_rows()] == list(range(2500))
+    said = {e["event_time"]: e["score"] for e in risk._held_rows() if e["score"] is not None}
+    assert said and said == {r.event_time: r.score for r in told}
