@@ -20,7 +20,7 @@ from riskloom.config import (
 from riskloom.functions.chain import greedy_chain
 from riskloom.functions.ordered import CHUNK, DEFAULT_MAX_ROWS, KeyedRows, keyed_rows
 from riskloom.functions.text import first_non_blank, short_hash
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, stored
 
 
 def sensitive(endpoint: Column) -> Column:
@@ -179,13 +179,15 @@ def secondary_identity(events: DataFrame, owners: DataFrame | None = None) -> Da
     """Identity in the order of the secondary engine: customer, owner, account, IP.
 
     ``owners`` has one row per account. Only rows that ask for an owner meet it, so rows without an account do
-    not all land on one key.
+    not all land on one key. Both kinds are read from one stored copy of ``events``, so these are derived once,
+    whatever reads the result.
     """
     customer = first_non_blank(F.col("customer_id"))
     account = F.concat(F.lit("acct:"), F.col("from_account_id"))
     ip = F.concat(F.lit("ip:"), F.col("ip_address"))
     if owners is None:
         return events.withColumn("identity_key", F.coalesce(customer, account, ip))
+    events = stored(events, "identity-events")
     asks = customer.isNull() & F.col("from_account_id").isNotNull()
     lookup = owners.select(F.col("account_id").alias("_account"), F.col("customer_id").alias("_owner"))
     asked = events.filter(asks).join(lookup, F.col("from_account_id") == F.col("_account"), "left")

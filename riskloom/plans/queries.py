@@ -45,6 +45,20 @@ SECONDARY_INDICATORS = secondary_indicators(
     api_window=24 * HOUR,
 )
 SECONDARY = SecondaryConfig(decay=12 * HOUR, cooldown=6 * HOUR)
+SECONDARY_COLUMNS = (
+    "event_id",
+    "event_time",
+    "source_table",
+    "customer_id",
+    "account_id",
+    "from_account_id",
+    "ip_address",
+    "country",
+    "device_id",
+    "login_success",
+    "amount",
+    "endpoint",
+)
 WEEK, YEAR = 7 * DAY, 365 * DAY
 SPLIT_ROWS = 40  # rows of a key from which the *_split queries treat it as hot
 
@@ -181,9 +195,12 @@ def alerts_json(spark, d):
     return alert_sink.encode_json(primary_alerts(spark, d))
 
 
+def secondary_counted():
+    return (F.col("source_table") != "api_requests") | scorers.sensitive(F.coalesce("endpoint", F.lit("")))
+
+
 def secondary_alerts(events, max_rows=DEFAULT_MAX_ROWS):
-    counted = (F.col("source_table") != "api_requests") | scorers.sensitive(F.coalesce("endpoint", F.lit("")))
-    rows = derive_indicators(identity_rows(events.filter(counted), max_rows), SECONDARY_INDICATORS)
+    rows = derive_indicators(identity_rows(events.filter(secondary_counted()), max_rows), SECONDARY_INDICATORS)
     alerts = scorers.secondary_risk_alerts(rows, SECONDARY)
     return alerts.drop("source_event_ids").withColumn(
         "contributing_indicators", F.array_join("contributing_indicators", ",")
@@ -206,6 +223,8 @@ def secondary_end_to_end(spark, d):
     """From messages: owner before account, and logins that tell a status, or nothing, instead of a flag."""
     events = normalize.normalize_events(fx.raw_messages(spark, d))
     events = events.withColumn("event_id", F.coalesce("event_id", "dedup_key"))
+    # What the engine reads, so that no more than that is stored on the way.
+    events = events.filter(secondary_counted()).select(*SECONDARY_COLUMNS)
     owners = enrich.account_snapshot(normalize.parse_account_updates(fx.account_messages(spark, d)))
     known = scorers.secondary_identity(events, owners).filter(F.col("identity_key").isNotNull())
     number, is_login = F.col("event_id").try_cast("long"), F.col("source_table") == "login_events"

@@ -124,6 +124,25 @@ def test_secondary_identity_order(spark):
     assert sorted(map(str, got)) == sorted(["c", "owner", "acct:B", "ip:1", "None"])
 
 
+def test_events_are_derived_once_for_both_kinds_of_identity(spark):
+    """Messages are parsed on the way here, so no branch and no later count of keys may derive the rows again."""
+    derived = spark.sparkContext.accumulator(0)
+
+    def told(value):
+        derived.add(1)
+        return value
+
+    rows = [("c", "A", "1"), (None, "A", "1"), (None, "B", "1"), (None, None, "1")] * 5
+    df = spark.createDataFrame(rows, "customer_id string, from_account_id string, ip_address string")
+    df = df.withColumn("customer_id", F.udf(told)("customer_id"))
+    owners = spark.createDataFrame([("A", "owner")], "account_id string, customer_id string")
+    known = scorers.secondary_identity(df, owners)
+    for _ in range(2):
+        got = [r.identity_key for r in known.collect()]
+        assert sorted(got) == sorted(["c", "owner", "acct:B", "ip:1"] * 5)
+    assert derived.value == len(rows)
+
+
 def test_login_success_fallback(spark):
     df = spark.createDataFrame([(None, "FAILED"), (None, "OK"), (None, None), (False, "OK")], "success boolean, status string")
     assert [r[0] for r in df.select(scorers.login_succeeded(F.col("success"), F.col("status"))).collect()] == [False, True, True, False]
