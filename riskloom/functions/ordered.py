@@ -75,7 +75,8 @@ class KeyedRows:
 
         lasts: latest non-null value strictly before the row.
         sums:  running sum up to and including the row.
-        lags:  the n-th latest non-null value strictly before the row.
+        lags:  the n-th latest non-null value strictly before the row; lags of the same
+               column object share their input, their count and what chunks carry.
         reverse: look forward instead of back (``lasts`` only).
         """
         lasts, sums, lags = dict(lasts or {}), dict(sums or {}), dict(lags or {})
@@ -86,7 +87,9 @@ class KeyedRows:
 
         inputs = {f"_in_{n}": e for n, e in lasts.items()}
         inputs |= {f"_in_{n}": e for n, e in sums.items()}
-        inputs |= {f"_in_{n}": e for n, (e, _) in lags.items()}
+        same: dict[int, str] = {}
+        source = {n: same.setdefault(id(e), n) for n, (e, _) in lags.items()}  # the first lag of the same column
+        inputs |= {f"_in_{n}": lags[n][0] for n in same.values()}
         rows = self.rows.withColumns(inputs)
 
         parts = [*self.key, CHUNK] if self.chunked else list(self.key)
@@ -99,19 +102,20 @@ class KeyedRows:
         local |= {n: F.sum(f"_in_{n}").over(upto) for n in sums}
         over = f"over (partition by {', '.join(parts)} order by {', '.join(self.order)})"
         for n, (_, back) in lags.items():
-            local[n] = F.expr(f"lag(`_in_{n}`, {back}) ignore nulls {over}")
-            if self.chunked:
-                local[f"_seen_{n}"] = F.count(f"_in_{n}").over(before)
+            local[n] = F.expr(f"lag(`_in_{source[n]}`, {back}) ignore nulls {over}")
+        if self.chunked:
+            local |= {f"_seen_{n}": F.count(f"_in_{n}").over(before) for n in same.values()}
         out = rows.withColumns(local)
         if self.chunked:
-            out = self._add_carry(rows, out, lasts, sums, lags, reverse)
+            out = self._add_carry(rows, out, lasts, sums, lags, source, reverse)
         return self.with_rows(out.drop(*inputs))
 
-    def _add_carry(self, rows, out, lasts, sums, lags, reverse) -> DataFrame:
+    def _add_carry(self, rows, out, lasts, sums, lags, source, reverse) -> DataFrame:
         # One row per chunk of a hot key. Stored, so that a sequence of history() calls reads the
         # rows once per call and not once more for every later call. Its rows hold whole
         # histories, so Catalyst decides how it is joined.
-        carry = cut_lineage(self._carry(rows.filter(F.col(CHUNK) >= 0), lasts, sums, lags, reverse))
+        widest = {s: max(back for n, (_, back) in lags.items() if source[n] == s) for s in source.values()}
+        carry = cut_lineage(self._carry(rows.filter(F.col(CHUNK) >= 0), lasts, sums, widest, reverse))
         out = _join_on(out, carry, [*self.key, CHUNK], "left", send=False)
         merged = {n: F.coalesce(F.col(n), F.col(f"_carry_{n}")) for n in lasts}
         merged |= {
@@ -121,13 +125,13 @@ class KeyedRows:
             for n in sums
         }
         for n, (_, back) in lags.items():
-            missing = F.lit(back) - F.col(f"_seen_{n}")
-            past = F.col(f"_carry_{n}")
+            missing = F.lit(back) - F.col(f"_seen_{source[n]}")
+            past = F.col(f"_carry_{source[n]}")
             merged[n] = F.when(missing <= 0, F.col(n)).when(
                 F.size(past) >= missing, F.get(past, (F.size(past) - missing).cast("int"))
             )
-        names = [*lasts, *sums, *lags]
-        return out.withColumns(merged).drop(*[f"_carry_{n}" for n in names], *[f"_seen_{n}" for n in lags])
+        names = [*lasts, *sums, *widest]
+        return out.withColumns(merged).drop(*[f"_carry_{n}" for n in names], *[f"_seen_{n}" for n in widest])
 
     def _carry(self, hot, lasts, sums, lags, reverse) -> DataFrame:
         parts = [*self.key, CHUNK]
@@ -138,7 +142,7 @@ class KeyedRows:
         ordered = Window.partitionBy(*parts).orderBy(*self.order)
         whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-        for n, (_, back) in lags.items():
+        for n, back in lags.items():
             to_come = F.count(f"_in_{n}").over(whole) - F.count(f"_in_{n}").over(upto)
             hot = hot.withColumn(
                 f"_tail_{n}",
@@ -165,7 +169,7 @@ class KeyedRows:
         shifted |= {f"_carry_{n}": F.sum(f"_carry_{n}").over(earlier) for n in sums}
         per_chunk = per_chunk.withColumns(shifted)
         so_far = Window.partitionBy(*self.key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
-        for n, (_, back) in lags.items():
+        for n, back in lags.items():
             # Number the chunks that hold a value; the last `back` of them
             # hold at least `back` values, so the frame stays small.
             own = F.when(F.size(f"_tail_{n}") > 0, F.col(f"_tail_{n}"))
@@ -229,19 +233,20 @@ def _numbered(df: DataFrame, cuts: DataFrame, key: Sequence[str], order: Sequenc
     gives the piece of the key the row is in, and the row meets the cuts of that piece only.
     ``most`` and ``splits`` are about the cuts of the largest key and of all keys.
     """
-    on, piece, bits = list(key), F.lit(0), 30
+    on, piece = list(key), F.lit(0)
     if most > SPLIT_FAN:
         at = F.col("_at")
         upper = cuts.filter((at > 0) & (at % SPLIT_FAN == 0)).withColumn("_at", (at / SPLIT_FAN - 1).cast("int"))
         df = _numbered(df, upper, key, order, most // SPLIT_FAN, splits // SPLIT_FAN)
         df, on = df.withColumn("_piece", F.greatest(F.col(CHUNK), F.lit(0))).drop(CHUNK), [*key, "_piece"]
-        cuts, bits = cuts.withColumn("_piece", F.floor(at / SPLIT_FAN).cast("int")), SPLIT_FAN.bit_length()
+        cuts = cuts.withColumn("_piece", F.floor(at / SPLIT_FAN).cast("int"))
         piece = F.col("_piece")
     table = cuts.groupBy(*on).agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
     # Few enough points are sent; more stay a stored table, and adaptive execution splits the hot keys of that join.
     send = splits <= MAX_SENT_SPLITS
     table = df.sparkSession.createDataFrame(table.collect(), table.schema) if send else cut_lineage(table)
-    inside = _locate("_cuts", order, bits)
+    longest = table.agg(F.max(F.size("_cuts"))).first()[0] or 0
+    inside = _locate("_cuts", order, max(longest.bit_length(), 1))  # a step of the search for each bit
     number = F.when(F.col("_cuts").isNull(), F.lit(COLD)).otherwise(piece * SPLIT_FAN + inside)
     return _join_on(df, table, on, "left", send).withColumn(CHUNK, number).drop("_cuts", "_piece")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,32 +32,41 @@ def _weight(label: Column, weights: dict[str, int], unknown: int | None) -> Colu
     return F.coalesce(F.try_element_at(lookup, label), F.lit(unknown)).cast("long")
 
 
-def _sum_and_clear(rows: KeyedRows, key: list[str], threshold: int, lightest: int) -> KeyedRows:
+def _sum_and_clear(
+    rows: KeyedRows, key: list[str], threshold: int, lightest: int, sums: Mapping[str, Column] | None = None
+) -> KeyedRows:
     """Accepted rows: where the sum since the last accepted row reaches the threshold.
 
     On the axis of the running sum this is a greedy chain with the threshold as
     gap, so no per-row fold is needed and hot keys run in parallel. Adds
-    ``score`` and ``contributing``.
+    ``score`` and ``contributing``. ``sums``: ``_sum``, unless the rows have it.
     """
     # Weights are positive, so a sum below the threshold spans few rows.
     span = -(-threshold // lightest)
     past = [f"_past{i}" for i in range(span - 1, 0, -1)]
-    tagged = F.struct(*[F.col(k) for k in key], F.col("label").alias("label"))
+    # The rows before are of the same row key; only what the group adds to it can differ.
+    finer = [k for k in key if k not in rows.key]
+    tagged = F.struct(*finer, F.col("label").alias("label")) if finer else F.col("label")
     rows = rows.history(
-        sums={"_n": F.lit(1).cast("long")},
+        sums={"_n": F.lit(1).cast("long"), **(sums or {})},
         lags={name: (tagged, span - 1 - i) for i, name in enumerate(past)},
     )
-    hits = greedy_chain(rows.staged(), key, "_sum", "_sum", threshold, start=threshold)
     group = F.struct(*[F.col(k) for k in key])
+    labels = [F.col(name) for name in past]
+    if finer:
+        here = F.struct(*finer)
+        labels = [F.when(F.struct(*[c[k] for k in finer]) == here, c["label"]) for c in labels]
+    listed = F.array(*labels, "label")
+    if labels:  # if the earliest belongs to the group, all do
+        listed = F.when(labels[0].isNotNull(), listed).otherwise(F.array_compact(listed))
+    # One list instead of all that is behind it goes through the chain; and what the chain gives is read more than once.
+    rows = rows.with_rows(rows.rows.withColumn("_own", listed).drop(*past))
+    hits = greedy_chain(rows.staged(), key, "_sum", "_sum", threshold, start=threshold).staged()
     hits = hits.history(lasts={"_before": F.struct(group.alias("g"), F.col("_sum").alias("s"), F.col("_n").alias("n"))})
     same = F.col("_before.g") == group
     base = F.when(same, F.col("_before.s")).otherwise(F.lit(0))
     taken = F.when(same, F.col("_n") - F.col("_before.n")).otherwise(F.lit(span))
-    labels = F.array(*[
-        F.when(F.struct(*[F.col(name)[k] for k in key]) == F.struct(*[F.col(k) for k in key]), F.col(name)["label"])
-        for name in past
-    ])
-    own = F.array_compact(F.concat(labels, F.array("label")))
+    own = F.col("_own")
     kept = F.least(taken, F.size(own)).cast("int")
     listed = F.slice(own, F.size(own) - kept + 1, kept)
     return hits.with_rows(
@@ -121,11 +130,10 @@ def threshold_clear_alerts(
         }
     )
     # The labels are derived once, not once for the count of hot keys and once more for the sums.
-    named = cut_lineage(named)
+    named = stored(named.select("customer_id", "event_time", "event_id", "pos", "label", "w"), "labels")
     rows = keyed_rows(named, ["customer_id"], ["event_time", "event_id", "pos"], max_rows)
-    rows = rows.history(sums={"_sum": F.col("w")})
     lightest = min(unknown, *weights.values())
-    hits = _sum_and_clear(rows, ["customer_id"], threshold, lightest).result()
+    hits = _sum_and_clear(rows, ["customer_id"], threshold, lightest, {"_sum": F.col("w")}).result()
     action = F.when(F.col("score") < 100, "REQUIRE_MFA").otherwise("LOCK_ACCOUNT")
     where = [F.col("customer_id"), F.col("event_time").cast("string"), F.col("event_id"), F.col("pos").cast("string")]
     return _accumulated(hits, F.concat(F.lit("ALT-"), F.upper(short_hash(*where, length=10))), action)

@@ -124,6 +124,25 @@ def test_secondary_identity_order(spark):
     assert sorted(map(str, got)) == sorted(["c", "owner", "acct:B", "ip:1", "None"])
 
 
+def test_threshold_clear_walks_the_chain_once(spark, monkeypatch):
+    """With a hot customer the accepted rows are read by two passes; the chain must not be walked for each."""
+    walked = spark.sparkContext.accumulator(0)
+
+    def told(value):
+        walked.add(1)
+        return value
+
+    def chain(candidates, *args, real=scorers.greedy_chain, **options):
+        assert not [c for c in candidates.rows.columns if c.startswith("_past")]
+        return real(candidates, *args, **options).with_column("_sum", F.udf(told, "long")("_sum"))
+
+    rows, df = labelled(spark, 9)
+    want = found(scorers.threshold_clear_alerts(df, max_rows=10_000))
+    monkeypatch.setattr(scorers, "greedy_chain", chain)
+    assert found(scorers.threshold_clear_alerts(df, max_rows=25)) == want
+    assert walked.value == len(want)
+
+
 def test_events_are_derived_once_for_both_kinds_of_identity(spark):
     """Messages are parsed on the way here, so no branch and no later count of keys may derive the rows again."""
     derived = spark.sparkContext.accumulator(0)
