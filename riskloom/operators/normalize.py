@@ -39,7 +39,7 @@ def normalize_events(messages: DataFrame, value: str = "value", ingest_time: str
     wrapped = F.col("m.after").isNotNull()
     payload = F.when(wrapped, F.col("m.after")).otherwise(F.struct(*[F.col(f"m.{n}") for n in schemas.PAYLOAD_FIELDS]))
     base = live.select(
-        payload.alias("p"),
+        F.explode(F.array(payload)).alias("p"),  # once per row, not once for each of its fields
         F.col("m").alias("r"),
         envelope.alias("enveloped"),
         operation.alias("op"),

@@ -144,3 +144,11 @@ def test_no_alert_message_gets_lost(spark):
     decoded, undecoded = normalize.decode_alerts(df)
     assert sorted([r.n for r in decoded.collect()] + [r.n for r in undecoded.collect()]) == list(range(len(values)))
     assert {r.n for r in decoded.collect()} == {4}
+
+
+def test_the_payload_is_made_once_per_row(spark):
+    """Not again for each field that a later filter asks for."""
+    messages = spark.createDataFrame([('{"event_id": "1"}', 5)], "value string, ingest_time long")
+    asked = normalize.normalize_events(messages).filter("endpoint = '/api/login' and customer_id is not null")
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ELSE struct(event_id, ") == 1
