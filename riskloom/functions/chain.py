@@ -9,6 +9,7 @@ move the entry point to its ``hi + gap``.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.ordered import KeyedRows
-from riskloom.session import cut_lineage
+from riskloom.functions.ordered import CHUNK, KeyedRows, any_null
+from riskloom.session import dealt
 
 _NEVER = -(1 << 62)
 # A block spans this many gaps, so a jump table has one entry per distinct
@@ -50,7 +51,7 @@ def greedy_chain(
     if candidates.chunked:
         hot = _jump(candidates.hot(), key, candidates.order, lo, hi, gap, entry)
         accepted = accepted.unionByName(hot)
-    return candidates.with_rows(accepted)
+    return replace(candidates, rows=accepted, dealt=False)
 
 
 def _fold(df: DataFrame, key, order, lo, hi, gap, entry) -> DataFrame:
@@ -100,7 +101,8 @@ def _fold(df: DataFrame, key, order, lo, hi, gap, entry) -> DataFrame:
 def _jump(df: DataFrame, key, order, lo, hi, gap, entry) -> DataFrame:
     """Exact parallel form for hot keys.
 
-    1. Rows that share a ``lo`` collapse to the first of them (combined map-side).
+    1. Rows that share a ``lo`` collapse to the first of them, in each chunk before any row moves; only what
+       the chain reads is dealt out and stored, by block.
     2. Each block of the axis becomes a jump table: entry point -> exit point.
     3. The small tables of a key are walked in block order.
     4. Each block replays from its now known entry point.
@@ -112,56 +114,61 @@ def _jump(df: DataFrame, key, order, lo, hi, gap, entry) -> DataFrame:
     block_len = max(_GAPS_PER_BLOCK * gap, _MIN_BLOCK)
     payload = F.struct(*df.columns)
     position = F.struct(*order)
-    distinct = (
-        df.groupBy(*key, F.col(lo).cast("long").alias("_lo"))
-        .agg(F.min_by(payload, position).alias("_row"))
-        .withColumn("_hi", F.col(f"_row.{hi}").cast("long"))
-        .withColumn("_block", F.floor(F.col("_lo") / F.lit(block_len)).cast("long"))
-    )
-    distinct = cut_lineage(distinct)
-    slim = distinct.select(*key, "_block", "_lo", "_hi")
+    block = [*key, "_block"]
+    axis = F.col(lo).cast("long")
+    named = df.withColumns({"_lo": axis, "_block": F.floor(axis / F.lit(block_len)).cast("long")})
+    here = F.struct(position.alias("at"), F.col(hi).cast("long").alias("hi"))
+    first = named.groupBy(*key, CHUNK, "_block", "_lo").agg(F.min(here).alias("_first"))
+
+    def collapsed(rows: DataFrame) -> DataFrame:
+        of_all = F.min(F.struct("_first.at", "_first.hi", F.col(CHUNK).alias("chunk"))).alias("_first")
+        one = rows.groupBy(*block, "_lo").agg(of_all)
+        return one.select(*block, "_lo", F.col("_first.hi").alias("_hi"), F.col("_first.chunk").alias(CHUNK))
+
+    slim = dealt(first, block, ["_lo"], collapsed)
+    nulls = not slim.filter(any_null(key)).isEmpty()
     keys = T.StructType([f for f in df.schema.fields if f.name in key])
     table_type = T.StructType([*keys, *(T.StructField(n, T.LongType()) for n in ("_block", "_lo", "_exit"))])
     entry_type = T.StructType([*keys, *(T.StructField(n, T.LongType()) for n in ("_block", "_entry"))])
-    kept_type = T.StructType([*keys, T.StructField("_lo", T.LongType())])
+    kept_type = T.StructType([*keys, T.StructField(CHUNK, T.IntegerType()), T.StructField("_lo", T.LongType())])
 
     def jump_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, [*key, "_block"]):
-            at, exits = block_exits(_longs(rows, "_lo"), _longs(rows, "_hi"), gap, _group_ids(rows, [*key, "_block"]))
-            found = rows.select([*key, "_block", "_lo"]).take(pa.array(at))
+        for rows in whole_groups(batches, block):
+            at, exits = block_exits(_longs(rows, "_lo"), _longs(rows, "_hi"), gap, _group_ids(rows, block))
+            found = rows.select([*block, "_lo"]).take(pa.array(at))
             yield from _as_batches(found.append_column("_exit", pa.array(exits, pa.int64())), table_type)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, key):
             lows, exits = _longs(rows, "_lo"), _longs(rows, "_exit")
-            blocks, entries = _starts(rows, [*key, "_block"]), []
+            blocks, entries = _starts(rows, block), []
             ends = [*np.searchsorted(blocks, _starts(rows, key)), len(blocks)]
             bounds = [*blocks.tolist(), rows.num_rows]
             for begin, end in zip(ends[:-1], ends[1:]):
                 entries += walk_tables(lows, exits, bounds[begin : end + 1], entry)
-            found = rows.select([*key, "_block"]).take(pa.array(blocks))
+            found = rows.select(block).take(pa.array(blocks))
             yield from _as_batches(found.append_column("_entry", pa.array(entries, pa.int64())), entry_type)
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The row with the entry point comes first in its block.
-        for rows in whole_groups(batches, [*key, "_block"]):
+        for rows in whole_groups(batches, block):
             lows, highs, entries = (_longs(rows, n) for n in ("_lo", "_hi", "_entry"))
-            bounds, kept = [*_starts(rows, [*key, "_block"]).tolist(), rows.num_rows], []
+            bounds, kept = [*_starts(rows, block).tolist(), rows.num_rows], []
             for begin, end in zip(bounds[:-1], bounds[1:]):
-                inside = slice(begin + 1, end)
-                kept += [begin + 1 + i for i in replay_block(lows[inside], highs[inside], gap, int(entries[begin]))]
-            yield from _as_batches(rows.select([*key, "_lo"]).take(pa.array(kept, pa.int64())), kept_type)
+                kept += [begin + i for i in replay_block(lows[begin:end], highs[begin:end], gap, int(entries[begin]))]
+            yield from _as_batches(rows.select([*key, CHUNK, "_lo"]).take(pa.array(kept, pa.int64())), kept_type)
 
-    none = F.lit(None).cast("long")
-    tables = _in_groups(slim, [*key, "_block"], ["_lo"]).mapInArrow(jump_tables, table_type)
+    tables = _in_groups(slim.drop(CHUNK), block, ["_lo"]).mapInArrow(jump_tables, table_type)
     entries = _in_groups(tables, key, ["_block", "_lo"]).mapInArrow(walk, entry_type)
-    begun = slim.withColumn("_entry", none).unionByName(entries.withColumns({"_lo": none, "_hi": none}))
-    kept = _in_groups(begun, [*key, "_block"], [F.col("_lo").asc_nulls_first()]).mapInArrow(replay, kept_type)
-    return _join_null_safe(distinct, kept, [*key, "_lo"]).select("_row.*").select(*df.columns)
+    begun = _in_groups(_join(slim, entries, block, nulls), block, ["_lo"])
+    kept = begun.mapInArrow(replay, kept_type)
+    # The accepted rows by themselves; of those that share a ``lo`` and a chunk, the first.
+    found = _join(named, kept, [*key, CHUNK, "_lo"], nulls)
+    rows = found.groupBy(*key, CHUNK, "_lo").agg(F.min_by(payload, position).alias("_row"))
+    return rows.select("_row.*").select(*df.columns)
 
 
-def _in_groups(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """Rows of one group next to each other and in order; a task has many groups."""
+def _in_groups(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of one group next to each other and in order; a task has many groups. Rows dealt so stay where they are."""
     return df.repartition(*group).sortWithinPartitions(*group, *order)
 
 
@@ -211,10 +218,12 @@ def _as_batches(rows: pa.Table, schema: T.StructType) -> list[pa.RecordBatch]:
     return rows.select(schema.names).to_batches()
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, on: Sequence[str], nulls: bool) -> DataFrame:
+    """Join that leaves ``left`` as it lies, unless a key may be null; a null key is a key."""
     names = {c: f"_r_{c}" for c in on}
     right = right.withColumnsRenamed(names)
-    return left.join(right, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]).drop(*names.values())
+    same = [F.col(c).eqNullSafe(F.col(n)) if nulls else F.col(c) == F.col(n) for c, n in names.items()]
+    return left.join(right if nulls else right.hint("shuffle_hash"), same).drop(*names.values())
 
 
 def block_exits(

@@ -12,11 +12,12 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import cut_lineage
+from riskloom.session import cut_as_dealt, cut_lineage, dealt
 
 CHUNK = "_chunk"
 COLD = -1
@@ -34,13 +35,17 @@ class KeyedRows:
     """Rows with a key and a total order inside each key.
 
     ``chunked`` tells that some key is hot; the rows then carry ``_chunk``:
-    -1 on a cold key, the chunk number on a hot one.
+    -1 on a cold key, the chunk number on a hot one. ``dealt`` tells that they are
+    stored by key and chunk, so that history moves none of them. ``nulls`` tells
+    that a hot key may be null, for which joins have to move them after all.
     """
 
     rows: DataFrame
     key: tuple[str, ...]
     order: tuple[str, ...]
     chunked: bool = False
+    dealt: bool = False
+    nulls: bool = True
 
     def with_rows(self, rows: DataFrame) -> KeyedRows:
         return replace(self, rows=rows)
@@ -53,7 +58,9 @@ class KeyedRows:
 
     def staged(self, always: bool = False) -> KeyedRows:
         """Store the rows if a key is hot, or in any case; several passes over them follow."""
-        return self.with_rows(cut_lineage(self.rows)) if self.chunked or always else self
+        if self.chunked or always:
+            return self.with_rows((cut_as_dealt if self.dealt else cut_lineage)(self.rows))
+        return self
 
     def cold(self) -> DataFrame:
         return self.rows.filter(F.col(CHUNK) == COLD) if self.chunked else self.rows
@@ -112,11 +119,12 @@ class KeyedRows:
 
     def _add_carry(self, rows, out, lasts, sums, lags, source, reverse) -> DataFrame:
         # One row per chunk of a hot key. Stored, so that a sequence of history() calls reads the
-        # rows once per call and not once more for every later call. Its rows hold whole
-        # histories, so Catalyst decides how it is joined.
+        # rows once per call and not once more for every later call.
         widest = {s: max(back for n, (_, back) in lags.items() if source[n] == s) for s in source.values()}
-        carry = cut_lineage(self._carry(rows.filter(F.col(CHUNK) >= 0), lasts, sums, widest, reverse))
-        out = _join_on(out, carry, [*self.key, CHUNK], "left", send=False)
+        carry = self._carry(rows.filter(F.col(CHUNK) >= 0), lasts, sums, widest, reverse)
+        # The rows lie by key and chunk and in order, and this join leaves them so.
+        carry = dealt(carry, [*self.key, CHUNK], []) if self.dealt else cut_lineage(carry)
+        out = _join_on(out, carry.hint("shuffle_hash"), [*self.key, CHUNK], "left", False, self.nulls)
         merged = {n: F.coalesce(F.col(n), F.col(f"_carry_{n}")) for n in lasts}
         merged |= {
             n: F.when(F.col(f"_carry_{n}").isNull(), F.col(n)).otherwise(
@@ -183,11 +191,19 @@ class KeyedRows:
         return per_chunk.select(*parts, *[f"_carry_{n}" for n in [*lasts, *sums, *lags]])
 
 
-def _join_on(rows: DataFrame, table: DataFrame, key: Sequence[str], how: str, send: bool) -> DataFrame:
-    """Join with a table of this module, sent to every task where it is known to be small; a null key is a key."""
+def any_null(key: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
+
+
+def _join_on(rows: DataFrame, table: DataFrame, key: Sequence[str], how: str, send: bool, nulls: bool) -> DataFrame:
+    """Join with a table of this module, sent to every task where it is known to be small.
+
+    A null key is a key; only if the table has one (``nulls``) the join has to compare in the way that takes
+    rows out of their deal.
+    """
     names = {k: f"_k_{k}" for k in key}
     table = table.withColumnsRenamed(names)
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    same = [F.col(k).eqNullSafe(F.col(n)) if nulls else F.col(k) == F.col(n) for k, n in names.items()]
     return rows.join(F.broadcast(table) if send else table, same, how).drop(*names.values())
 
 
@@ -202,7 +218,9 @@ def keyed_rows(
     """
     key, order = tuple(key), tuple(order)
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
-    found = counts.agg(F.count(F.lit(1)).alias("keys"), F.sum("_n").alias("n"), F.max("_n").alias("most")).first()
+    found = counts.agg(
+        F.count(F.lit(1)).alias("keys"), F.sum("_n").alias("n"), F.max("_n").alias("most"), F.max(any_null(key)).alias("nulls")
+    ).first()
     if not found["keys"]:
         return KeyedRows(df, key, order)
 
@@ -210,7 +228,7 @@ def keyed_rows(
     splits, most = math.ceil(found["n"] / max_rows), math.ceil(found["most"] / max_rows)
     hot = counts.select(*key)
     sampled = (
-        _join_on(df, hot, key, "left_semi", splits <= MAX_SENT_SPLITS)
+        _join_on(df, hot, key, "left_semi", splits <= MAX_SENT_SPLITS, found["nulls"])
         .filter(F.pmod(F.xxhash64(*order), F.lit(max_rows // per_split)) == 0)
         .select(*key, *order)
     )
@@ -222,11 +240,14 @@ def keyed_rows(
     )
     if most > SPLIT_FAN:
         cuts = cut_lineage(cuts)  # read once for each level
-    # Several passes over the numbered rows follow, and finding the numbers is dearer than reading them.
-    return KeyedRows(cut_lineage(_numbered(df, cuts, key, order, most, splits)), key, order, chunked=True)
+    # Several passes over the numbered rows follow, each by key and chunk: they are dealt and sorted once for all.
+    rows = _numbered(df, cuts, key, order, most, splits, found["nulls"])
+    return KeyedRows(dealt(rows, [*key, CHUNK], order), key, order, chunked=True, dealt=True, nulls=found["nulls"])
 
 
-def _numbered(df: DataFrame, cuts: DataFrame, key: Sequence[str], order: Sequence[str], most: int, splits: int) -> DataFrame:
+def _numbered(
+    df: DataFrame, cuts: DataFrame, key: Sequence[str], order: Sequence[str], most: int, splits: int, nulls: bool
+) -> DataFrame:
     """Add the chunk number: how many cuts of the key lie at or before the row.
 
     A row meets at most ``SPLIT_FAN`` cuts at once. A key with more has levels: every ``SPLIT_FAN``-th cut
@@ -237,7 +258,7 @@ def _numbered(df: DataFrame, cuts: DataFrame, key: Sequence[str], order: Sequenc
     if most > SPLIT_FAN:
         at = F.col("_at")
         upper = cuts.filter((at > 0) & (at % SPLIT_FAN == 0)).withColumn("_at", (at / SPLIT_FAN - 1).cast("int"))
-        df = _numbered(df, upper, key, order, most // SPLIT_FAN, splits // SPLIT_FAN)
+        df = _numbered(df, upper, key, order, most // SPLIT_FAN, splits // SPLIT_FAN, nulls)
         df, on = df.withColumn("_piece", F.greatest(F.col(CHUNK), F.lit(0))).drop(CHUNK), [*key, "_piece"]
         cuts = cuts.withColumn("_piece", F.floor(at / SPLIT_FAN).cast("int"))
         piece = F.col("_piece")
@@ -248,7 +269,7 @@ def _numbered(df: DataFrame, cuts: DataFrame, key: Sequence[str], order: Sequenc
     longest = table.agg(F.max(F.size("_cuts"))).first()[0] or 0
     inside = _locate("_cuts", order, max(longest.bit_length(), 1))  # a step of the search for each bit
     number = F.when(F.col("_cuts").isNull(), F.lit(COLD)).otherwise(piece * SPLIT_FAN + inside)
-    return _join_on(df, table, on, "left", send).withColumn(CHUNK, number).drop("_cuts", "_piece")
+    return _join_on(df, table, on, "left", send, nulls).withColumn(CHUNK, number).drop("_cuts", "_piece")
 
 
 def _locate(cuts: str, order: Sequence[str], bits: int) -> Column:

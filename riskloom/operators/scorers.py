@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -92,8 +93,11 @@ def inactivity_reset_alerts(
     known = source.filter(F.col("customer_id").isNotNull() & label.isin(*weights))
     known = known.withColumns({"label": label, "w": _weight(label, weights, 0)})
     key, order = ["customer_id"], ["event_time", "event_id", "pos"]
+    # What an alert is made of, and no more, goes through all that follows.
+    known = known.select(*key, *order, "label", "w", *([CHUNK] if CHUNK in known.columns else []))
     if isinstance(labelled, KeyedRows):
-        rows = KeyedRows(known, tuple(key), tuple(order), labelled.chunked)
+        # Stored, so that the indicators are not derived again for each look back below.
+        rows = replace(labelled, rows=known, key=tuple(key), order=tuple(order)).staged()
     else:
         rows = keyed_rows(known, key, order, max_rows)
     rows = rows.history(lasts={"_prev": t}, sums={"_run": F.col("w")})
@@ -103,7 +107,7 @@ def inactivity_reset_alerts(
     stretch = F.coalesce("_begins", "_open")
     rows = rows.with_rows(
         rows.rows.withColumns({"_stretch": stretch["t"], "_sum": F.col("_run") - stretch["before"]}).drop(
-            "_prev", "_run", "_begins", "_open"
+            "w", "_prev", "_run", "_begins", "_open"
         )
     )
     hits = _sum_and_clear(rows, ["customer_id", "_stretch"], threshold, min(weights.values())).result()

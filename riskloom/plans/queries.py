@@ -241,7 +241,8 @@ def labelled_events(rows: DataFrame) -> DataFrame:
 
 def inactivity_alerts(rows):
     # Customers are identities here, so the rows are keyed already.
-    customers = rows.with_rows(labelled_events(rows.rows.filter(F.col("customer_id") == F.col("identity_key"))))
+    same = rows.rows.filter(F.col("customer_id") == F.col("identity_key"))
+    customers = rows.with_rows(labelled_events(same.withColumn("customer_id", F.col("identity_key"))))
     alerts = scorers.inactivity_reset_alerts(customers, idle=DAY)
     return alerts.withColumn("contributing_indicators", F.array_join("contributing_indicators", ","))
 

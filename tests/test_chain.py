@@ -74,6 +74,23 @@ def test_many_hot_keys_are_taken_by_the_batch(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_hot_key_stores_what_the_chain_reads_and_no_more(spark, monkeypatch):
+    data = [("hot", int(t % 5000), f"h{t}", "wide " * 20) for t in range(0, 20_000, 7)]
+    df = spark.createDataFrame(data, "k string, t long, id string, payload string")
+    plain = greedy_chain(keyed_rows(df, ["k"], ["t", "id"]), ["k"], "t", "t", 100)
+    split = keyed_rows(df, ["k"], ["t", "id"], max_rows=50)
+    stored, real = [], type(df).checkpoint
+
+    def told(self, *args, **kwargs):
+        stored.append(self.schema.simpleString())
+        return real(self, *args, **kwargs)
+
+    monkeypatch.setattr(type(df), "checkpoint", told)
+    hot = greedy_chain(split, ["k"], "t", "t", 100)
+    assert rows_of(hot.result()) == rows_of(plain.result())
+    assert stored and not [s for s in stored if "payload" in s]
+
+
 def test_groups_are_never_cut_by_a_batch():
     table = pa.table({"k": ["a", "a", None, None, None, "c", "d", "d"], "n": list(range(8))})
     for rows in (1, 2, 3, 5, 8):

@@ -46,6 +46,17 @@ def test_history_matches_a_loop_with_and_without_chunks(spark):
         assert got == want, limit
 
 
+def test_rows_of_hot_keys_are_dealt_and_sorted_once(spark):
+    """Looking back again and again reads the stored rows; it must not shuffle or sort all of them each time."""
+    data, df = make(spark)
+    rows = keyed_rows(df, ["k"], ["t", "id"], max_rows=40).history(lasts={"a": F.col("v")}, sums={"total": F.col("w")})
+    rows = rows.staged().with_column("b", F.col("a")).history(lags={"c": (F.col("b"), 2)})
+    plan = rows.rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.chunked and "Window" in plan
+    assert "Exchange" not in plan and "Sort " not in plan
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def test_chunks_are_contiguous_and_bounded(spark):
     df = spark.range(5000).select(
         F.lit("hot").alias("k"), (F.col("id") % 997).alias("t"), F.col("id").cast("string").alias("id")
