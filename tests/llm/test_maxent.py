@@ -177,3 +177,46 @@ def test_query(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = mx.op12_lm_score(spark, small).collect()
     assert ours(got) == brute_base(rows)
+
+
+def rare_pairs():
+    """More words than the classes hold; the rarest come in pairs."""
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(4100)] * 8
+    rng.shuffle(common)
+    rows = [" ".join(common[k : k + 40]) for k in range(0, len(common), 40)]
+    return rows + [f"a{k} b{k}" for k in range(300)] * 3
+
+
+def test_rarer_words_are_told_apart_by_their_context(spark):
+    """Words beyond those of the classes, also as context: who follows whom has been seen thrice."""
+    rows = rare_pairs()
+    asked = [f"a{k} b{(k + shift) % 300}" for shift in (0, 7, 50) for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(rows + asked)), SCHEMA)
+    for hot in (1 << 16, 4100):
+        made, words = mx.language_model(docs, mx.F.col("doc_id") < len(rows), hot_words=hot)
+        assert words.size < 4100
+        score = {r.doc_id - len(rows): r.score for r in made.collect()}
+        met, other, third = (sum(score[300 * s + k] for k in range(300)) / 300 for s in range(3))
+        assert met - max(other, third) > 0.1
+
+
+def test_rarer_words_and_one_never_seen_add_up_to_one(spark):
+    rows = rare_pairs()
+    docs = spark.createDataFrame(list(enumerate(rows)), SCHEMA)
+    words = mx.vocabulary(mx.word_counts(docs))
+    weights = mx.train(docs, words)
+    assert np.abs(weights.sides).max() > 0.1
+    count = Counter(w for t in rows for w in words_in(t))
+    for before in ("", "a7 ", "c1 a9 ", "unseen b5 "):
+        known = [w for w in count if w is not None]
+        made = mx.tokens_of(*text_bytes(pa.array([*(before + w for w in known), before.strip()])), words)
+        own = mx.events(made, words)
+        p = mx.log_probabilities(own, words, weights)
+        of_class = np.exp(p)
+        some = mx.rarer(made, own, words)
+        p[some.at] += mx.rarer_gains(some, words, weights) + np.log((words.counts[made.number[some.at]] + 1) / words.rare_total)
+        at = made.first[1:-1] - 2
+        rare = made.number[at] >= words.size
+        total = np.exp(p[at]).sum() + np.exp(p[-1]) + of_class[at[rare][0]] / words.rare_total
+        assert total == pytest.approx(1.0, abs=1e-4)
